@@ -9,7 +9,6 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
 _own_shared_dir: str | None = None
@@ -39,11 +38,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def as_bytes(col: str) -> F.Column:
-    """A text column's UTF-8 bytes; null text is the empty text."""
-    return F.coalesce(F.col(col), F.lit("")).cast("binary")
-
-
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """mapInArrow with a function of one record batch."""
 

@@ -7,17 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, table
+from .common import table
+from .decontaminate import find_leaks
+from .html_text import extract_text
 from .licences import RULES, SENTENCES, scan_licences
 from .packing import pack
+from .secrets import fit_net, scan_secrets
 from .sharding import shuffled_shards
 from .topk import top_k
+from .toxicity import fit_chain, score
 from .url_filter import judge_urls
 
 #: The url rules of op10: host, path, verdict.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's probability of every toxicity category, and whether it is toxic."""
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit_chain(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every query's five highest integer inner products among all vectors."""
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
@@ -30,11 +40,28 @@ def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *joined.values(), F.size("sentence_ids").cast("long").alias("n_sentences"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best occurrence of each benchmark item in each document that holds it with few edits."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens; one row a piece."""
     return pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: counts of the rules' findings, their digest, and all spans."""
+    docs = table(spark, sf_dir, "documents")
+    found = scan_secrets(docs, fit_net(docs))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans", "n_net")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents shuffled into 16 shards by key."""
     size = F.octet_length(F.coalesce("text", F.lit(""))) + 1
@@ -59,7 +86,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_topk, op3_licences, op7_packing, op9_sharding, op10_url_filter)}
+    return {f.__name__: f for f in (op1_toxicity, op2_topk, op3_licences, op4_decontamination, op5_html_text, op7_packing, op8_secrets, op9_sharding, op10_url_filter)}
 
 
 def _quoted(text: str) -> str:
