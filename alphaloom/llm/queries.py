@@ -11,6 +11,7 @@ from .common import table
 from .decontaminate import find_leaks
 from .html_text import extract_text
 from .licences import RULES, SENTENCES, scan_licences
+from .near_duplicates import near_duplicate_classes
 from .packing import pack
 from .secrets import fit_net, scan_secrets
 from .sharding import shuffled_shards
@@ -50,6 +51,11 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document and the class of near-duplicates that it is in."""
+    return near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens; one row a piece."""
     return pack(table(spark, sf_dir, "documents"), with_ids=False)
@@ -86,7 +92,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_topk, op3_licences, op4_decontamination, op5_html_text, op7_packing, op8_secrets, op9_sharding, op10_url_filter)}
+    return {f.__name__: f for f in (op1_toxicity, op2_topk, op3_licences, op4_decontamination, op5_html_text, op6_near_duplicates, op7_packing, op8_secrets, op9_sharding, op10_url_filter)}
 
 
 def _quoted(text: str) -> str:
