@@ -125,18 +125,21 @@ def _rolling(aggregate: Callable[[Column], Column]) -> Callable[..., Column]:
 # ---- across a date
 
 
-def scaled_rank(x: Column, by: Callable[..., WindowSpec]) -> Column:
-    """Average-tie rank of x from 0 to 1 within a window; one half for a lone value."""
-    here = by(x.isNull())
-    n = F.count(x).over(here)
-    place = F.rank().over(here.orderBy(x)) + (F.count(F.lit(1)).over(by(x)) - 1) / 2.0
+def scaled_rank(x: Column, by: WindowSpec) -> Column:
+    """Average-tie rank of x from 0 to 1 within a window; one half for a lone value.
+
+    The mean of the ranks from either end needs no window of its own for ties.
+    """
+    n = F.count(x).over(by)
+    up, down = F.rank().over(by.orderBy(F.asc_nulls_last(x))), F.rank().over(by.orderBy(F.desc_nulls_last(x)))
+    place = (up + n + 1 - down) / 2.0
     return F.when(x.isNotNull(), F.when(n == 1, F.lit(0.5)).otherwise((place - 1) / F.greatest(n - 1, F.lit(1))))
 
 
 @operator(DATE)
 def rank(s: Scope, x: Any, rate: int = 0) -> Column:
     v = no_nan(num(x))
-    return scaled_rank(F.bround(v, int(rate)) if rate > 0 else v, s.cross)
+    return scaled_rank(F.bround(v, int(rate)) if rate > 0 else v, s.cross())
 
 
 @operator(DATE)

@@ -51,8 +51,12 @@ def attribution(df: DataFrame, *, horizon: str = "daily", groups: tuple[str, ...
     return out.withColumn("side", side_of("avg_weight")) if weighted else out
 
 
+#: Weights that sum up to less than this are flat: what rounding leaves.
+FLAT = 1e-12
+
+
 def side_of(weight: str) -> Column:
-    return F.when(F.col(weight) > 0, "long").when(F.col(weight) < 0, "short").otherwise("flat")
+    return F.when(F.col(weight) > FLAT, "long").when(F.col(weight) < -FLAT, "short").otherwise("flat")
 
 
 def side_attribution(df: DataFrame, *, horizon: str = "daily", book_size: float, weight: str = "weights") -> DataFrame:

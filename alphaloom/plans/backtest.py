@@ -83,6 +83,7 @@ class Backtest:
 
     strategy: Strategy
     book_size: float
+    source: DataFrame
     panel: DataFrame
     portfolio: DataFrame
     yearly: DataFrame
@@ -94,7 +95,7 @@ class Backtest:
 
     def validate(self) -> dict[str, ValidityReport]:
         s = self.strategy
-        return validate_backtest(self.panel, self.portfolio, fields=self.fields, neutralization=s.neutralization, truncation=s.truncation)
+        return validate_backtest(self.source, self.panel, self.portfolio, fields=self.fields, neutralization=s.neutralization, truncation=s.truncation)
 
     def display(self) -> bool:
         """Prints settings, formulas, checks and figures; whether all checks passed."""
@@ -127,7 +128,7 @@ def run_backtest(strategy: Strategy | Alpha, data: DataFrame, book_size: float =
     panel = panel.cache() if cache else panel
     portfolio = daily_portfolio(panel, book_size=book_size)
     out = Backtest(
-        strategy, float(book_size), panel, portfolio,
+        strategy, float(book_size), data, panel, portfolio,
         aggregate_returns(portfolio, "yearly", delay=strategy.delay, book_size=book_size),
         summary(portfolio, delay=strategy.delay, book_size=book_size),
         [f for f in strategy.alpha.fields],

@@ -421,7 +421,7 @@ SELECT max(date) AS date, {rnd('sum(pnl)', 4)} AS pnl, {rnd(f'252 * avg(pnl) / {
 ATTRIBUTED = ["contribution_pnl", "contribution_return", "avg_abs_weight", "avg_weight", "period_pnl"]
 
 
-def attr_sql(period: str, groups: str, side: str = "CASE WHEN avg_weight > 0 THEN 'long' WHEN avg_weight < 0 THEN 'short' ELSE 'flat' END", source: str = "a") -> list[str]:
+def attr_sql(period: str, groups: str, side: str = "CASE WHEN avg_weight > 1e-12 THEN 'long' WHEN avg_weight < -1e-12 THEN 'short' ELSE 'flat' END", source: str = "a") -> list[str]:
     return [
         f"at0 AS (SELECT CAST({period} AS DATE) AS date, {groups}, sum(coalesce(pnl, 0)) AS contribution_pnl, sum(coalesce(pnl, 0)) / {BOOK} AS contribution_return, count(*) AS observations, avg(abs(weights)) AS avg_abs_weight, avg(weights) AS avg_weight FROM {source} GROUP BY 1, {groups})",
         f"att AS (SELECT *, sum(contribution_pnl) OVER (PARTITION BY date) AS period_pnl, {side} AS side FROM at0)",
@@ -443,7 +443,7 @@ attribution_query("attr_industry_daily", "daily", ("industry",), "date")
 attribution_query("attr_sector_full", "full", ("sector",), "date")
 attribution_query("attr_sector_industry_monthly", "monthly", ("sector", "industry"), "last_day(date)")
 register("attr_side_monthly", lambda spark, d: rounded(at.side_attribution(backtest(spark, d).panel, horizon="monthly", book_size=BOOK).select("date", "side", *ATTRIBUTED, "observations"), 5), sql(
-    "SELECT date, rs AS side, " + ", ".join(f"{rnd(c, 5)} AS {c}" for c in ATTRIBUTED) + ", observations FROM att", *simulated_sql(), "a2 AS (SELECT *, CASE WHEN weights > 0 THEN 'long' WHEN weights < 0 THEN 'short' ELSE 'flat' END AS rs FROM a)", *attr_sql("last_day(date)", "rs", source="a2")))
+    "SELECT date, rs AS side, " + ", ".join(f"{rnd(c, 5)} AS {c}" for c in ATTRIBUTED) + ", observations FROM att", *simulated_sql(), "a2 AS (SELECT *, CASE WHEN weights > 1e-12 THEN 'long' WHEN weights < -1e-12 THEN 'short' ELSE 'flat' END AS rs FROM a)", *attr_sql("last_day(date)", "rs", source="a2")))
 register("attr_snapshot", lambda spark, d: rounded(at.attribution_snapshot(at.attribution(backtest(spark, d).panel, horizon="monthly", book_size=BOOK), period="1996-02-20", top=10).select("date", "ticker", "contribution_pnl"), 5), sql(
     f"SELECT date, ticker, {rnd('contribution_pnl', 5)} AS contribution_pnl FROM att WHERE date = (SELECT date FROM att ORDER BY abs(date - DATE '1996-02-20'), date LIMIT 1) ORDER BY abs(contribution_pnl) DESC, ticker LIMIT 10", *simulated_sql(), *attr_sql("last_day(date)", "ticker")))
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
