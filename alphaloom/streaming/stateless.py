@@ -33,6 +33,6 @@ def stream_signal(bars: DataFrame, name: str, e: Expr) -> DataFrame:
 
 def stream_bars(trades: DataFrame, *, time: str = "ts", ticker: str = "user_id", value: str = "value", every: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Bars of a stream of trades: one row a window and ticker, once the watermark has passed it."""
-    seen = trades.where(f"{ticker} is not null and {value} is not null").withWatermark(time, late)
+    seen = trades.where(f"{ticker} is not null and {value} is not null").withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
     window = seen.groupBy(F.window(time, every).alias("w"), F.col(ticker).alias("ticker"))
     return window.agg(F.max(value).alias("high"), F.min(value).alias("low"), F.avg(value).alias("close"), F.count("*").cast("double").alias("volume")).select(F.col("w.start").alias("date"), "ticker", "high", "low", "close", "volume")
