@@ -139,7 +139,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, *, max_train: int = 6000, n_wo
     """Fits the chain on at most ``max_train`` labelled documents.
 
     A toxic document is of a category if it holds one of its words. To these come documents of one
-    lexicon word each, labelled as toxic, and one empty document: with few or no labels the chain
+    lexicon word each, labelled as toxic, and as many empty ones: with few or no labels the chain
     still knows the lexicon. Labels that are null or belong to no document are passed over.
     """
     sample = written(labelled_sample(docs, labels, max_train), "labelled")
@@ -152,7 +152,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, *, max_train: int = 6000, n_wo
 
     rows = map_batches(sample.select("doc_id", "toxic", "text"), held, "doc_id long, toxic int, held array<int>").orderBy("doc_id").collect()
     own = [(list(r["held"]), r["toxic"], i % folds) for i, r in enumerate(rows)]
-    own += [([model.place[w]], 1, -1) for w in lexicon] + [([], 0, -1)]
+    own += [([model.place[w]], 1, -1) for w in lexicon] + [([], 0, -1)] * len(lexicon)
     x, y = model.features([h for h, _, _ in own]), np.array([t for _, t, _ in own], float)
     counts = x[:, len(model.words) :]
     categories = [(counts[:, g] > 0) * y for g in range(len(LEXICON))] + [y]
