@@ -7,8 +7,8 @@ will be for new documents.
 
 Fitting looks at a bounded sample of labelled documents (``max_train``, half of them toxic
 where there are so many). Word counts by label are a Spark aggregation; what comes to the
-driver is the words most bound to the label, at most ``n_words`` of them, and for each sampled
-document the few of them that it holds. Scoring is one pass over the documents, without
+driver is the terms most bound to the label (words and stems), some ``n_terms`` of them, and
+for each sampled document the few of them that it holds. Scoring is one pass over the documents, without
 a shuffle.
 """
 
@@ -29,12 +29,20 @@ LEXICON = {
     "contempt": ["pathetic", "worthless", "disgusting", "despicable", "contemptible", "useless"],
     "dehumanising": ["scum", "trash", "vermin", "garbage", "filth", "subhuman", "parasite"],
 }
-CATEGORIES = [*LEXICON, "toxic"]
+#: The categories in the chain's order; other: toxic without a word of the lexicon.
+CATEGORIES = [*LEXICON, "other", "toxic"]
+#: Lengths of the word beginnings that are features, so that a stem is known in all its inflections.
+STEMS = range(4, 8)
+
+
+def terms(words: set[str]) -> set[str]:
+    """The words, and as ``stem*`` each beginning of a longer word."""
+    return words | {f"{w[:k]}*" for w in words for k in STEMS if len(w) > k}
 
 
 @dataclass
 class ChainModel:
-    """Words (feature places 0..), then one count a lexicon group, then the chain's earlier probabilities."""
+    """Terms (feature places 0..), then one count a lexicon group, then the chain's earlier probabilities."""
 
     words: list[str]
     weights: list[np.ndarray]
@@ -42,6 +50,7 @@ class ChainModel:
 
     def __post_init__(self) -> None:
         self.place = {w: i for i, w in enumerate(self.words)}
+        self.starts = {w[: STEMS.start] for w in self.words if w.endswith("*")}
         self.group = np.array([next((g for g, ws in enumerate(LEXICON.values()) if w in ws), -1) for w in self.words])
 
     def features(self, held: list[list[int]]) -> np.ndarray:
@@ -53,7 +62,9 @@ class ChainModel:
         return x
 
     def held(self, text: str | None) -> list[int]:
-        return sorted(self.place[w] for w in self.place.keys() & WORD.findall((text or "").lower()))
+        words = set(WORD.findall((text or "").lower()))
+        near = {w for w in words if w[: STEMS.start] in self.starts}
+        return sorted(self.place[w] for w in self.place.keys() & (words | terms(near)))
 
     def predict(self, texts: list[str | None]) -> np.ndarray:
         """A row of probabilities a text, one a category."""
@@ -121,30 +132,41 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_train: int) -> DataF
     return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
-def telling_words(sample: DataFrame, n_words: int, min_docs: int = 3) -> list[str]:
-    """The words whose presence is most bound to the label, by the G statistic of their two-by-two table."""
+def telling_terms(sample: DataFrame, most: int, min_docs: int = 3) -> list[str]:
+    """The terms whose presence is most bound to toxic documents, by the G statistic of their two-by-two table.
+
+    Of a term and one that begins it, the longer is kept only where it tells more surely.
+    """
     totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     a, b = totals.get(1, 0), totals.get(0, 0)
     if not a or not b:
         return []
-    words = sample.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), 1))).alias("word"))
-    n = words.groupBy("word").agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0")).where(F.col("n1") + F.col("n0") >= min_docs)
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), 1))
+    stems = lambda w: [F.when(F.length(w) > k, F.concat(F.substring(w, 1, k), F.lit("*"))) for k in STEMS]
+    found = F.array_compact(F.array_distinct(F.flatten(F.transform(words, lambda w: F.array(w, *stems(w))))))
+    n = sample.select("toxic", F.explode(found).alias("term")).groupBy("term").agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0"))
     part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(F.lit(0.0))
     n1, n0, t = F.col("n1").cast("double"), F.col("n0").cast("double"), float(a + b)
     g = 2 * (part(n1, (n1 + n0) * a / t) + part(n0, (n1 + n0) * b / t) + part(a - n1, (t - n1 - n0) * a / t) + part(b - n0, (t - n1 - n0) * b / t))
-    return [r["word"] for r in n.select("word", g.alias("g")).where(F.col("g") > 10.83).orderBy(F.desc("g"), "word").limit(n_words).collect()]
+    bound = n.where(F.col("n1") + F.col("n0") >= min_docs).select("term", "n1", "n0", g.alias("g")).where((F.col("g") > 10.83) & (n1 / a > n0 / b))
+    chosen: dict[str, float] = {}
+    for r in bound.orderBy(F.desc("g"), F.length("term"), "term").limit(20 * most).collect():
+        word, sure = r["term"].rstrip("*"), r["n1"] / (r["n1"] + r["n0"])
+        if len(chosen) < most and not any(word.startswith(c[:-1]) and chosen[c] >= sure for c in chosen if c.endswith("*")):
+            chosen[r["term"]] = sure
+    return list(chosen)
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, *, max_train: int = 6000, n_words: int = 96, folds: int = 5) -> ChainModel:
+def fit_chain(docs: DataFrame, labels: DataFrame, *, max_train: int = 6000, n_terms: int = 96, folds: int = 5) -> ChainModel:
     """Fits the chain on at most ``max_train`` labelled documents.
 
-    A toxic document is of a category if it holds one of its words. To these come documents of one
+    A toxic document is of a category if it holds one of its words, and of ``other`` if it holds none. To these come documents of one
     lexicon word each, labelled as toxic, and as many empty ones: with few or no labels the chain
     still knows the lexicon. Labels that are null or belong to no document are passed over.
     """
     sample = written(labelled_sample(docs, labels, max_train), "labelled")
     lexicon = [w for ws in LEXICON.values() for w in ws]
-    model = ChainModel(list(dict.fromkeys(lexicon + telling_words(sample, n_words))), [], 0.5)
+    model = ChainModel(list(dict.fromkeys(lexicon + telling_terms(sample, n_terms))), [], 0.5)
 
     def held(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = pa.array([model.held(t) for t in batch.column(2).to_pylist()], pa.list_(pa.int32()))
@@ -155,7 +177,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, *, max_train: int = 6000, n_wo
     own += [([model.place[w]], 1, -1) for w in lexicon] + [([], 0, -1)] * len(lexicon)
     x, y = model.features([h for h, _, _ in own]), np.array([t for _, t, _ in own], float)
     counts = x[:, len(model.words) :]
-    categories = [(counts[:, g] > 0) * y for g in range(len(LEXICON))] + [y]
+    categories = [(counts[:, g] > 0) * y for g in range(len(LEXICON))] + [(counts.sum(axis=1) == 0) * y, y]
     fold = np.array([k for _, _, k in own])
     model.weights, p = fit_chain_on(x, np.column_stack(categories), fold, folds)
     seen = fold >= 0
