@@ -23,6 +23,8 @@ from .common import written
 
 #: Bytes of records that one bucket should hold; a task needs a few times this.
 BUCKET_BYTES = 2 << 20
+#: Buckets that one task of pass two reads, on average.
+BUCKETS_A_TASK = 8
 
 
 def shard_of(key: Column, n_shards: int, seed: int) -> Column:
@@ -66,7 +68,8 @@ def shuffled_shards(
         .agg(F.count("*").alias("n"))
         .select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     )
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a task reads a few buckets, however many there are
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_shards * per_shard / BUCKETS_A_TASK))
     buckets = (
         scattered.repartition(parts, "shard", "bucket")
         .groupBy("shard", "bucket")
