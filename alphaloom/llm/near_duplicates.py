@@ -270,13 +270,9 @@ def near_duplicate_nodes(docs: DataFrame, *, words: int = WORDS, similarity: flo
     star = filled.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
     sets = written(shingle_sets(docs, filled.select("node").distinct(), words), "shingles")
     first = components(similar_pairs(star, sets, similarity))
-    more = unresolved_links(filled.select("key", "node"), first, sets, similarity, block)
-    name = lambda c: first.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    joined = written(more, "links").join(name("a"), "a", "left").join(name("b"), "b", "left")
-    second = components(joined.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")))
-    over = second.select(F.col("node").alias("root"), F.col("root").alias("top"))
-    alone = second.join(first.select("node"), "node", "left_anti")
-    return first.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(alone)
+    more = written(unresolved_links(filled.select("key", "node"), first, sets, similarity, block), "links")
+    # the stars of the first components stand for their links, so no node is renamed by a join on its root
+    return components(more.unionByName(first.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
 def _with_node(docs: DataFrame) -> DataFrame:
@@ -300,7 +296,8 @@ def near_duplicate_classes(docs: DataFrame, **options) -> DataFrame:
     # One row a different text, then one a class.
     least = named.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     rooted = least.join(nodes, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
-    by_root = rooted.groupBy("root").agg(F.min("least").alias("class_id"))
+    # a table of its own: a join of two exchanges is one that a large class can be split in
+    by_root = written(rooted.groupBy("root").agg(F.min("least").alias("class_id")), "roots")
     class_of = written(rooted.join(by_root, "root").select("node", "class_id"), "classes")
     out = named.where("node is not null").join(class_of, "node").select("doc_id", "class_id")
     return out.unionByName(named.where("node is null").select("doc_id", F.col("doc_id").alias("class_id")))
