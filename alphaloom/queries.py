@@ -31,10 +31,15 @@ BOOK = 1000.0
 UNIVERSE = 60
 
 
+def nudge(n: int) -> float:
+    """Less than rounding to n digits shows: ratios of cents and units lie on rounding boundaries by construction."""
+    return 1.37e-3 * 10.0**-n
+
+
 def rounded(df: DataFrame, digits: dict[str, int] | int = 6) -> DataFrame:
     """df with its doubles rounded, -0.0 as 0.0."""
     places = lambda c: digits if isinstance(digits, int) else digits.get(c, 6)
-    return df.select(*[(F.round(F.col(f"`{c}`"), places(c)) + 0.0).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+    return df.select(*[(F.round(F.col(f"`{c}`") + nudge(places(c)), places(c)) + 0.0).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
 def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +94,7 @@ def sql(select: str, *ctes: str, unit: str = "week") -> str:
 
 
 def rnd(e: str, n: int = 6) -> str:
-    return f"round({e}, {n}) + 0.0"
+    return f"round({e} + {nudge(n)!r}::DOUBLE, {n}) + 0.0"
 
 
 def value_sql(e: str, *ctes: str, source: str = "f") -> str:
@@ -191,8 +196,10 @@ formula("expr_method", "returns.fillna(0).abs().round(2)", "round_even(abs(coale
 
 # ---- fields
 
-for _name in DERIVED:
-    _digits = 2 if _name in ("dollar_volume", "market_cap", "adv20") else 6
+# Means of cents lie on rounding boundaries by construction; their logarithms do not.
+register("field_adv20", lambda spark, d: rounded(with_derived(trade_panel(spark, d), ["adv20"]).select("date", "ticker", F.log("adv20").alias("log_adv20"))), sql(f"SELECT date, ticker, {rnd('ln(adv20)')} AS log_adv20 FROM f"))
+for _name in sorted(DERIVED.keys() - {"adv20"}):
+    _digits = 2 if _name in ("dollar_volume", "market_cap") else 6
     register(f"field_{_name}", lambda spark, d, n=_name, k=_digits: rounded(with_derived(trade_panel(spark, d), [n]).select("date", "ticker", n), k), sql(f"SELECT date, ticker, {rnd(_name, _digits)} AS {_name} FROM f"))
 register("universe_mask", lambda spark, d: in_universe(spark, d).select("date", "ticker", "in_universe"), sql("SELECT date, ticker, in_universe FROM u"))
 register("bars_monthly", lambda spark, d: rounded(trade_panel(spark, d, "month").select("date", "ticker", "open", "high", "low", "close", "volume", "sector")), sql(f"SELECT date, ticker, {rnd('open')} AS open, {rnd('high')} AS high, {rnd('low')} AS low, {rnd('close')} AS close, volume, sector FROM panel", unit="month"))
