@@ -1,9 +1,10 @@
 """Near-duplicate classes of documents by ProbMinHash, banding and exact verification.
 
-Shingles are five words, weighted by 1 + ln(count). In ProbMinHash every shingle starts a Poisson process
-whose rate is its weight; an arrival falls on a random register, and each register keeps the
+Shingles are five words, all of one weight, however often they occur. In ProbMinHash every shingle starts a
+Poisson process whose rate is its weight; an arrival falls on a random register, and each register keeps the
 shingle that arrived first. Registers of two documents then agree with the probability
-Jaccard similarity of their weights. A document's processes stop as soon as the next
+Jaccard similarity of their weights, which for equal weights is the Jaccard similarity of
+the sets: that of the verification. A document's processes stop as soon as the next
 arrivals come later than all its registers hold. The registers' bands are bucket keys.
 
 Texts that are equal are one node from the start, so groups of copies cost one row. Within a
@@ -89,25 +90,24 @@ def band_keys(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def sketch(texts: list[str], words: int, bands: int, rows: int) -> list[np.ndarray | None]:
     """The band keys of each text; None for one without words."""
     out: list[np.ndarray | None] = [None] * len(texts)
-    group: list[tuple[int, np.ndarray, np.ndarray]] = []
+    group: list[tuple[int, np.ndarray]] = []
 
     def flush() -> None:
         if group:
-            sizes = [len(v) for _, v, _ in group]
+            sizes = [len(v) for _, v in group]
             doc = np.repeat(np.arange(len(group)), sizes)
-            weights = 1 + np.log(np.concatenate([c for _, _, c in group]))
-            registers = prob_minhash(np.concatenate([v for _, v, _ in group]), weights, doc, len(group), bands * rows)
-            for (i, _, _), keys in zip(group, band_keys(registers, bands, rows), strict=True):
+            registers = prob_minhash(np.concatenate([v for _, v in group]), np.ones(len(doc)), doc, len(group), bands * rows)
+            for (i, _), keys in zip(group, band_keys(registers, bands, rows), strict=True):
                 out[i] = keys
             group.clear()
 
     total = 0
     for i, text in enumerate(texts):
-        values, counts = np.unique(shingles(text, words), return_counts=True)
+        values = np.unique(shingles(text, words))
         if len(values) == 1:
             out[i] = band_keys(np.full((1, bands * rows), values[0]), bands, rows)[0]
         elif len(values):
-            group.append((i, values, counts))
+            group.append((i, values))
             total += len(values)
             if total > SIDE_BY_SIDE:
                 flush()

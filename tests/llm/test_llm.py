@@ -239,6 +239,18 @@ def test_near_duplicates(spark, block):
     assert got == brute_classes(texts)
 
 
+def test_near_duplicates_with_repeated_lines(spark):
+    """Production bands: a common body, each text with its own line many times."""
+    rng = random.Random(16)
+    texts = []
+    for _ in range(40):
+        body = words(rng, 130)
+        texts += [body + ("\n" + line) * 20 for line in (words(rng, 10), words(rng, 10))]
+    want = brute_classes(texts)
+    assert sum(i != c for i, c in want.items()) == 40
+    assert {r["doc_id"]: r["class_id"] for r in near_duplicates.near_duplicate_classes(table(spark, texts)).collect()} == want
+
+
 def test_one_of_each(spark):
     texts = chained_texts(random.Random(7))
     kept = near_duplicates.one_of_each(table(spark, texts).withColumns({c: F.lit(1) for c in EXTRA}))
