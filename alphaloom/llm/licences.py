@@ -1,7 +1,9 @@
 """Licence recognition by sentence rules, with DataFrame functions only.
 
-A text is cut into sentences, each is normalised (lower case, letters and digits, single
-spaces) and looked up among known licence sentences; the identifiers found, in text order,
+A text is normalised (lower case, letters and digits, single spaces) and cut where a sentence
+may end. Stops and blank lines end every sentence; a single line end, a colon or a semicolon may stand within one,
+since notices are wrapped and commented out. Runs of parts that make up a known licence sentence are looked
+up, the longest first; the identifiers found, in text order,
 form a sequence that ordered rules then match: earlier rules are the more specific ones and
 use up the identifiers that they match. All of this happens within a row, so nothing is moved.
 """
@@ -79,16 +81,27 @@ RULES = [
     ("CC-BY-4.0", ["CC_BY_4"]),
 ]
 
-#: Where sentences end: a line end, or a stop and white space.
-BOUNDARY = r"\n|[.!?:;]+(?:\s+|$)"
+#: Cuts, in order; X ends a sentence, Y may stand within one (texts are in lower case, so neither is a letter of theirs).
+#: A line without letters and digits, bare comment marks too, is blank.
+CUTS = [
+    (r"\n[^a-z0-9\n]*(?=\n)", "X"),
+    (r"(?<![.!?:;])[:;]++(?:\s+|$)", "Y"),
+    (r"(?<![.!?:;])[.!?:;]++(?:\s+|$)", "X"),
+    (r"\n", "Y"),
+    (r"[^a-z0-9XY]+", " "),
+]
 
 
 def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
     """Identifiers of a text's known sentences, in order."""
     known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
-    cut = F.split(F.lower(F.coalesce(text, F.lit(""))), BOUNDARY)
-    normal = F.transform(cut, lambda s: F.trim(F.regexp_replace(s, r"[^a-z0-9]+", " ")))
-    return F.filter(F.transform(normal, lambda s: F.try_element_at(known, s)), lambda s: s.isNotNull())
+    cut = F.lower(F.coalesce(text, F.lit("")))
+    for pattern, mark in CUTS:
+        cut = F.regexp_replace(cut, pattern, mark)
+    cut = F.regexp_replace(F.concat(F.lit("Y"), cut, F.lit("Y")), " ?([XY]) ?", "$1")
+    runs = "|".join("[ Y]+".join(s.split()) for s in sorted(sentences, key=len, reverse=True))
+    found = F.regexp_extract_all(cut, F.lit(f"(?<=[XY])(?:{runs})(?=[XY])"), F.lit(0))
+    return F.transform(found, lambda s: F.element_at(known, F.regexp_replace(s, "[ Y]+", " ")))
 
 
 def match_rules(ids: Column, rules: list[tuple[str, list[str]]] = RULES) -> tuple[Column, Column]:

@@ -119,6 +119,86 @@ def test_licences(spark):
     assert len(licences.SENTENCES) < 200 and set(i for _, run in licences.RULES for i in run) <= set(licences.SENTENCES.values())
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+BSD = """Copyright (c) 2020, Some One
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+
+
+def test_verbatim_notices(spark):
+    """Wrapped at their usual width, plain and in comments, with either line end."""
+    gpl_2 = GPL.replace("software:", "software;").replace("version 3", "version 2")
+    want = [
+        (MIT, ["MIT"], ["MIT_NAME", "MIT_GRANT", "MIT_NOTICE", "MIT_AS_IS", "MIT_LIABILITY"]),
+        (BSD, ["BSD-3-Clause"], ["RESERVED", "BSD_GRANT", "BSD_SOURCE", "BSD_BINARY", "BSD_NAMES"]),
+        (APACHE, ["Apache-2.0"], ["APACHE_2_HEAD", "APACHE_COMPLY", "APACHE_OBTAIN", "APACHE_AS_IS", "APACHE_SEE"]),
+        (GPL, ["GPL-3.0-or-later"], ["GPL_3_PLUS", "GPL_HOPE", "GPL_DETAILS"]),
+        (gpl_2, ["GPL-2.0-or-later"], ["GPL_2_PLUS", "GPL_HOPE", "GPL_DETAILS"]),
+        ("SPDX-License-Identifier: MIT", ["MIT"], ["MIT_NAME"]),
+        ("Not the\n\nMIT License here. Released under the. MIT license text", [], None),
+        ("a.\n" + "\n" * 30000 + ":" * 30000 + "." * 30000 + " x", [], None),
+    ]
+    forms = [lambda t: t, lambda t: t.replace("\n", "\r\n"), lambda t: "/*\n * " + t.replace("\n", "\n * ") + "\n */", lambda t: "# " + t.replace("\n", "\n# ")]
+    texts = [form(t) for t, _, _ in want for form in forms]
+    got = {r["doc_id"]: (r["licences"], r["sentence_ids"]) for r in licences.scan_licences(table(spark, texts)).collect()}
+    for i in range(len(texts)):
+        _, found, ids = want[i // len(forms)]
+        assert got.get(i, ([], None)) == (found, ids), texts[i][:100]
+
+
 # ---- 4 decontamination
 
 
