@@ -5,6 +5,8 @@ k + 1 pieces, one piece at least must then occur unchanged. An automaton over al
 finds those hits in one walk over a text; each hit says where the item would lie, and Myers'
 bit-parallel algorithm gives the item's least edit distance to any substring there.
 
+Items under 24 characters occur without edits only, as whole words: their one piece is all of them.
+
 Items and texts are compared as lower-case words with single spaces. The items go to the
 tasks in blocks of bounded size, one pass over the documents each; documents are not moved.
 """
@@ -12,6 +14,7 @@ tasks in blocks of bounded size, one pass over the documents each; documents are
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -23,14 +26,22 @@ from .common import WORD, map_batches
 
 #: Characters of test items in one block: what a task's automaton is built of.
 BLOCK_CHARS = 4 << 20
-#: Items with fewer characters are no evidence of a leak and take no part.
+#: Items with fewer characters must occur exactly, as whole words.
 MIN_CHARS = 24
+#: Letters of scripts that put no spaces between words: Thai to Myanmar, Khmer, kana and ideographs.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def normal(text: str | None) -> str:
     return " ".join(WORD.findall((text or "").lower()))
 
 
+def whole_words(text: str, start: int, end: int) -> bool:
+    """No word of a normal text is cut at start or end; scripts without spaces are cut anywhere."""
+    left = start == 0 or text[start - 1] == " " or UNSPACED.match(text[start]) is not None
+    return left and (end == len(text) or text[end] == " " or UNSPACED.match(text[end - 1]) is not None)
+
+
 def cut_pieces(n: int, k: int) -> list[tuple[int, int]]:
     """(start, end) of k + 1 pieces of n characters, as equal as can be."""
     return [(n * i // (k + 1), n * (i + 1) // (k + 1)) for i in range(k + 1)]
@@ -67,7 +78,7 @@ class Matcher:
     """Finds one block of items in texts."""
 
     def __init__(self, items: list[tuple[int, str]], error_rate: float) -> None:
-        self.items = [(i, s, math.floor(error_rate * len(s))) for i, s in items]
+        self.items = [(i, s, math.floor(error_rate * len(s)) if len(s) >= MIN_CHARS else 0) for i, s in items]
         where: dict[str, list[tuple[int, int]]] = {}
         for n, (_, s, k) in enumerate(self.items):
             for a, b in cut_pieces(len(s), k):
@@ -82,6 +93,8 @@ class Matcher:
         starts: dict[int, set[int]] = {}
         for last, places in self.automaton.iter(text):
             for n, b in places:
+                if len(self.items[n][1]) < MIN_CHARS and not whole_words(text, last + 1 - b, last + 1):
+                    continue
                 starts.setdefault(n, set()).add(last + 1 - b)
         out = []
         for n, found in sorted(starts.items()):
@@ -122,7 +135,7 @@ def item_blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple[int,
     blocks = math.ceil(total / block_chars)
     for b in range(blocks):
         own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        if kept := [(r["item_id"], s) for r in own if len(s := normal(r["text"])) >= MIN_CHARS]:
+        if kept := [(r["item_id"], s) for r in own if (s := normal(r["text"]))]:
             yield sorted(kept)
 
 
@@ -130,8 +143,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, error_rate: float = 0.08, b
     """doc_id, item_id, distance and the span start, end_ in the text's normal form: the best occurrence of each
     test item in each document that holds it within its budget of edits.
 
-    Null and empty texts and items match nothing; items of fewer than MIN_CHARS characters take no
-    part; repeated documents give repeated rows; of items with equal ids each different text is an
+    Null and empty texts and items match nothing; items of fewer than MIN_CHARS characters occur
+    as whole words without edits; repeated documents give repeated rows; of items with equal ids each different text is an
     item; an empty table on either side gives no rows.
     """
     schema = "doc_id long, item_id long, distance int, start long, end_ long"

@@ -248,6 +248,14 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(table(spark, texts), items_df.limit(0)).count() == 0 and decontaminate.find_leaks(empty(spark), items_df).count() == 0
 
 
+def test_short_items(spark):
+    items = spark.createDataFrame([(1, "Who wrote Emma?"), (2, "中国的首都是哪里？"), (3, "art"), (4, "?!")], "item_id long, text string")
+    texts = ["Quiz: who  wrote EMMA? Jane.", "who wrote emmanuel", "who wrote emmo", "请回答:中国的首都是哪里", "请回答中国的首都是哪里吗", "中国的首都", "start artist smart", "his art", "art", "", None]
+    got = {(r["doc_id"], r["item_id"], r["distance"], r["start"], r["end_"]) for r in decontaminate.find_leaks(table(spark, texts), items).collect()}
+    assert got == {(0, 1, 0, 5, 19), (3, 2, 0, 4, 12), (4, 2, 0, 3, 11), (7, 3, 0, 4, 7), (8, 3, 0, 0, 3)}
+    assert {r["doc_id"] for r in decontaminate.without_leaks(table(spark, texts), items).collect()} == {1, 2, 5, 6, 9, 10}
+
+
 # ---- 5 pages
 
 
