@@ -5,8 +5,10 @@ path are taken together: their text's length and its punctuation, each as a rati
 number of nodes. Along the page the two ratios are smoothed, so that a short node between
 content nodes takes part in them, then multiplied into one score, and paths at or above a
 threshold (the page's weighted mean less a part of the deviation) are content. The text is
-that of the smallest element that holds nearly all content, without elements that are never
-content: navigation, header, footer, asides, forms, adverts, notices, comments.
+that of the smallest element that holds nearly all content, or of the article or main element around it, and
+what outside it is content too: blocks with a node at the threshold, and headings and
+paragraphs that are not mostly links. Elements that are never content go: navigation, header, footer,
+asides, forms, adverts, notices, comments.
 
 Pages are independent: one pass, no shuffle.
 """
@@ -38,6 +40,8 @@ NEVER_NAME = re.compile(
     re.I,
 )
 
+#: Elements whose text is prose by its markup.
+PROSE = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote", "pre", "figcaption"}
 #: Elements nested deeper are laid flat, as browsers do.
 DEEPEST = 512
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
@@ -152,6 +156,19 @@ def path_scores(nodes: list[Node]) -> tuple[np.ndarray, float]:
     return score[path], mean - 0.5 * np.sqrt(np.average((score - mean) ** 2, weights=weight))
 
 
+def prose_blocks(nodes: list[Node]) -> set[int]:
+    """Blocks in headings, paragraphs or other elements of prose, less than half of whose text is in links (a first heading may be one)."""
+    inside: dict[int, list[int]] = {}
+    for n in nodes:
+        tags = {t.split(".")[0] for t in n.path.split("/")}
+        if not n.never and tags & PROSE:
+            size = len(n.text.strip())
+            sizes = inside.setdefault(n.block, [0, 0])
+            sizes[0] += size
+            sizes[1] += size if "a" in tags and "h1" not in tags else 0
+    return {b for b, (size, linked) in inside.items() if 2 * linked < size}
+
+
 def main_text(page: str | None, share: float = 0.9) -> str:
     """The page's main text: blocks in page order, one a line; empty for a page without any."""
     nodes = text_nodes(page or "")
@@ -162,7 +179,7 @@ def main_text(page: str | None, share: float = 0.9) -> str:
     content = [n for n, s in zip(seen, score, strict=True) if s >= least and not n.never]
     if not content:
         return ""
-    # The smallest element with nearly all of the content's text.
+    # The smallest element with nearly all of the content's text, then the article or main element around it.
     held: dict[int, int] = {}
     for n in content:
         for element in n.inside:
@@ -176,10 +193,13 @@ def main_text(page: str | None, share: float = 0.9) -> str:
         depth = around.inside.index(root)
         while depth > 0 and (tags[depth] in INLINE or tags[depth] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "blockquote")):
             depth -= 1
+        depth = next((i for i in range(depth, -1, -1) if tags[i] in ("article", "main")), depth)
         root = around.inside[depth]
+    # Blocks outside it stay if they are content themselves.
+    passed = {n.block for n in content} | prose_blocks(seen)
     blocks: dict[int, list[str]] = {}
     for n in nodes:
-        if not n.never and (root is None or root in n.inside):
+        if not n.never and (root is None or root in n.inside or n.block in passed):
             blocks.setdefault(n.block, []).append(n.text)
     lines = (" ".join("".join(b).split()) for b in blocks.values())
     return "\n".join(line for line in lines if line)

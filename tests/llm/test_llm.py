@@ -269,6 +269,19 @@ def test_page_text(page, text):
     assert html_text.main_text(page) == text
 
 
+LONG = "One sentence, and more of it. Another one, as long as that. "
+
+
+@pytest.mark.parametrize(("page", "parts"), [
+    (f"<body><nav><a>Home</a></nav><article><h1>Title</h1><p>Lead.</p><div><p>{LONG * 9}</p><p>{LONG * 9}</p></div></article><footer>c</footer></body>", ["Title", "Lead.", LONG * 9, LONG * 9]),
+    (f"<body><div><h1><a>Title</a></h1><p>Lead, with a <a>link</a>.</p><div><p>{LONG * 20}</p></div></div></body>", ["Title", "Lead, with a link.", LONG * 20]),
+    (f"<article><section>{LONG * 23}</section><section>{LONG * 2}</section></article>", [LONG * 23, LONG * 2]),
+    (f"<body><ul><li><a>Home</a><li><a>About</a></ul><p><a>Home</a> | <a>About</a></p><div><section><p>{LONG * 23}</p></section></div><section><p>{LONG * 2}</p></section></body>", [LONG * 23, LONG * 2]),
+])
+def test_all_of_a_page_in_unequal_parts(page, parts):
+    assert html_text.main_text(page).split("\n") == [p.strip() for p in parts]
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", "<p>x, y."), (None, None, None), (1, "u", "<p>x, y.")], "page_id long, url string, html string").withColumn("text", F.lit(3))
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in html_text.extract_text(df).collect()) == [(0, "", 0), (1, "x, y.", 5), (1, "x, y.", 5)]
