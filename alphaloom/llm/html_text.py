@@ -33,13 +33,13 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}, "option": {"option"}, "body": {"head"}}
 SCOPE = {"ul", "ol", "dl", "table", "div", "section", "article", "main", "nav", "aside", "body", "html", "button", "td", "th"}
-NEVER = {"nav", "header", "footer", "aside", "form", "button", "menu", "dialog", "figure"}
+NEVER = {"nav", "header", "footer", "aside", "form", "button", "menu", "dialog"}
 NEVER_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "form", "menu", "menubar"}
-NEVER_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|widget|related|recommended|share|sharing|social|comments?|commentlist|disqus|replies|footer|header|masthead|copyright|pagination|pager|login|signup|search|toolbar)(?:$|[\s_-])",
-    re.I,
-)
-
+# Parts of class names and ids. Names of nothing else but such parts, one of them of boilerplate, are
+# boilerplate; the FIRM ones whatever the element holds.
+FIRM = set("ad ads advert adverts advertisement advertising cookie cookies consent gdpr newsletter subscribe nav navbar navigation breadcrumb breadcrumbs comment comments commentlist disqus replies footer copyright pagination pager login signup".split())
+BOILERPLATE = FIRM | set("sponsor sponsored promo promos promotion promotions banner notice alert popup modal overlay menu sidebar side widget related recommended share sharing social header masthead search toolbar".split())
+BESIDE = set("site main page post posts article articles story stories content top bottom left right primary secondary global mobile box block list area section container wrapper wrap inner bar link links item items button buttons icon icons form text widgets".split())
 #: Elements whose text is prose by its markup.
 PROSE = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote", "pre", "figcaption"}
 #: Elements nested deeper are laid flat, as browsers do.
@@ -52,28 +52,40 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、！？¿¡]")
 
 @dataclass
 class Node:
-    """A text node: its text, its path of tags, the elements around it (numbers, from the root), its block, and whether something around it is never content."""
+    """A text node: its text, its path of tags, the elements around it (numbers, from the root), its block, whether something
+    around it is never content, and the elements around it that are boilerplate by their name alone."""
 
     text: str
     path: str
     inside: tuple[int, ...]
     block: int
     never: bool
+    named: tuple[int, ...] = ()
+
+
+def never_name(value: str) -> tuple[bool, bool]:
+    """Whether one of the names in a class or id is one of boilerplate, and whether one is so firmly."""
+    named = firm = False
+    for name in value.lower().split():
+        parts = [p for p in re.split("[_-]+", name) if p and not p.isdigit()]
+        if any(p in BOILERPLATE for p in parts) and all(p in BOILERPLATE or p in BESIDE for p in parts):
+            named, firm = True, firm or any(p in FIRM for p in parts)
+    return named, firm
 
 
 def text_nodes(page: str) -> list[Node]:
     """The text nodes of a page in order, as browsers nest them in the cases that matter here."""
     nodes: list[Node] = []
-    # An open element: tag, number, tag with its class, never content.
-    stack: list[tuple[str, int, str, bool]] = []
+    # An open element: tag, number, tag with its class, never content, elements up to it that are boilerplate by name.
+    stack: list[tuple[str, int, str, bool, tuple[int, ...]]] = []
     count = block = at = 0
     lower = None
 
     def add(raw: str) -> None:
         if raw and not raw.isspace():
-            nodes.append(Node(html.unescape(raw) if "&" in raw else raw, "/".join(s[2] for s in stack), tuple(s[1] for s in stack), block, bool(stack) and stack[-1][3]))
+            nodes.append(Node(html.unescape(raw) if "&" in raw else raw, "/".join(s[2] for s in stack), tuple(s[1] for s in stack), block, bool(stack) and stack[-1][3], stack[-1][4] if stack else ()))
         elif raw and nodes:
-            nodes.append(Node(" ", "", tuple(s[1] for s in stack), block, bool(stack) and stack[-1][3]))
+            nodes.append(Node(" ", "", tuple(s[1] for s in stack), block, bool(stack) and stack[-1][3], stack[-1][4] if stack else ()))
 
     def close_to(depth: int) -> None:
         nonlocal block
@@ -119,18 +131,21 @@ def text_nodes(page: str) -> list[Node]:
         if len(stack) >= DEEPEST:
             continue
         count += 1
-        named, never = tag, bool(stack) and stack[-1][3] or tag in NEVER
+        named, never, by_name = tag, bool(stack) and stack[-1][3] or tag in NEVER, stack[-1][4] if stack else ()
         if m[3]:
             for name, value in ATTRIBUTE.findall(m[3]):
                 name, value = name.lower(), value.strip("\"'")
                 if name in ("class", "id"):
-                    never = never or tag not in ("html", "body", "article", "main") and bool(NEVER_NAME.search(value))
+                    if tag not in ("html", "body", "article", "main"):
+                        found, firm = never_name(value)
+                        never = never or firm
+                        by_name = (*by_name, count) if found and count not in by_name else by_name
                     named += "." + value if name == "class" else ""
                 elif name == "role":
                     never = never or value.lower() in NEVER_ROLE
                 elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and HIDDEN.search(value):
                     never = True
-        stack.append((tag, count, named, never))
+        stack.append((tag, count, named, never, by_name))
     add(page[at:])
     return nodes
 
@@ -156,6 +171,21 @@ def path_scores(nodes: list[Node]) -> tuple[np.ndarray, float]:
     return score[path], mean - 0.5 * np.sqrt(np.average((score - mean) ** 2, weights=weight))
 
 
+def drop_named(nodes: list[Node], seen: list[Node]) -> None:
+    """Makes the nodes in elements that are boilerplate by name never content, but for elements with most of the page's scored text."""
+    if not any(n.named for n in seen):
+        return
+    score, least = path_scores(seen)
+    content = [n for n, s in zip(seen, score, strict=True) if s >= least and not n.never]
+    held: dict[int, int] = {}
+    for n in content:
+        for element in n.named:
+            held[element] = held.get(element, 0) + len(n.text)
+    half = sum(len(n.text) for n in content) / 2
+    for n in nodes:
+        n.never = n.never or any(held.get(e, 0) <= half for e in n.named)
+
+
 def prose_blocks(nodes: list[Node]) -> set[int]:
     """Blocks in headings, paragraphs or other elements of prose, less than half of whose text is in links (a first heading may be one)."""
     inside: dict[int, list[int]] = {}
@@ -175,6 +205,7 @@ def main_text(page: str | None, share: float = 0.9) -> str:
     seen = [n for n in nodes if n.path or n.text != " "]
     if not seen:
         return ""
+    drop_named(nodes, seen)
     score, least = path_scores(seen)
     content = [n for n, s in zip(seen, score, strict=True) if s >= least and not n.never]
     if not content:

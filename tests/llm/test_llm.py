@@ -282,6 +282,18 @@ def test_all_of_a_page_in_unequal_parts(page, parts):
     assert html_text.main_text(page).split("\n") == [p.strip() for p in parts]
 
 
+@pytest.mark.parametrize(("page", "parts"), [
+    (f'<body><div class="content has-sidebar"><h1>Title</h1><p>{LONG}</p></div></body>', ["Title", LONG]),
+    (f'<body><div id="page" class="with-sidebar"><p>{LONG}</p></div></body>', [LONG]),
+    (f'<body><article><p>{LONG * 4}</p><section class="related-work"><p>{LONG}</p></section></article></body>', [LONG * 4, LONG]),
+    (f'<body><div class="widget"><h1>Title</h1><p>{LONG * 5}</p><div class="share">Share this text, now.</div></div></body>', ["Title", LONG * 5]),
+    (f"<body><article><p>{LONG * 3}</p><figure><img src=x><figcaption>A caption.</figcaption></figure></article></body>", [LONG * 3, "A caption."]),
+    (f'<body><article><p>{LONG * 3}</p></article><div class="related-posts"><p>{LONG}</p></div><div class="cookie-banner"><p>{LONG}</p></div><section id="comments-area"><p>{LONG * 9}</p></section></body>', [LONG * 3]),
+])
+def test_names_of_boilerplate(page, parts):
+    assert html_text.main_text(page).split("\n") == [p.strip() for p in parts]
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", "<p>x, y."), (None, None, None), (1, "u", "<p>x, y.")], "page_id long, url string, html string").withColumn("text", F.lit(3))
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in html_text.extract_text(df).collect()) == [(0, "", 0), (1, "x, y.", 5), (1, "x, y.", 5)]
