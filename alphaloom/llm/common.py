@@ -20,21 +20,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or on one machine a new one where that is unset (tests)."""
     global _own_shared_dir
     if where := spark.conf.get("spark.checkpoint.dir", None):
         return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _own_shared_dir is None:
         _own_shared_dir = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return _own_shared_dir
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder, read again: its lineage ends here, and the table
     outlives any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/alphaloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,11 +2,12 @@
 
 Pass one scatters the records with seeded hashes: the shard comes from the key alone, and
 within its shard a record goes to one of so many buckets that a bucket's bytes fit in a
-task's memory. The scattered records are written to the shared folder, so that both readers
-of pass two see one scatter. Pass two reads a bucket whole, brings it into a fixed order,
-Fisher-Yates shuffles it (``shuffle`` with a seed) and numbers its records after those of the
-shard's buckets before it. Buckets are dealt by key and place, so no source, text or group of
-copies can fill one.
+task's memory. How many that is follows from the bytes that each shard is measured to have, so
+a shard that repeated keys make large has more buckets, not larger ones. The scattered records
+are written to the shared folder, so that both readers of pass two see one scatter. Pass two
+reads a bucket whole, in the order of the records' places, Fisher-Yates shuffles it (``shuffle``
+with a seed), numbers its records after those of the shard's buckets before it and writes
+it. Buckets are dealt by key and place, so no source, text or group of copies can fill one.
 
 The shard is the one whose hash with the key is highest (rendezvous hashing): with one more
 shard, a record either stays or goes to the new one.
@@ -24,7 +25,7 @@ from .common import written
 #: Bytes of records that one bucket should hold; a task needs a few times this.
 BUCKET_BYTES = 2 << 20
 #: Buckets that one task of pass two reads, on average.
-BUCKETS_A_TASK = 8
+BUCKETS_A_TASK = 4
 
 
 def shard_of(key: Column, n_shards: int, seed: int) -> Column:
@@ -43,24 +44,28 @@ def shuffled_shards(
     bucket_bytes: int = BUCKET_BYTES,
 ) -> DataFrame:
     """``shard`` int, ``slot`` long (the row's place in its shard, gapless from 0), ``grown_shard`` int
-    (its shard if there were one more) and ``row``, the row of df as a struct.
+    (its shard if there were one more) and ``row``, the row of df as a struct: a written table.
 
     ``key`` and the number of shards decide the shard. Rows with a null key share one shard; equal
-    rows stay apart; an empty table gives no rows; df may have columns of any name, since they stay
-    inside ``row``. ``size`` is a row's bytes. The order depends on the rows, their places in the
-    input, the seed and the number of buckets.
+    rows stay apart; an empty table gives no rows; df may have columns of any name and type, since they
+    stay inside ``row``. ``size`` is a row's bytes; one row of more than a bucket's bytes is a bucket
+    of its own size. The order depends on the rows, their places in the input, the seed and
+    the numbers of buckets.
     """
     own = F.col(f"`{key}`")
-    total = df.agg(F.sum(size.cast("double"))).first()[0] or 0
-    per_shard = max(1, math.ceil(total / n_shards / bucket_bytes))
+    shard = shard_of(own, n_shards, seed)
+    # one number a shard
+    sums = {r["shard"]: r["bytes"] or 0 for r in df.groupBy(shard.alias("shard")).agg(F.sum(size.cast("double")).alias("bytes")).collect()}
+    buckets_of = [max(1, math.ceil(sums.get(i, 0) / bucket_bytes)) for i in range(n_shards)]
     scattered = written(
         df.select(
             F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
-            shard_of(own, n_shards, seed).alias("shard"),
+            shard.alias("shard"),
             shard_of(own, n_shards + 1, seed).alias("grown_shard"),
-            F.pmod(F.xxhash64(F.lit(seed), own, F.monotonically_increasing_id()), F.lit(per_shard)).alias("bucket"),
-        ),
+            F.monotonically_increasing_id().alias("place"),
+        ).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), f"row.`{key}`", "place"), F.element_at(F.array(*[F.lit(n) for n in buckets_of]), F.col("shard") + 1))),
         "scatter",
+        compression="zstd",
     )
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -69,23 +74,24 @@ def shuffled_shards(
         .select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     )
     # a task reads a few buckets, however many there are
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_shards * per_shard / BUCKETS_A_TASK))
+    parts = math.ceil(sum(buckets_of) / BUCKETS_A_TASK)
     buckets = (
         scattered.repartition(parts, "shard", "bucket")
         .groupBy("shard", "bucket")
-        .agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("row").alias("h"), "row", "grown_shard"))).alias("rows"))
+        .agg(F.collect_list(F.struct("place", "row", "grown_shard")).alias("rows"))
         # shuffle() is seeded by partition: the buckets of one come to it in a fixed order
         .sortWithinPartitions("shard", "bucket")
-        .select("shard", "bucket", F.shuffle("rows", seed).alias("rows"))
+        .select("shard", "bucket", F.shuffle(F.array_sort("rows", lambda a, b: F.when(a["place"] < b["place"], -1).otherwise(1)), seed).alias("rows"))
     )
-    return (
+    numbered = (
         buckets.join(offsets, ["shard", "bucket"])
-        .select("shard", "offset", F.posexplode("rows").alias("place", "one"))
-        .select("shard", (F.col("offset") + F.col("place")).alias("slot"), F.col("one.grown_shard").alias("grown_shard"), F.col("one.row").alias("row"))
+        .select("shard", "offset", F.posexplode("rows").alias("nth", "one"))
+        .select("shard", (F.col("offset") + F.col("nth")).alias("slot"), F.col("one.grown_shard").alias("grown_shard"), F.col("one.row").alias("row"))
     )
+    return written(numbered, "shards", compression="zstd")
 
 
 def write_shards(shards: DataFrame, path: str) -> None:
-    """The shuffled records as Parquet, one folder a shard, each file in slot order."""
+    """The shuffled records as Parquet, one folder a shard, without another shuffle: a file holds whole buckets, and ``slot`` orders them."""
     out = shards.select("shard", "slot", "row.*") if not {"shard", "slot"} & {c.lower() for c in shards.schema["row"].dataType.names} else shards
-    out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    out.write.partitionBy("shard").parquet(path)
