@@ -1,27 +1,30 @@
 """URL rules by a sort-merge range join, with DataFrame functions only.
 
-A rule is a host and a path prefix; it fits its host and every subdomain. Written with the
-host reversed (``com.example/en/7``), the urls that a rule fits on one host are an interval of
-the sorted keys. A url takes part once for each of its host's suffixes that some rule names,
-so that subdomains need no interval of their own.
-
-Rules and urls are sorted together within a block and swept once. At a rule the sweep holds
-the stack of rules that are active there: the rule and those it is nested in. At a url, the
-last stack is popped down to the rules whose interval has not ended, and the innermost one
-left is the url's rule on that host. Among its hosts, the longest rule wins.
-
-A block is one rule host, cut into salted parts when many urls have it, so a host with a third
-of all urls is swept by many tasks; the host's rules go to each part, and a part has several
-times more urls than the host has rules. Only urls are read and moved, never pages.
+A host's canonical key is its labels in reverse order, each ended by a dot (``com.example.``), so
+a rule's host and all of its subdomains are one interval of the sorted keys: those that begin
+with the rule's key. Such intervals are nested or disjoint.
+
+Rules and urls are sorted together by that key and swept once. The sweep holds the stack of
+rule hosts passed last, one place for each number of labels. A rule host takes its place in
+the stack; the places above it, and any that the sweep has left, are no prefix of the key at hand
+and thereby popped. At a url the active places are the rule hosts around it, outermost first,
+each with its path rules from the shortest to the longest; the last of these that the path
+begins with is the url's rule.
+
+Urls are dealt to the sweeps evenly, by a hash of their row and not by host, so a host with a
+third of all urls is swept by many tasks. Every sweep gets all rules: a quarter as many rows as it
+has urls, at most. Each url is moved once, and pages are not moved.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Urls in one part of a block, at most on average.
-PART_ROWS = 1024
+#: Urls of one sweep, at least and on average; four times the rules, if these are more.
+PART_ROWS = 4096
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -41,21 +44,19 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(after_scheme(url), r"^[^/?#]*([^?#]*)", 1)
 
 
-def reversed_host(host: Column) -> Column:
-    return F.concat_ws(".", F.reverse(F.split(host, r"\.")))
+def host_key(host: Column) -> Column:
+    """The labels in reverse order, each ended by a dot: ``www.example.com`` gives ``com.example.www.``."""
+    return F.concat(F.concat_ws(".", F.reverse(F.split(host, r"\."))), F.lit("."))
 
 
-def rule_stacks(rules: DataFrame) -> DataFrame:
-    """Per rule its host, path and ``stack``: the rules of that host it is nested in and itself, outermost first.
+def rule_hosts(rules: DataFrame) -> DataFrame:
+    """(key, labels, held) of each rule host; held is its paths and verdicts, the shortest path first.
 
     ``rules`` has host, path and verdict; of rules with one host and path, the smaller verdict counts.
     """
     own = rules.where("host is not null and path is not null").groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
-    prefixes = own.select("host", "path", F.explode(F.sequence(F.lit(0), F.length("path"))).alias("n")).select(
-        "host", "path", F.expr("left(path, n)").alias("outer_path")
-    )
-    outer = own.select("host", F.col("path").alias("outer_path"), F.struct(F.length("path").alias("n"), "path", "verdict").alias("rule"))
-    return prefixes.join(outer, ["host", "outer_path"]).groupBy("host", "path").agg(F.sort_array(F.collect_list("rule")).alias("stack"))
+    held = F.sort_array(F.collect_list(F.struct(F.length("path").alias("n"), "path", "verdict")))
+    return own.groupBy("host").agg(held.alias("held")).select("host", host_key(F.col("host")).alias("key"), F.size(F.split("host", r"\.")).alias("labels"), "held")
 
 
 def judge_urls(urls: DataFrame, rules: DataFrame, *, url: str = "url", default: str = "allow", part_rows: int = PART_ROWS) -> DataFrame:
@@ -63,49 +64,38 @@ def judge_urls(urls: DataFrame, rules: DataFrame, *, url: str = "url", default:
     longest rule that fits: more host labels, then the longer path; else null) and ``verdict``.
 
     A url that is null or has no :// has an empty host and path and fits no rule but those of the
-    empty host. Equal urls are judged once each; empty tables give no rows, and no rules let each
-    url have the default. The number of suffixes a url is tried with is that of the rules' labels.
+    empty host. Urls of any length are read whole. Equal urls are judged once each; empty tables give
+    no rows, and no rules let each url have the default. Columns of any name stay inside ``row``.
     """
-    stacks = rule_stacks(rules)
-    labels = stacks.agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 1
-    parsed = urls.select(F.struct(*[F.col(f"`{c}`") for c in urls.columns]).alias("row"), F.col(f"`{url}`").cast("string").alias("_u")).select(
-        F.monotonically_increasing_id().alias("id"), "row", url_host(F.col("_u")).alias("host"), url_path(F.col("_u")).alias("path")
-    )
-    suffixes = F.array_distinct(F.array(*[F.substring_index("host", ".", -n) for n in range(1, labels + 1)]))
-    tried = parsed.select("*", F.posexplode(suffixes).alias("nth", "at"))
-    # How many parts a rule host's block has: one row a rule host.
-    narrow = urls.select(F.col(f"`{url}`").cast("string").alias("_u")).select(url_host(F.col("_u")).alias("host")).select(F.explode(suffixes).alias("at"))
-    per_host = stacks.groupBy(F.col("host").alias("at")).agg(F.count("*").alias("n_rules"))
-    counts = narrow.groupBy("at").agg(F.count("*").alias("n_urls")).join(per_host, "at", "right")
-    parts = counts.select("at", F.greatest(F.lit(1), F.ceil(F.coalesce("n_urls", F.lit(0)) / F.greatest(F.lit(part_rows), 4 * F.col("n_rules")))).cast("int").alias("parts"))
-    # The urls' side: every fitting suffix, and the first one of each url in any case.
-    keyed = tried.join(parts, "at", "left").where("parts is not null or nth = 0")
-    urls_side = keyed.select(
-        F.coalesce("at", F.lit("")).alias("at"),
-        F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.pmod(F.xxhash64("id"), F.lit(1 << 30))).alias("part"),
-        F.concat(reversed_host(F.col("at")), F.col("path")).alias("key"),
+    hosts = rule_hosts(rules)
+    n_rules, depth = hosts.agg(F.sum(F.size("held")), F.max("labels")).first()
+    parts = max(1, math.ceil(urls.count() / max(part_rows, 4 * (n_rules or 0))))
+    address = F.col(f"`{url}`").cast("string")
+    urls_side = urls.select(F.struct(*[F.col(f"`{c}`") for c in urls.columns]).alias("row"), url_host(address).alias("host"), url_path(address).alias("path")).select(
+        # a place in the input, dealt at random
+        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).alias("part"),
+        F.coalesce(host_key(F.col("host")), F.lit(".")).alias("key"),
         F.lit(1).alias("kind"),
-        "id", "row", "host", "path",
-        F.lit(None).cast(stacks.schema["stack"].dataType).alias("stack"),
+        "row",
+        F.coalesce("host", F.lit("")).alias("host"),
+        F.coalesce("path", F.lit("")).alias("path"),
+        F.lit(None).cast("int").alias("labels"),
+        F.lit(None).cast(hosts.schema["held"].dataType).alias("held"),
     )
-    none = {c: F.lit(None).cast(keyed.schema[c].dataType).alias(c) for c in ("id", "row")}
-    rules_side = stacks.join(parts.withColumnRenamed("at", "host"), "host").select(
-        F.col("host").alias("at"),
-        F.explode(F.expr("sequence(0L, parts - 1L)")).alias("part"),
-        F.concat(reversed_host(F.col("host")), F.col("path")).alias("key"),
+    rules_side = hosts.select(
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"),
+        "key",
         F.lit(0).alias("kind"),
-        none["id"], none["row"], "host", "path", "stack",
-    )
-    sweep = Window.partitionBy("at", "part").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    swept = (
-        urls_side.unionByName(rules_side)
-        .withColumn("active", F.last("stack", ignorenulls=True).over(sweep))
-        .where("kind = 1")
-        .withColumn("rule", F.expr("try_element_at(filter(active, r -> startswith(path, r.path)), -1)"))
-    )
-    best = F.max(F.when(F.col("rule").isNotNull(), F.struct(F.size(F.split("at", r"\.")).alias("labels"), F.col("rule.n").alias("n"), F.concat("at", "rule.path").alias("text"), F.col("rule.verdict").alias("verdict"))))
-    return (
-        swept.groupBy("id")
-        .agg(best.alias("best"), F.first("row").alias("row"), F.first("host").alias("host"), F.first("path").alias("path"))
-        .select("row", "host", "path", F.col("best.text").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+        F.lit(None).cast(urls_side.schema["row"].dataType).alias("row"),
+        "host",
+        F.lit("").alias("path"),
+        "labels",
+        "held",
     )
+    sweep = Window.partitionBy("part").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    place = lambda d: F.last(F.when(F.col("labels") == d, F.struct("key", "host", "held")), ignorenulls=True).over(sweep)
+    stack = F.array(*[place(d) for d in range(1, (depth or 0) + 1)]) if depth else F.array(F.lit(None).cast("struct<key:string,host:string,held:array<struct<n:int,path:string,verdict:string>>>"))
+    swept = urls_side.unionByName(rules_side).withColumn("stack", stack).where("kind = 1")
+    fits = "filter(s.held, r -> startswith(path, r.path))"
+    rule = F.expr(f"try_element_at(flatten(transform(filter(stack, s -> startswith(key, s.key)), s -> transform({fits}, r -> struct(concat(s.host, r.path) as text, r.verdict as verdict)))), -1)")
+    return swept.withColumn("best", rule).select("row", "host", "path", F.col("best.text").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
