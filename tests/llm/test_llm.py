@@ -92,8 +92,8 @@ def brute_top(rows, k):
 
 
 def test_top_k(spark, monkeypatch):
-    monkeypatch.setattr(topk, "CANDIDATES", 40)
-    monkeypatch.setattr(topk, "QUERIES", 2)
+    monkeypatch.setattr(topk, "CANDIDATE_BYTES", 40 * 64)
+    monkeypatch.setattr(topk, "QUERY_BYTES", 2 * 64)
     rng = random.Random(2)
     rows = [(i, [rng.choice([0.0, 0.1, -0.3, rng.random()]) for _ in range(8)]) for i in range(230)]
     rows += [(300 + i, [0.5] * 8) for i in range(20)] + [(400, None), (450, [None] * 8), (500, [float("nan")] * 8), (550, [float("inf")] * 8), (None, [1.0] * 8), (7000, [])]
@@ -103,6 +103,23 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    """Any finite component takes part, and products beyond 64 bits are compared exactly."""
+    rows = [(0, [1e7, 0.0]), (1, [1e7, 1.0]), (2, [-1e9, 5.0]), (3, [0.25, 3e15]), (50, [1e17, 1e17]), (51, [1e17, 1e17 + 64]), (52, [-1e17, -1e16]), (53, [1e300, 1.0]), (54, [-1e300, 1.0]), (55, [1.0, 2.0]), (100, [-1e300, 1e300])]
+    odd = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("id", "q", "vec", "qb", "cb", "true", "rank")})
+    got = sorted(tuple(r) for r in topk.top_k(odd, F.col("vec_id") % 50 == 0, k=5).collect())
+    shown = lambda s: min(max(s, -(1 << 63)), (1 << 63) - 1)
+    assert got == [(a, r, b, shown(s)) for a, r, b, s in brute_top(rows, 5)]
+
+
+def test_top_k_of_repeated_rows(spark):
+    """Repeated rows count apart; a repeated id is one query a vector, and no row with its id is its candidate."""
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, [2.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") == 0, k=9).collect())
+    assert [(r[0], r[2]) for r in got] == [(0, 2), (0, 1), (0, 1), (0, 1), (0, 1), (0, 2)] and [r[1] for r in got] == [1, 2, 3, 4, 5, 6]
+
+
 # ---- 3 licences
 
 
@@ -441,6 +458,13 @@ def test_packing(spark, sf_dir):
     assert packing.pack(empty(spark)).count() == 0
 
 
+def test_packing_of_long_runs(spark):
+    """Runs that the rank form has no stack for, special tokens and long words, against the tokenizer file."""
+    runs = [" " * 2_000_000, "\n" * 2_000_000, "a" + " " * 1_200_000 + "b<|endoftext|>", "x" * 300_000, "\u00a0\u3000" * 3000, " \n" * 70_000 + "end", "a  b\tc \x1c d\r\n" * 500, "it's ½ \u0301 9\u0663 l'ete"]
+    docs = table(spark, runs)
+    check_packing(packing.pack(docs, with_ids=False).collect(), dict(enumerate(runs)))
+
+
 def test_bins():
     rng = random.Random(10)
     sizes = [rng.randint(1, 100) for _ in range(3000)]
@@ -534,6 +558,24 @@ def test_awkward_shards(spark, tmp_path):
     sharding.write_shards(out, str(tmp_path / "shards"))
     assert spark.read.parquet(str(tmp_path / "shards")).count() == 10
     assert sharding.shuffled_shards(empty(spark), key="doc_id", size=F.lit(1)).count() == 0
+    mapped = awkward(spark).withColumn("held", F.create_map(F.lit("a"), F.lit(1)))
+    assert sharding.shuffled_shards(mapped, key="doc_id", size=F.lit(1)).count() == 10
+
+
+def test_shards_of_hot_keys(spark):
+    """A shard that one key fills has as many buckets as its bytes need, and the order is that of the seed, not of a setting."""
+    docs = table(spark, [f"text {i} " * 20 for i in range(900)]).withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("doc_id")))
+    run = lambda seed: {(r["row"]["text"]): (r["shard"], r["slot"]) for r in sharding.shuffled_shards(docs, key="doc_id", size=F.length("text"), n_shards=4, seed=seed, bucket_bytes=8192).collect()}
+    first, before = run(1), spark.conf.get("spark.sql.shuffle.partitions")
+    by_shard = collections.defaultdict(list)
+    for shard, slot in first.values():
+        by_shard[shard].append(slot)
+    assert all(sorted(slots) == list(range(len(slots))) for slots in by_shard.values()) and sum(map(len, by_shard.values())) == 900
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        assert run(1) == first and run(2) != first
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 # ---- 10 urls
