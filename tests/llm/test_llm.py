@@ -514,13 +514,40 @@ def test_secrets(spark, net):
 
 
 def test_the_network_on_findings_that_it_has_not_seen(net):
-    found = secrets.made_findings(600, seed=99)
-    x = secrets.encode([secrets.window(b + t + a, len(b), len(b) + len(t)) for b, t, a, _ in found])
-    y, least = np.array([v for *_, v in found]), np.array([net.thresholds[secrets.shape(t)] for _, t, *_ in found])
-    said = net.probability(x) >= least
-    assert said[y == 1].mean() > 0.95 and said[y == 0].mean() < 0.03
+    found = secrets.made_findings(900, seed=99)
+    said = []
+    for b, t, a, _ in found:
+        p = net.probability(secrets.encode(secrets.windows(b + t + a, len(b), len(b) + len(t)))).max()
+        said.append(p >= net.thresholds[secrets.shape(t)])
+    y, said = np.array([v for *_, v in found]), np.array(said)
+    assert said[y == 1].mean() >= 0.9 and said[y == 0].mean() <= 0.15
+    # stated by the net of the part that it was not fitted on
+    assert net.recall >= 0.9 and net.false_alarms <= 0.15
     spans = secrets.text_spans(["read this: pwd = 'aB3dE5gH7jK9mN2pQ4sT6vW8' and card 4111111111111111 or mail ab.cd.12-3456@x.example"], net)[0]
-    assert [s[2] for s in spans] == ["net"]
+    assert ("net", 18, 42) in [(k, a, b) for a, b, k in spans]
+
+
+def test_candidates_of_secrets():
+    """Short ones, ones without digits, password characters, and long ones to their last character."""
+    has = lambda text, token: token in [text[a:b] for a, b in secrets.candidates(text)]
+    assert has("pwd=hunter2secret", "hunter2secret") and has("passphrase: correcthorse", "correcthorse") and has("auth = 'S3cr!t#9'", "S3cr!t#9")
+    assert has("token text Qx7-" + "ab9" * 40 + " x", "Qx7-" + "ab9" * 40) and has("p = QWxhZGRpbjpvcGVuIHNlc2FtZQ== .", "QWxhZGRpbjpvcGVuIHNlc2FtZQ==") and has("pin: 83920174.", "83920174")
+    assert not secrets.candidates("A sentence of ordinary language, with considerable lengthiness.") and not secrets.candidates("short1 7 a=b")
+    seen = secrets.windows("k = " + "x" * 100 + "SECRET1", 4, 111)
+    assert len(seen) == 5 and seen[-1][secrets.BEFORE :].startswith("x" * 33 + "SECRET1") and all(len(w) == secrets.WIDTH for w in seen)
+    assert "".join(w[secrets.BEFORE : secrets.BEFORE + secrets.STEP] for w in seen[:3]) == "x" * 60
+
+
+def test_net_spans_by_a_second_way(spark, sf_dir, net):
+    """The added spans of the given documents are those of one candidate scored at a time, unless a rule's finding touches it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(60).collect()
+    for d in docs:
+        text, want = d["text"] or "", []
+        for a, b in secrets.candidates(text):
+            p = max(float(net.probability(secrets.encode([w]))[0]) for w in secrets.windows(text, a, b))
+            if p >= net.thresholds[secrets.shape(text[a:b])] and not any(a < e and s < b for s, e, _ in plain_spans(text)):
+                want.append((a, b))
+        assert [(a, b) for a, b, k in secrets.text_spans([text], net)[0] if k == "net"] == want
 
 
 def test_redaction(spark, net):
