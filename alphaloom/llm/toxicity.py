@@ -2,18 +2,24 @@
 
 Categories are predicted one after another by linear (logistic) models; each model sees the
 text's words and the probabilities that the earlier models gave. For training, those
-probabilities are out-of-fold: a document's come from models that did not see it, as they
-will be for new documents.
+probabilities are out-of-fold, for every row: they come from models that did not see it, as
+they will be for new documents.
 
 Fitting looks at a bounded sample of labelled documents (``max_train``, half of them toxic
-where there are so many). Word counts by label are a Spark aggregation; what comes to the
-driver is the terms most bound to the label (words and stems), some ``n_terms`` of them, and
-for each sampled document the few of them that it holds. Scoring is one pass over the documents, without
-a shuffle.
+where there are so many): the only bound there is. Counts of words by label are a Spark aggregation
+over the whole texts of the sample; what comes to the driver is the terms (words, and beginnings of words,
+since abuse is inflected) that are bound to the label more surely than chance would make some ``chance`` of
+all terms seem, however many these are, and for each sampled document the few of them that it holds.
+Scoring is one pass over the documents, without a shuffle.
+
+Labels say toxic or not; the categories of a toxic document are labelled by a short list of plainly
+abusive words, whose words are also shown to the model as documents of one word each, so that a table with few
+labels has a model too.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,7 +48,7 @@ def terms(words: set[str]) -> set[str]:
 
 @dataclass
 class ChainModel:
-    """Terms (feature places 0..), then one count a lexicon group, then the chain's earlier probabilities."""
+    """Terms (feature places 0..), then the chain's earlier probabilities."""
 
     words: list[str]
     weights: list[np.ndarray]
@@ -51,14 +57,11 @@ class ChainModel:
     def __post_init__(self) -> None:
         self.place = {w: i for i, w in enumerate(self.words)}
         self.starts = {w[: STEMS.start] for w in self.words if w.endswith("*")}
-        self.group = np.array([next((g for g, ws in enumerate(LEXICON.values()) if w in ws), -1) for w in self.words])
 
     def features(self, held: list[list[int]]) -> np.ndarray:
-        x = np.zeros((len(held), len(self.words) + len(LEXICON)))
+        x = np.zeros((len(held), len(self.words)))
         for row, places in zip(x, held, strict=True):
             row[places] = 1
-        for g in range(len(LEXICON)):
-            x[:, len(self.words) + g] = np.minimum(x[:, : len(self.words)][:, self.group == g].sum(axis=1), 3)
         return x
 
     def held(self, text: str | None) -> list[int]:
@@ -78,31 +81,31 @@ def _probability(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w[1:] + w[0], -30, 30)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.5, rounds: int = 30) -> np.ndarray:
-    """Ridge logistic regression by Newton's method; the intercept comes first and is not shrunk."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.5, rounds: int = 30, start: np.ndarray | None = None) -> np.ndarray:
+    """Ridge logistic regression by Newton's method, from the weights ``start`` if given; the intercept comes first and is not shrunk."""
     a = np.column_stack([np.ones(len(x)), x])
     ridge = np.full(a.shape[1], l2)
     ridge[0] = 1e-3
-    w = np.zeros(a.shape[1])
+    w = np.zeros(a.shape[1]) if start is None else start
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         step = np.linalg.solve((a.T * np.maximum(p * (1 - p), 1e-6)) @ a + np.diag(ridge), a.T @ (y - p) - ridge * w)
         w = w + step
-        if np.abs(step).max() < 1e-5:
+        if np.abs(step).max() < 1e-4:
             break
     return w
 
 
 def fit_chain_on(x: np.ndarray, labels: np.ndarray, fold: np.ndarray, folds: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """(the chain's models, out-of-fold probabilities); labels has a column a category, fold -1 is in every fold's training."""
+    """(the chain's models, out-of-fold probabilities of every row); labels has a column a category."""
     weights, out = [], []
     for y in labels.T:
         p = np.zeros(len(x))
+        whole = fit_logistic(x, y)
         for k in range(folds):
             if (fold == k).any():
-                p[fold == k] = _probability(x[fold == k], fit_logistic(x[fold != k], y[fold != k]))
-        whole = fit_logistic(x, y)
-        p[fold < 0] = _probability(x[fold < 0], whole)
+                # the optimum does not depend on where the search begins
+                p[fold == k] = _probability(x[fold == k], fit_logistic(x[fold != k], y[fold != k], start=whole))
         weights.append(whole)
         out.append(p)
         x = np.column_stack([x, p])
@@ -128,14 +131,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_train: int) -> DataF
     half = lambda y: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train // 2)
     chosen = half(1).unionByName(half(0))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    # At most max_train pairs of integers are sent to all executors; one text is kept of rows with equal ids.
-    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    # At most max_train pairs of integers are sent to all executors; one text is kept of rows with equal ids,
+    # and one row of equal texts, which are no two observations.
+    each = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return each.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
 
 
-def telling_terms(sample: DataFrame, most: int, min_docs: int = 3) -> list[str]:
-    """The terms whose presence is most bound to toxic documents, by the G statistic of their two-by-two table.
+def telling_terms(sample: DataFrame, chance: float, min_docs: int = 3) -> list[str]:
+    """The terms whose presence is bound to toxic documents, by the G statistic of their two-by-two table.
 
-    Of a term and one that begins it, the longer is kept only where it tells more surely.
+    The bound on G is where, of all terms that occur in ``min_docs`` documents, ``chance`` would pass by chance; it
+    rises with the number of terms, and no number of terms is fixed. Of a term and one that begins
+    it, the longer is kept only where it tells more surely.
     """
     totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     a, b = totals.get(1, 0), totals.get(0, 0)
@@ -148,25 +155,22 @@ def telling_terms(sample: DataFrame, most: int, min_docs: int = 3) -> list[str]:
     part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(F.lit(0.0))
     n1, n0, t = F.col("n1").cast("double"), F.col("n0").cast("double"), float(a + b)
     g = 2 * (part(n1, (n1 + n0) * a / t) + part(n0, (n1 + n0) * b / t) + part(a - n1, (t - n1 - n0) * a / t) + part(b - n0, (t - n1 - n0) * b / t))
-    bound = n.where(F.col("n1") + F.col("n0") >= min_docs).select("term", "n1", "n0", g.alias("g")).where((F.col("g") > 10.83) & (n1 / a > n0 / b))
+    usual = written(n.where(F.col("n1") + F.col("n0") >= min_docs).select("term", "n1", "n0", g.alias("g")), "terms")
+    # the chance to exceed G is at most exp(-G / 2)
+    least = max(10.83, 2 * math.log(max(usual.count(), 1) / chance))
     chosen: dict[str, float] = {}
-    for r in bound.orderBy(F.desc("g"), F.length("term"), "term").limit(20 * most).collect():
+    for r in usual.where((F.col("g") > least) & (n1 / a > n0 / b)).orderBy(F.desc("g"), F.length("term"), "term").collect():
         word, sure = r["term"].rstrip("*"), r["n1"] / (r["n1"] + r["n0"])
-        if len(chosen) < most and not any(word.startswith(c[:-1]) and chosen[c] >= sure for c in chosen if c.endswith("*")):
+        if not any(chosen.get(f"{word[:k]}*", -1.0) >= sure for k in STEMS if k <= len(word)):
             chosen[r["term"]] = sure
     return list(chosen)
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, *, max_train: int = 6000, n_terms: int = 96, folds: int = 5) -> ChainModel:
-    """Fits the chain on at most ``max_train`` labelled documents.
-
-    A toxic document is of a category if it holds one of its words, and of ``other`` if it holds none. To these come documents of one
-    lexicon word each, labelled as toxic, and as many empty ones: with few or no labels the chain
-    still knows the lexicon. Labels that are null or belong to no document are passed over.
-    """
+def training_rows(docs: DataFrame, labels: DataFrame, max_train: int, chance: float, folds: int) -> tuple[ChainModel, list[tuple[list[int], int, int]]]:
+    """(a model without weights yet, the places of the terms held, toxic and the fold of each training row)."""
     sample = written(labelled_sample(docs, labels, max_train), "labelled")
     lexicon = [w for ws in LEXICON.values() for w in ws]
-    model = ChainModel(list(dict.fromkeys(lexicon + telling_terms(sample, n_terms))), [], 0.5)
+    model = ChainModel(list(dict.fromkeys(lexicon + telling_terms(sample, chance))), [], 0.5)
 
     def held(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = pa.array([model.held(t) for t in batch.column(2).to_pylist()], pa.list_(pa.int32()))
@@ -174,22 +178,34 @@ def fit_chain(docs: DataFrame, labels: DataFrame, *, max_train: int = 6000, n_te
 
     rows = map_batches(sample.select("doc_id", "toxic", "text"), held, "doc_id long, toxic int, held array<int>").orderBy("doc_id").collect()
     own = [(list(r["held"]), r["toxic"], i % folds) for i, r in enumerate(rows)]
-    own += [([model.place[w]], 1, -1) for w in lexicon] + [([], 0, -1)] * len(lexicon)
-    x, y = model.features([h for h, _, _ in own]), np.array([t for _, t, _ in own], float)
-    counts = x[:, len(model.words) :]
-    categories = [(counts[:, g] > 0) * y for g in range(len(LEXICON))] + [(counts.sum(axis=1) == 0) * y, y]
-    fold = np.array([k for _, _, k in own])
+    # every word of the list once in each fold: out of a fold, each is known from the others
+    own += [([model.place[w]], 1, k) for w in lexicon for k in range(folds)] + [([], 0, k) for _ in lexicon for k in range(folds)]
+    return model, own
+
+
+def fit_chain(docs: DataFrame, labels: DataFrame, *, max_train: int = 6000, chance: float = 50.0, folds: int = 5) -> ChainModel:
+    """Fits the chain on at most ``max_train`` labelled documents.
+
+    A toxic document is of a category if it holds one of its words, and of ``other`` if it holds none. To these come documents of one
+    lexicon word each, labelled as toxic, and as many empty ones, each once in every fold: with few or no labels the chain
+    still knows the lexicon. Labels that are null or belong to no document are passed over; a document labelled twice is
+    toxic if one label says so; of texts with equal ids the least counts. Whole texts are read, of any length.
+    """
+    model, own = training_rows(docs, labels, max_train, chance, folds)
+    x, y, fold = model.features([h for h, _, _ in own]), np.array([t for _, t, _ in own], float), np.array([k for _, _, k in own])
+    of = [np.array([any(model.place[w] in h for w in ws) for h, _, _ in own]) for ws in LEXICON.values()]
+    categories = [c * y for c in of] + [~np.any(of, axis=0) * y, y]
     model.weights, p = fit_chain_on(x, np.column_stack(categories), fold, folds)
-    seen = fold >= 0
-    model.threshold = best_threshold(p[seen, -1], y[seen]) if seen.any() else 0.5
+    seen = len(own) - 2 * folds * sum(map(len, LEXICON.values()))
+    model.threshold = best_threshold(p[:seen, -1], y[:seen]) if seen else 0.5
     return model
 
 
 def score(docs: DataFrame, model: ChainModel) -> DataFrame:
     """doc_id, a probability p_<category> for each category, and toxic (1 or 0), one row a document.
 
-    A null or empty text holds no words. Repeated rows give repeated rows, a null doc_id stays
-    null, other columns are ignored, an empty table gives no rows.
+    A null or empty text holds no words; a text of any length is read whole. Repeated rows give repeated rows, a null doc_id
+    stays null, other columns are ignored, an empty table gives no rows.
     """
     names = [f"p_{c}" for c in CATEGORIES]
 

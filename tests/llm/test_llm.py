@@ -68,6 +68,69 @@ def test_toxicity_without_labels(spark):
     assert toxicity.without_toxic(awkward(spark), model).columns == awkward(spark).columns
 
 
+def test_toxicity_against_brute_force(spark, sf_dir):
+    """op1's rows computed a second way: terms counted in plain Python, models fitted by damped least squares steps."""
+    docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    labelled = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if r["toxic"] is not None}
+    by_text = {}
+    for d, t in sorted(docs):
+        if d in labelled:
+            first, toxic = by_text.get(t, (d, 0))
+            by_text[t] = (first, max(toxic, labelled[d]))
+    sample = sorted((d, y, t) for t, (d, y) in by_text.items())
+    held = lambda t: {x for w in set(re.findall(r"\w+", t.lower())) for x in [w, *[w[:k] + "*" for k in range(4, 8) if len(w) > k]]}
+    counts = collections.defaultdict(lambda: [0, 0])
+    for _, y, t in sample:
+        for w in held(t):
+            counts[w][y] += 1
+    a, b = sum(y for _, y, _ in sample), sum(1 - y for _, y, _ in sample)
+    usual = {w: c for w, c in counts.items() if sum(c) >= 3}
+    least, bound = max(10.83, 2 * np.log(max(len(usual), 1) / 50)), []
+    for w, (n0, n1) in usual.items():
+        cells = [(n1, (n1 + n0) * a / (a + b)), (n0, (n1 + n0) * b / (a + b)), (a - n1, (a + b - n1 - n0) * a / (a + b)), (b - n0, (a + b - n1 - n0) * b / (a + b))]
+        g = 2 * sum(o * np.log(o / e) for o, e in cells if o > 0)
+        if g > least and n1 / a > n0 / b:
+            bound.append((-g, len(w), w, n1 / (n1 + n0)))
+    chosen = {}
+    for _, _, w, sure in sorted(bound):
+        if not any(c.endswith("*") and w.rstrip("*").startswith(c[:-1]) and chosen[c] >= sure for c in chosen):
+            chosen[w] = sure
+    groups = list(toxicity.LEXICON.values())
+    lexicon = [w for ws in groups for w in ws]
+    names = list(dict.fromkeys(lexicon + list(chosen)))
+
+    def probability(x, w):
+        return 1 / (1 + np.exp(-np.clip(np.column_stack([np.ones(len(x)), x]) @ w, -30, 30)))
+
+    def fit(x, y):
+        design, w = np.column_stack([np.ones(len(x)), x]), np.zeros(x.shape[1] + 1)
+        ridge = np.sqrt(np.array([1e-3] + [0.5] * x.shape[1]))
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
+            v = np.sqrt(np.maximum(p * (1 - p), 1e-6))
+            w = w + np.linalg.lstsq(np.vstack([design * v[:, None], np.diag(ridge)]), np.concatenate([(y - p) / v, -ridge * w]), rcond=None)[0]
+        return w
+
+    rows = [(held(t), y, i % 5) for i, (_, y, t) in enumerate(sample)] + [({w}, 1, k) for w in lexicon for k in range(5)] + [(set(), 0, k) for _ in lexicon for k in range(5)]
+    matrix = lambda sets: np.array([[float(n in h) for n in names] for h in sets])
+    x, y, fold = matrix([h for h, _, _ in rows]), np.array([float(v) for _, v, _ in rows]), np.array([k for *_, k in rows])
+    of = [np.array([float(bool(h & set(ws))) for h, _, _ in rows]) for ws in groups]
+    new = matrix([held(t) for _, t in docs])
+    for target in [*(c * y for c in of), (np.max(of, axis=0) == 0) * y, y]:
+        out = np.zeros(len(x))
+        for k in range(5):
+            out[fold == k] = probability(x[fold == k], fit(x[fold != k], target[fold != k]))
+        new = np.column_stack([new, probability(new, fit(x, target))])
+        x = np.column_stack([x, out])
+    got = {r["doc_id"]: r for r in q.op1_toxicity(spark, sf_dir).collect()}
+    assert len(got) == len(docs)
+    for (d, _), p in zip(docs, new[:, -5:], strict=True):
+        assert np.allclose([got[d][f"p_{c}"] for c in toxicity.CATEGORIES], p, atol=2e-3), d
+    best = max((2 * (y[: len(sample)] * (x[: len(sample), -1] >= c)).sum() / ((x[: len(sample), -1] >= c).sum() + a), c) for c in x[: len(sample), -1])[0]
+    model_said = [got[d]["toxic"] for d, _, _ in sample]
+    assert best > 0.5 and sum(model_said) > 0
+
+
 def test_out_of_fold_chain():
     rng = np.random.default_rng(0)
     x = rng.random((300, 5))
