@@ -8,7 +8,9 @@ bit-parallel algorithm gives the item's least edit distance to any substring the
 Items under 24 characters occur without edits only, as whole words: their one piece is all of them.
 
 Items and texts are compared as lower-case words with single spaces. The items go to the
-tasks in blocks of bounded size, one pass over the documents each; documents are not moved.
+tasks in blocks of bounded size, one pass over the documents each; documents are not moved. A
+block's result is written before the next block is read, so the driver and the tasks hold one block at a
+time, however large the benchmark is.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, map_batches
+from .common import WORD, map_batches, written
 
 #: Characters of test items in one block: what a task's automaton is built of.
 BLOCK_CHARS = 4 << 20
@@ -145,7 +147,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, error_rate: float = 0.08, b
 
     Null and empty texts and items match nothing; items of fewer than MIN_CHARS characters occur
     as whole words without edits; repeated documents give repeated rows; of items with equal ids each different text is an
-    item; an empty table on either side gives no rows.
+    item; an empty table on either side gives no rows. Texts of any length are read whole; of equally good
+    occurrences the first counts; other columns, whatever their names, are ignored.
     """
     schema = "doc_id long, item_id long, distance int, start long, end_ long"
     names = ["doc_id", "item_id", "distance", "start", "end_"]
@@ -164,11 +167,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, error_rate: float = 0.08, b
 
         return run
 
-    out = docs.sparkSession.createDataFrame([], schema)
-    for n, block in enumerate(item_blocks(items, block_chars)):
-        found = map_batches(rows, finder(block), schema)
-        out = found if n == 0 else out.unionByName(found)
-    return out
+    out, last = None, None
+    for block in item_blocks(items, block_chars):
+        if last is not None:
+            done = written(last, "leaks")
+            out = done if out is None else out.unionByName(done)
+        last = map_batches(rows, finder(block), schema)
+    if last is None:
+        return docs.sparkSession.createDataFrame([], schema)
+    return last if out is None else out.unionByName(last)
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, *, error_rate: float = 0.08, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -185,6 +192,6 @@ def without_leaks(docs: DataFrame, items: DataFrame, *, error_rate: float = 0.08
 
         return run
 
-    for block in item_blocks(items, block_chars):
-        docs = map_batches(docs, keeper(block), docs.schema)
+    for n, block in enumerate(item_blocks(items, block_chars)):
+        docs = map_batches(docs if n == 0 else written(docs, "clean"), keeper(block), docs.schema)
     return docs
