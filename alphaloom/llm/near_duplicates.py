@@ -1,11 +1,12 @@
 """Near-duplicate classes of documents by ProbMinHash, banding and exact verification.
 
-Shingles are five words, all of one weight, however often they occur. In ProbMinHash every shingle starts a
+Shingles are five words; one that occurs c times weighs 1 + ln(c). In ProbMinHash every shingle starts a
 Poisson process whose rate is its weight; an arrival falls on a random register, and each register keeps the
 shingle that arrived first. Registers of two documents then agree with the probability
-Jaccard similarity of their weights, which for equal weights is the Jaccard similarity of
-the sets: that of the verification. A document's processes stop as soon as the next
-arrivals come later than all its registers hold. The registers' bands are bucket keys.
+Jaccard similarity of their weighted shingles. That is also the similarity that verification
+computes, exactly and from the same weights; of texts that repeat nothing it is the Jaccard
+similarity of the sets. A document's processes stop as soon as the next arrivals come later than all
+its registers hold. The registers' bands are bucket keys.
 
 Texts that are equal are one node from the start, so groups of copies cost one row. Within a
 bucket no list of pairs is made:
@@ -13,12 +14,13 @@ bucket no list of pairs is made:
 1. every node is compared with the bucket's first node (a star: as many pairs as rows);
 2. connected components are found from the pairs at or above the similarity;
 3. buckets whose nodes are all in one component are done. In the others, the nodes outside
-   the bucket's largest component are compared with all nodes of other components, in blocks
-   of bounded size spread over tasks; a task returns a spanning forest, not pairs.
+   the bucket's largest component are dealt in blocks of bounded size, and each block is compared within
+   itself, with every other such block, and with blocks of the largest component, whose nodes are not
+   compared with each other; a task returns a spanning forest, not pairs.
 
-A pair that shares a bucket is thereby left out only if its two nodes are connected already:
-the classes are those that all verified pairs would give. Verification is the Jaccard
-similarity of the two sets of shingles, computed exactly.
+So a bucket costs rows in proportion to its size times the blocks outside its largest component: one, where a
+large class has a few strangers in its bucket. A pair that shares a bucket is left out only if its two nodes are
+connected already: the classes are those that all verified pairs would give.
 """
 
 from __future__ import annotations
@@ -28,13 +30,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import WORD, map_batches, written
 
 #: Shingle length, registers as bands x rows, and nodes in one block of an unresolved bucket.
-WORDS, BANDS, ROWS, BLOCK = 5, 21, 6, 512
+WORDS, BANDS, ROWS, BLOCK = 5, 21, 6, 256
+#: Bytes of shingles in one block, on average at most.
+BLOCK_BYTES = 16 << 20
 #: Shingles whose processes run side by side.
 SIDE_BY_SIDE = 100_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -60,6 +64,30 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     return _mixed(out)
 
 
+def weighted_shingles(text: str, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct shingle hashes in order, how often each occurs)."""
+    return np.unique(shingles(text, words), return_counts=True)
+
+
+def weights_of(counts: np.ndarray) -> np.ndarray:
+    return 1 + np.log(counts)
+
+
+def prob_jaccard(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray) -> float:
+    """The probability Jaccard similarity of two sorted sets with weights: the sum, over the common ones, of
+    1 / sum over all of max(wx[j] / wx[i], wy[j] / wy[i])."""
+    common, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    if not len(common):
+        return 0.0
+    a, b = wx[i], wy[j]
+    order = np.argsort(b / a, kind="stable")
+    a, b = a[order], b[order]
+    # of those with a smaller ratio of weights the first term is the maximum, of the others the second
+    first = wx.sum() - a.sum() + np.cumsum(a)
+    second = wy.sum() - np.cumsum(b)
+    return float((1 / (first / a + second / b)).sum())
+
+
 def prob_minhash(values: np.ndarray, weights: np.ndarray, doc: np.ndarray, n_docs: int, m: int) -> np.ndarray:
     """Registers (n_docs x m) of documents given as distinct (doc, value) with weights above 0; every document has some."""
     first = np.full(n_docs * m, np.inf)
@@ -90,24 +118,25 @@ def band_keys(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def sketch(texts: list[str], words: int, bands: int, rows: int) -> list[np.ndarray | None]:
     """The band keys of each text; None for one without words."""
     out: list[np.ndarray | None] = [None] * len(texts)
-    group: list[tuple[int, np.ndarray]] = []
+    group: list[tuple[int, np.ndarray, np.ndarray]] = []
 
     def flush() -> None:
         if group:
-            sizes = [len(v) for _, v in group]
+            sizes = [len(v) for _, v, _ in group]
             doc = np.repeat(np.arange(len(group)), sizes)
-            registers = prob_minhash(np.concatenate([v for _, v in group]), np.ones(len(doc)), doc, len(group), bands * rows)
-            for (i, _), keys in zip(group, band_keys(registers, bands, rows), strict=True):
+            weights = weights_of(np.concatenate([c for _, _, c in group]))
+            registers = prob_minhash(np.concatenate([v for _, v, _ in group]), weights, doc, len(group), bands * rows)
+            for (i, _, _), keys in zip(group, band_keys(registers, bands, rows), strict=True):
                 out[i] = keys
             group.clear()
 
     total = 0
     for i, text in enumerate(texts):
-        values = np.unique(shingles(text, words))
+        values, counts = weighted_shingles(text, words)
         if len(values) == 1:
             out[i] = band_keys(np.full((1, bands * rows), values[0]), bands, rows)[0]
         elif len(values):
-            group.append((i, values))
+            group.append((i, values, counts))
             total += len(values)
             if total > SIDE_BY_SIDE:
                 flush()
@@ -117,8 +146,8 @@ def sketch(texts: list[str], words: int, bands: int, rows: int) -> list[np.ndarr
 
 
 def node_of(text: Column) -> Column:
-    """What stands for all equal texts; null for a null or empty one."""
-    return F.when(F.length(text) > 0, F.unhex(F.md5(text)))
+    """What stands for all equal texts, half of their SHA-256; null for a null or empty one."""
+    return F.when(F.length(text) > 0, F.substring(F.unhex(F.sha2(text, 256)), 1, 16))
 
 
 def least_nodes(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
@@ -136,32 +165,41 @@ def least_nodes(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, shingles) for the wanted nodes: the sorted distinct hashes as bytes."""
+    """(node, shingles, counts) for the wanted nodes: the sorted distinct hashes as bytes, and how often they occur (nothing, if once each)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [np.unique(shingles(t, words)).tobytes() for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+        sets = [weighted_shingles(t, words) for t in batch.column(1).to_pylist()]
+        values = pa.array([v.tobytes() for v, _ in sets], pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column(0), values, pa.array([c.astype(np.uint32).tobytes() if (c > 1).any() else b"" for _, c in sets], pa.binary())], names=["node", "shingles", "counts"])
 
     texts = docs.select(node_of(F.col("text")).alias("node"), "text").where("node is not null").groupBy("node").agg(F.first("text").alias("text"))
-    return map_batches(texts.join(wanted, "node", "left_semi"), run, "node binary, shingles binary")
+    return map_batches(texts.join(wanted, "node", "left_semi"), run, "node binary, shingles binary, counts binary")
+
+
+def read_set(shingles_: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray | None]:
+    """(hashes, weights), None for weights that are all 1."""
+    return np.frombuffer(shingles_, np.uint64), weights_of(np.frombuffer(counts, np.uint32)) if counts else None
+
+
+def is_similar(one: tuple[np.ndarray, np.ndarray | None], two: tuple[np.ndarray, np.ndarray | None], similarity: float) -> bool:
+    (x, wx), (y, wy) = one, two
+    if wx is None and wy is None:
+        if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+            return False
+        both = len(x) + len(y) - len(np.union1d(x, y))
+        return both >= similarity * (len(x) + len(y) - both)
+    return prob_jaccard(x, np.ones(len(x)) if wx is None else wx, y, np.ones(len(y)) if wy is None else wy) >= similarity - 1e-12
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The rows (a, b) of pairs whose sets have that Jaccard similarity."""
+    """The rows (a, b) of pairs whose weighted sets have that probability Jaccard similarity."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            if min(len(x), len(y)) < similarity * max(len(x), len(y)):
-                keep.append(False)
-                continue
-            both = len(x) + len(y) - len(np.union1d(x, y))
-            keep.append(both >= similarity * (len(x) + len(y) - both))
+        keep = [is_similar(read_set(x, cx), read_set(y, cy), similarity) for x, cx, y, cy in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)]
         return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    own = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    both = own.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+    own = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"), F.col("counts").alias("cx")), "a")
+    both = own.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"), F.col("counts").alias("cy")), "b").select("a", "b", "x", "cx", "y", "cy")
     return map_batches(both, run, "a binary, b binary")
 
 
@@ -172,9 +210,14 @@ def components(edges: DataFrame) -> DataFrame:
     to its least neighbour, then each node and its smaller neighbours to the least of them.
     Each round's edges are a table, at most as many as before; a hub's edges are never one row.
     """
-    key = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    seen = now.agg(F.count("*"), key).first()
+    # counted while they are written
+    counted = (F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
+
+    def kept(df: DataFrame) -> tuple[DataFrame, dict]:
+        seen = Observation()
+        return written(df.observe(seen, *counted), "edges"), seen.get
+
+    now, seen = kept(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
@@ -183,40 +226,42 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(low, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        now = written(small.where("a <> b").distinct(), "edges")
-        before, seen = seen, now.agg(F.count("*"), key).first()
+        before = seen
+        now, seen = kept(small.where("a <> b").distinct())
         if before == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def block_forest(nodes: list[bytes], roots: list[bytes], sides: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[bytes, bytes]]:
+def block_forest(nodes: list[bytes], roots: list[bytes], sides: list[int], sets: list[tuple[np.ndarray, np.ndarray | None]], similarity: float) -> list[tuple[bytes, bytes]]:
     """Links between similar nodes of different components; none between two that are connected by then.
 
-    sides are 0 and 1, and only nodes of unequal sides are compared; with one side only, all are.
+    A node of side 0 is compared with all others; of nodes of side 1 no two are.
     """
     number = {r: i for i, r in enumerate(dict.fromkeys(roots))}
     group = np.array([number[r] for r in roots])
-    sizes = np.array([len(s) for s in sets])
+    sizes = np.array([len(v) for v, _ in sets])
+    weights = np.concatenate([np.ones(len(v)) if w is None else w for v, w in sets])
     row = np.repeat(np.arange(len(sets)), sizes)
-    values, place = np.unique(np.concatenate(sets), return_inverse=True)
+    total = np.bincount(row, weights, minlength=len(sets))
+    values, place = np.unique(np.concatenate([v for v, _ in sets]), return_inverse=True)
     order = np.argsort(place, kind="stable")
-    holders, starts = row[order], np.searchsorted(place[order], np.arange(len(values) + 1))
+    holders, held_weight, starts = row[order], weights[order], np.searchsorted(place[order], np.arange(len(values) + 1))
     begins = np.concatenate([[0], np.cumsum(sizes)])
     side = np.array(sides)
-    one_sided = len(set(sides)) == 1
-    largest = np.bincount(group).argmax()
     out = []
-    for i in np.flatnonzero(group != largest):
+    for i in np.flatnonzero(side == 0):
         other = group != group[i]
-        if not one_sided:
-            other &= side != side[i]
         if not other.any():
             continue
         held = place[begins[i] : begins[i + 1]]
-        common = np.bincount(np.concatenate([holders[starts[p] : starts[p + 1]] for p in held]), minlength=len(sets))
-        similar = np.flatnonzero(other & (common >= similarity * (sizes + sizes[i] - common)))
-        for j in similar:
-            if group[j] != group[i]:
+        runs = [slice(starts[p], starts[p + 1]) for p in held]
+        who = np.concatenate([holders[r] for r in runs])
+        theirs = np.bincount(who, np.concatenate([held_weight[r] for r in runs]), minlength=len(sets))
+        mine = np.bincount(who, np.repeat(weights[begins[i] : begins[i + 1]], [r.stop - r.start for r in runs]), minlength=len(sets))
+        # the similarity is no more than the share of weight that either has in common with the other
+        may = np.flatnonzero(other & (np.minimum(theirs / total, mine / total[i]) >= similarity - 1e-9))
+        for j in may:
+            if group[j] != group[i] and is_similar(sets[i], sets[j], similarity):
                 out.append((nodes[i], nodes[j]))
                 group[group == group[j]] = group[i]
     return out
@@ -225,13 +270,33 @@ def block_forest(nodes: list[bytes], roots: list[bytes], sides: list[int], sets:
 def unresolved_links(members: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
     """Links (a, b) that buckets (key, node) still need: between similar nodes that are not yet in one component."""
     labelled = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    open_keys = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    rows = written(labelled.join(open_keys.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "key"), "open")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    with_sets = rows.join(sets, "node").select("key", "node", "root", "shingles", own.alias("own"), "blocks")
-    dealt = with_sets.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "node", "root", "shingles", (F.col("own") > F.col("other")).cast("int").alias("side")
+    open_keys = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    sizes = sets.select("node", F.octet_length("shingles").alias("bytes"))
+    rows = written(labelled.join(open_keys, "key").join(sizes, "node"), "open")
+    # one row a component of a bucket, then one a bucket: its largest component, and the blocks in and outside that
+    parts_of = rows.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    whole = parts_of.groupBy("key").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "root", "bytes")).alias("big"))
+    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / block), F.ceil(size / F.lit(BLOCK_BYTES))).cast("int")
+    plan = written(
+        whole.select(
+            "key",
+            F.col("big.root").alias("big"),
+            blocks(F.col("n") - F.col("big.n"), F.col("bytes") - F.col("big.bytes")).alias("out_blocks"),
+            blocks(F.col("big.n"), F.col("big.bytes")).alias("big_blocks"),
+        ),
+        "plan",
     )
+    placed = rows.join(plan, "key").select("*", (F.col("root") == F.col("big")).alias("inside"))
+    mine = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("inside"), F.col("big_blocks")).otherwise(F.col("out_blocks"))).cast("int"))
+    # A task is (outer block, other outer block or none, inner block or none).
+    each = lambda n: F.sequence(F.lit(0), n - 1)
+    with_inner = F.transform(each(F.col("big_blocks")), lambda j: F.struct(F.col("own").alias("x"), F.lit(-1).alias("y"), j.alias("z")))
+    with_outer = F.transform(F.filter(each(F.col("out_blocks")), lambda j: j != F.col("own")), lambda j: F.struct(F.least("own", j).alias("x"), F.greatest("own", j).alias("y"), F.lit(-1).alias("z")))
+    of_inner = F.transform(each(F.col("out_blocks")), lambda j: F.struct(j.alias("x"), F.lit(-1).alias("y"), F.col("own").alias("z")))
+    dealt = mine.withColumn("at", F.explode(F.when(F.col("inside"), of_inner).otherwise(F.concat(with_inner, with_outer))))
+    # two outer blocks are compared with each other only
+    side = F.when(F.col("inside") | ((F.col("at.y") >= 0) & (F.col("own") == F.col("at.y"))), 1).otherwise(0)
+    named = dealt.select(F.xxhash64("key", "at.x", "at.y", "at.z").alias("task"), "node", "root", side.alias("side"))
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,9 +304,9 @@ def unresolved_links(members: DataFrame, roots: DataFrame, sets: DataFrame, simi
         found: list[tuple[bytes, bytes]] = []
 
         def finish() -> None:
-            if len({r for _, _, r, _, _ in held}) > 1:
-                _, nodes, roots_, sets_, sides = zip(*held, strict=True)
-                found.extend(block_forest(list(nodes), list(roots_), list(sides), [np.frombuffer(s, np.uint64) for s in sets_], similarity))
+            if len({r for _, _, r, *_ in held}) > 1:
+                _, nodes, roots_, sides, shingles_, counts = zip(*held, strict=True)
+                found.extend(block_forest(list(nodes), list(roots_), list(sides), [read_set(s, c) for s, c in zip(shingles_, counts, strict=True)], similarity))
             held.clear()
 
         def out() -> pa.RecordBatch:
@@ -258,7 +323,7 @@ def unresolved_links(members: DataFrame, roots: DataFrame, sets: DataFrame, simi
         finish()
         yield out()
 
-    spread = dealt.select("task", "node", "root", "shingles", "side").repartition(parts, "task").sortWithinPartitions("task", "node")
+    spread = named.join(sets, "node").select("task", "node", "root", "side", "shingles", "counts").repartition(parts, "task").sortWithinPartitions("task", "node")
     return spread.mapInArrow(run, "a binary, b binary")
 
 
