@@ -460,8 +460,19 @@ def test_article_of_the_given_pages(spark, sf_dir):
 # ---- 6 near duplicates
 
 
+def plain_probability_jaccard(one, two):
+    """Straight from the definition; one and two are weights by shingle."""
+    return sum(1 / sum(max(one.get(y, 0) / one[x], two.get(y, 0) / two[x]) for y in one.keys() | two.keys()) for x in one.keys() & two.keys())
+
+
+def weighted(text):
+    words_ = re.findall(r"\w+", (text or "").lower())
+    runs = [tuple(words_[i : i + 5]) for i in range(len(words_) - 4)] if len(words_) >= 5 else [tuple(words_)] if words_ else []
+    return {k: 1 + np.log(n) for k, n in collections.Counter(runs).items()}
+
+
 def brute_classes(texts, similarity=0.8):
-    sets = [set(near_duplicates.shingles(t or "").tolist()) for t in texts]
+    sets = [weighted(t) for t in texts]
     root = list(range(len(texts)))
 
     def find(x):
@@ -471,9 +482,12 @@ def brute_classes(texts, similarity=0.8):
 
     for i in range(len(texts)):
         for j in range(i):
-            if sets[i] and sets[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
-                a, b = sorted((find(i), find(j)))
-                root[b] = a
+            one, two = sets[i], sets[j]
+            both = one.keys() & two.keys()
+            if both and min(sum(one[k] for k in both) / sum(one.values()), sum(two[k] for k in both) / sum(two.values())) >= similarity - 1e-9:
+                if plain_probability_jaccard(one, two) >= similarity - 1e-12:
+                    a, b = sorted((find(i), find(j)))
+                    root[b] = a
     return {i: find(i) for i in range(len(texts))}
 
 
@@ -501,17 +515,62 @@ def test_near_duplicates(spark, block):
 
 
 def test_near_duplicates_with_repeated_lines(spark):
-    """Production bands: a common body, each text with its own line many times."""
+    """Production bands: a common body with a line of its own many times, and the weights that repeats have."""
     rng = random.Random(16)
     texts = []
-    for _ in range(40):
-        body = words(rng, 130)
-        texts += [body + ("\n" + line) * 20 for line in (words(rng, 10), words(rng, 10))]
+    for n in range(60):
+        body, line = words(rng, 150), words(rng, 12)
+        texts += [body + ("\n" + line) * (1 + n % 20), body + ("\n" + line) * (1 + n % 7) + " " + words(rng, n % 9)]
     want = brute_classes(texts)
-    assert sum(i != c for i, c in want.items()) == 40
+    assert 20 <= sum(i != c for i, c in want.items()) <= 60
     assert {r["doc_id"]: r["class_id"] for r in near_duplicates.near_duplicate_classes(table(spark, texts)).collect()} == want
 
 
+def test_near_duplicates_of_the_given_documents(spark, sf_dir):
+    """The query's own parameters, on the given table: the classes of brute force over all pairs."""
+    docs = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
+    want = {docs[i][0]: docs[c][0] for i, c in brute_classes([t for _, t in docs]).items()}
+    got = {r["doc_id"]: r["class_id"] for r in q.op6_near_duplicates(spark, sf_dir).collect()}
+    linked = {d for d, c in want.items() if d != c}
+    assert set(got) == set(want) and sum(got[d] == want[d] for d in linked) >= 0.98 * len(linked)
+    assert all(want[got[d]] == want[d] for d in got)
+
+
+def test_open_buckets_in_blocks(spark):
+    """One bucket of a large class, strangers and small classes, dealt in blocks of few nodes: the links of all pairs."""
+    rng = random.Random(26)
+    base = [words(rng, 40).split() for _ in range(6)]
+    texts = []
+    for n in range(90):
+        t = list(base[0] if n % 3 else base[n % 6])
+        t[rng.randrange(len(t))] = f"w{n}"
+        texts.append(" ".join(t))
+    sets = [near_duplicates.weighted_shingles(t) for t in texts]
+    node = lambda i: bytearray(b"%06d" % i)
+    members = spark.createDataFrame([(1, node(i)) for i in range(90)], "key long, node binary")
+    first = spark.createDataFrame([(node(1), node(1)), (node(2), node(1)), (node(4), node(1))], "node binary, root binary")
+    set_rows = spark.createDataFrame([(node(i), bytearray(v.tobytes()), bytearray(c.astype(np.uint32).tobytes())) for i, (v, c) in enumerate(sets)], "node binary, shingles binary, counts binary")
+    want = brute_classes(texts)
+    for block in (200, 16, 5):
+        links = near_duplicates.unresolved_links(members, first, set_rows, 0.8, block).collect()
+        more = [(int(bytes(r["a"])), int(bytes(r["b"]))) for r in links] + [(2, 1), (4, 1)]
+        root = {i: i for i in range(90)}
+        for _ in range(90):
+            for a, b in more:
+                root[a] = root[b] = min(root[a], root[b])
+        assert all(want[a] == want[b] for a, b in more[:-2])
+        assert len({root[i] for i in range(90)}) <= len({want[i] for i in range(90)})
+
+
+def test_probability_jaccard():
+    rng = np.random.default_rng(18)
+    for _ in range(40):
+        x, y = (np.unique(rng.integers(0, 30, 20).astype(np.uint64)) for _ in range(2))
+        wx, wy = rng.integers(1, 5, len(x)).astype(float), rng.integers(1, 5, len(y)).astype(float)
+        exact = plain_probability_jaccard(dict(zip(x, wx, strict=True)), dict(zip(y, wy, strict=True)))
+        assert abs(near_duplicates.prob_jaccard(x, wx, y, wy) - exact) < 1e-9
+
+
 def test_one_of_each(spark):
     texts = chained_texts(random.Random(7))
     kept = near_duplicates.one_of_each(table(spark, texts).withColumns({c: F.lit(1) for c in EXTRA}))
