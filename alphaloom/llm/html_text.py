@@ -1,14 +1,18 @@
 """Main text of web pages by tag-path ratios.
 
-A page is walked once into text nodes, each with the path of tags from the root. Nodes of one
-path are taken together: their text's length and its punctuation, each as a ratio to the
-number of nodes. Along the page the two ratios are smoothed, so that a short node between
-content nodes takes part in them, then multiplied into one score, and paths at or above a
-threshold (the page's weighted mean less a part of the deviation) are content. The text is
-that of the smallest element that holds nearly all content, or of the article or main element around it, and
-what outside it is content too: blocks with a node at the threshold, and headings and
-paragraphs that are not mostly links. Elements that are never content go: navigation, header, footer,
-asides, forms, adverts, notices, comments.
+A page is walked once into text nodes, each with the path of block tags from the root (inline tags
+belong to their block). Nodes of one path are taken together: their text's length and its punctuation, each
+as a ratio to the number of nodes, and the share of their text that is in links, which counts for nothing.
+Along the page the first two ratios are smoothed: a node takes part in its neighbours' the more, the more of
+their paths they share, so a title beside its article's paragraphs gains and a menu there does not. They are
+fused into one score a path, less the share of links.
+
+Paths at or above a threshold (the page's weighted mean less a part of the deviation) are content; the
+smallest element that holds nearly all of their text, or the article or main element around it, is the page's
+content element. The text is that of all nodes whose path's score, times a prior, reaches the threshold. The prior is
+one, but so high inside the content element and for headings and paragraphs that any score above zero will do (a path
+with more links than text has none), and zero where the markup says what is never content: navigation, header, footer, asides, forms, adverts, notices, comments. Class names of
+boilerplate are such markup too, but not of an element that holds most of the content.
 
 Pages are independent: one pass, no shuffle.
 """
@@ -42,25 +46,64 @@ BOILERPLATE = FIRM | set("sponsor sponsored promo promos promotion promotions ba
 BESIDE = set("site main page post posts article articles story stories content top bottom left right primary secondary global mobile box block list area section container wrapper wrap inner bar link links item items button buttons icon icons form text widgets".split())
 #: Elements whose text is prose by its markup.
 PROSE = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote", "pre", "figcaption"}
-#: Elements nested deeper are laid flat, as browsers do.
-DEEPEST = 512
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+#: The prior of paths that need no score but one above zero: of more than links.
+SURE = 1e12
+#: Comments, declarations and tags; a quotation mark quotes only after an equals sign.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=)*)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|aria-hidden|style)(?![^\s=/])\s*(?:=\s*(\"[^\"]*\"?|'[^']*'?|[^\s>]+))?", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？¿¡]")
 
 
 @dataclass
 class Node:
-    """A text node: its text, its path of tags, the elements around it (numbers, from the root), its block, whether something
-    around it is never content, and the elements around it that are boilerplate by their name alone."""
+    """A text node: its text, its path of block tags (-1 for mere white space), its element, its block, and whether it is in a link."""
 
     text: str
-    path: str
-    inside: tuple[int, ...]
+    path: int
+    element: int
     block: int
-    never: bool
-    named: tuple[int, ...] = ()
+    link: bool
+
+
+@dataclass
+class Page:
+    """Text nodes, and by number the elements (0 is the page; a parent has a smaller number) and the paths of block tags."""
+
+    nodes: list[Node]
+    parent: list[int]
+    tag: list[str]
+    never: list[bool]
+    #: Boilerplate by a class name or id alone.
+    named: list[bool]
+    path_parent: list[int]
+    path_depth: list[int]
+
+    def down(self, own: list[bool]) -> list[bool]:
+        """Whether own holds for an element or one around it."""
+        out = list(own)
+        for e in range(1, len(out)):
+            out[e] = out[e] or out[self.parent[e]]
+        return out
+
+    def held(self, nodes: list[Node]) -> list[int]:
+        """Characters of the nodes within each element."""
+        out = [0] * len(self.parent)
+        for n in nodes:
+            out[n.element] += len(n.text)
+        for e in range(len(out) - 1, 0, -1):
+            out[self.parent[e]] += out[e]
+        return out
+
+    def shared(self, a: int, b: int) -> float:
+        """The share of two paths that is common to both, from the root."""
+        total = self.path_depth[a] + self.path_depth[b]
+        while a != b:
+            if self.path_depth[a] >= self.path_depth[b]:
+                a = self.path_parent[a]
+            else:
+                b = self.path_parent[b]
+        return 2 * self.path_depth[a] / total if total else 1.0
 
 
 def never_name(value: str) -> tuple[bool, bool]:
@@ -73,24 +116,29 @@ def never_name(value: str) -> tuple[bool, bool]:
     return named, firm
 
 
-def text_nodes(page: str) -> list[Node]:
+def parse(page: str) -> Page:
     """The text nodes of a page in order, as browsers nest them in the cases that matter here."""
-    nodes: list[Node] = []
-    # An open element: tag, number, tag with its class, never content, elements up to it that are boilerplate by name.
-    stack: list[tuple[str, int, str, bool, tuple[int, ...]]] = []
-    count = block = at = 0
+    out = Page([], [0], [""], [False], [False], [0], [0])
+    paths: dict[tuple[int, str], int] = {}
+    # An open element: tag, number, path of block tags, links around it and itself (headings' links are text).
+    stack: list[tuple[str, int, int, bool]] = []
+    opened: dict[str, int] = {}
+    block = at = 0
     lower = None
 
     def add(raw: str) -> None:
+        _, element, path, link = stack[-1] if stack else ("", 0, 0, False)
         if raw and not raw.isspace():
-            nodes.append(Node(html.unescape(raw) if "&" in raw else raw, "/".join(s[2] for s in stack), tuple(s[1] for s in stack), block, bool(stack) and stack[-1][3], stack[-1][4] if stack else ()))
-        elif raw and nodes:
-            nodes.append(Node(" ", "", tuple(s[1] for s in stack), block, bool(stack) and stack[-1][3], stack[-1][4] if stack else ()))
+            out.nodes.append(Node(html.unescape(raw) if "&" in raw else raw, path, element, block, link))
+        elif raw and out.nodes:
+            out.nodes.append(Node(" ", -1, element, block, link))
 
     def close_to(depth: int) -> None:
         nonlocal block
         if any(s[0] not in INLINE for s in stack[depth:]):
             block += 1
+        for s in stack[depth:]:
+            opened[s[0]] -= 1
         del stack[depth:]
 
     while m := TOKEN.search(page, at):
@@ -100,7 +148,7 @@ def text_nodes(page: str) -> list[Node]:
             continue
         tag = m[2].lower()
         if m[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
+            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1) if opened.get(tag) else -1
             # an inline end tag does not end blocks around it
             if depth >= 0 and not (tag in INLINE and any(s[0] not in INLINE for s in stack[depth + 1 :])):
                 close_to(depth)
@@ -115,7 +163,7 @@ def text_nodes(page: str) -> list[Node]:
                 tail = page.find(">", at)
                 at = len(page) if tail < 0 or end < 0 else tail + 1
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and opened.get("p"):
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p" or stack[i][0] in SCOPE), -1)
             if depth >= 0 and stack[depth][0] == "p":
                 close_to(depth)
@@ -128,42 +176,68 @@ def text_nodes(page: str) -> list[Node]:
             block += 1
         if tag in VOID:
             continue
-        if len(stack) >= DEEPEST:
-            continue
-        count += 1
-        named, never, by_name = tag, bool(stack) and stack[-1][3] or tag in NEVER, stack[-1][4] if stack else ()
+        never, named, label = tag in NEVER, False, tag
         if m[3]:
             for name, value in ATTRIBUTE.findall(m[3]):
                 name, value = name.lower(), value.strip("\"'")
                 if name in ("class", "id"):
                     if tag not in ("html", "body", "article", "main"):
                         found, firm = never_name(value)
-                        never = never or firm
-                        by_name = (*by_name, count) if found and count not in by_name else by_name
-                    named += "." + value if name == "class" else ""
+                        never, named = never or firm, named or found
+                    label += "." + value if name == "class" else ""
                 elif name == "role":
                     never = never or value.lower() in NEVER_ROLE
                 elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and HIDDEN.search(value):
                     never = True
-        stack.append((tag, count, named, never, by_name))
+        _, around, path, link = stack[-1] if stack else ("", 0, 0, False)
+        out.parent.append(around)
+        out.tag.append(tag)
+        out.never.append(never)
+        out.named.append(named)
+        if tag not in INLINE:
+            if (path, label) not in paths:
+                paths[path, label] = len(out.path_parent)
+                out.path_parent.append(path)
+                out.path_depth.append(out.path_depth[path] + 1)
+            path = paths[path, label]
+        stack.append((tag, len(out.parent) - 1, path, link or tag == "a" and not opened.get("h1")))
+        opened[tag] = opened.get(tag, 0) + 1
     add(page[at:])
-    return nodes
+    return out
 
 
-def path_scores(nodes: list[Node]) -> tuple[np.ndarray, float]:
-    """(each node's fused score, the threshold) from its path's ratios, smoothed along the page."""
+def path_scores(page: Page, nodes: list[Node], never: list[bool]) -> tuple[np.ndarray, float]:
+    """(the fused score of each node's path, the threshold) from the paths' ratios, smoothed along the page."""
     of = {p: i for i, p in enumerate(dict.fromkeys(n.path for n in nodes))}
     path = np.array([of[n.path] for n in nodes])
-    length = np.array([0 if n.never else len(n.text.strip()) for n in nodes], float)
-    marks = np.array([0 if n.never else len(PUNCTUATION.findall(n.text)) for n in nodes], float)
+    size = np.array([0 if never[n.element] else len(n.text.strip()) for n in nodes], float)
+    linked = np.array([n.link for n in nodes])
+    length = np.where(linked, 0, size)
+    marks = np.array([0 if never[n.element] or n.link else len(PUNCTUATION.findall(n.text)) for n in nodes], float)
     each = np.bincount(path)
     ratios = [(np.bincount(path, w) / each)[path] for w in (length, marks)]
-    kernel = np.exp(-0.5 * np.arange(-2, 3) ** 2)
-    kernel /= kernel.sum()
-    smooth = [np.convolve(np.pad(r, 2, mode="edge"), kernel, "valid") for r in ratios]
-    fused = smooth[0] * (1 + smooth[1])
-    # A path's score is the mean of its nodes', and its weight in the threshold its text.
-    score = np.bincount(path, fused) / each
+    # a neighbour's part falls with the distance, and with what the paths do not share
+    smooth, norm = [r.copy() for r in ratios], np.ones(len(nodes))
+    known: dict[tuple[int, int], float] = {}
+    for gap in (1, 2):
+        if len(nodes) <= gap:
+            break
+        near = np.exp(-0.5 * gap**2)
+        pairs = [(a.path, b.path) for a, b in zip(nodes, nodes[gap:], strict=False)]
+        for p in set(pairs) - known.keys():
+            known[p] = page.shared(*p)
+        part = near * np.array([known[p] for p in pairs])
+        for r, s in zip(ratios, smooth, strict=True):
+            s[gap:] += part * r[:-gap]
+            s[:-gap] += part * r[gap:]
+        norm[gap:] += near
+        norm[:-gap] += near
+    in_text = 1 - np.bincount(path, size - length) / np.maximum(np.bincount(path, size), 1)
+    # a path of which more is links than text is one of links
+    in_text[in_text <= 0.5] = 0
+    fused = smooth[0] / norm * (1 + smooth[1] / norm)
+    # A path's score is the mean of its nodes' less its links, and its weight in the threshold its text.
+    score = np.bincount(path, fused) / each * in_text
     weight = np.bincount(path, length)
     if not weight.sum():
         return score[path], np.inf
@@ -171,66 +245,51 @@ def path_scores(nodes: list[Node]) -> tuple[np.ndarray, float]:
     return score[path], mean - 0.5 * np.sqrt(np.average((score - mean) ** 2, weights=weight))
 
 
-def drop_named(nodes: list[Node], seen: list[Node]) -> None:
-    """Makes the nodes in elements that are boilerplate by name never content, but for elements with most of the page's scored text."""
-    if not any(n.named for n in seen):
-        return
-    score, least = path_scores(seen)
-    content = [n for n, s in zip(seen, score, strict=True) if s >= least and not n.never]
-    held: dict[int, int] = {}
-    for n in content:
-        for element in n.named:
-            held[element] = held.get(element, 0) + len(n.text)
-    half = sum(len(n.text) for n in content) / 2
-    for n in nodes:
-        n.never = n.never or any(held.get(e, 0) <= half for e in n.named)
-
-
-def prose_blocks(nodes: list[Node]) -> set[int]:
-    """Blocks in headings, paragraphs or other elements of prose, less than half of whose text is in links (a first heading may be one)."""
-    inside: dict[int, list[int]] = {}
-    for n in nodes:
-        tags = {t.split(".")[0] for t in n.path.split("/")}
-        if not n.never and tags & PROSE:
-            size = len(n.text.strip())
-            sizes = inside.setdefault(n.block, [0, 0])
-            sizes[0] += size
-            sizes[1] += size if "a" in tags and "h1" not in tags else 0
-    return {b for b, (size, linked) in inside.items() if 2 * linked < size}
-
-
-def main_text(page: str | None, share: float = 0.9) -> str:
+def content_element(page: Page, content: list[Node], share: float) -> int:
+    """The smallest element with nearly all of the content's text, or the article or main element around it; 0 if only the page has."""
+    held = page.held(content)
+    e = max((e for e in range(len(held)) if held[e] >= share * held[0]), default=0)
+    # Inline elements and single blocks of prose are no containers: their parent is.
+    while e and (page.tag[e] in INLINE or page.tag[e] in PROSE or page.tag[e] == "li"):
+        e = page.parent[e]
+    around = e
+    while around and page.tag[around] not in ("article", "main"):
+        around = page.parent[around]
+    return around or e
+
+
+def main_text(html_page: str | None, share: float = 0.9) -> str:
     """The page's main text: blocks in page order, one a line; empty for a page without any."""
-    nodes = text_nodes(page or "")
-    seen = [n for n in nodes if n.path or n.text != " "]
+    page = parse(html_page or "")
+    seen = [n for n in page.nodes if n.path >= 0]
     if not seen:
         return ""
-    drop_named(nodes, seen)
-    score, least = path_scores(seen)
-    content = [n for n, s in zip(seen, score, strict=True) if s >= least and not n.never]
+    never = page.down(page.never)
+
+    def content_of(score: np.ndarray, least: float) -> list[Node]:
+        return [n for n, s in zip(seen, score, strict=True) if s >= least and not never[n.element]]
+
+    score, least = path_scores(page, seen, never)
+    if any(page.named):
+        content = content_of(score, least)
+        held, half = page.held(content), sum(len(n.text) for n in content) / 2
+        never = page.down([a or b and h <= half for a, b, h in zip(never, page.named, held, strict=True)])
+        score, least = path_scores(page, seen, never)
+    content = content_of(score, least)
     if not content:
         return ""
-    # The smallest element with nearly all of the content's text, then the article or main element around it.
-    held: dict[int, int] = {}
-    for n in content:
-        for element in n.inside:
-            held[element] = held.get(element, 0) + len(n.text)
-    total = sum(len(n.text) for n in content)
-    root = max((e for e, size in held.items() if size >= share * total), default=None, key=lambda e: max(len(n.inside[: n.inside.index(e)]) for n in content if e in n.inside))
-    # Inline elements and paragraphs are no containers: their parent is.
-    if root is not None:
-        around = next(n for n in content if root in n.inside)
-        tags = [t.split(".")[0] for t in around.path.split("/")]
-        depth = around.inside.index(root)
-        while depth > 0 and (tags[depth] in INLINE or tags[depth] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "blockquote")):
-            depth -= 1
-        depth = next((i for i in range(depth, -1, -1) if tags[i] in ("article", "main")), depth)
-        root = around.inside[depth]
-    # Blocks outside it stay if they are content themselves.
-    passed = {n.block for n in content} | prose_blocks(seen)
+    root = content_element(page, content, share)
+    inside = page.down([e == root for e in range(len(page.parent))])
+    prose = page.down([t in PROSE for t in page.tag])
+    passed = set()
+    for n, s in zip(seen, score, strict=True):
+        prior = 0.0 if never[n.element] else SURE if inside[n.element] or prose[n.element] else 1.0
+        if s * prior >= least and prior:
+            passed.add((n.path, n.block))
+    kept = {b for _, b in passed}
     blocks: dict[int, list[str]] = {}
-    for n in nodes:
-        if not n.never and (root is None or root in n.inside or n.block in passed):
+    for n in page.nodes:
+        if n.block in kept and not never[n.element] and (n.path < 0 or (n.path, n.block) in passed):
             blocks.setdefault(n.block, []).append(n.text)
     lines = (" ".join("".join(b).split()) for b in blocks.values())
     return "\n".join(line for line in lines if line)
@@ -239,8 +298,8 @@ def main_text(page: str | None, share: float = 0.9) -> str:
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points), one row a page.
 
-    A null, empty or text-less page has an empty text; a null page_id or url stays null; repeated
-    rows give repeated rows; other columns are ignored; an empty table gives no rows.
+    A null, empty or text-less page has an empty text; pages of any length and depth are read whole; a null page_id or url
+    stays null; repeated rows give repeated rows; other columns, whatever their names, are ignored; an empty table gives no rows.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
