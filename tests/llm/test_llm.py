@@ -442,6 +442,31 @@ def test_names_of_boilerplate(page, parts):
     assert html_text.main_text(page).split("\n") == [p.strip() for p in parts]
 
 
+@pytest.mark.parametrize(("page", "parts"), [
+    (f"<body>{'<div>' * 600}<nav>Home</nav><p>{LONG}</p>", [LONG]),
+    (f"<body><p class=it's>{LONG}</p><p title='a > b'>Two, three.</p>", [LONG, "Two, three."]),
+    (f"<body><div><ul><li><a>Home</a><li><a>About us</a></ul><h1>Title</h1><p>{LONG * 3}</p></div></body>", ["Title", LONG * 3]),
+    (f"<body><div><h1>Title</h1><p>{LONG * 3}</p><table><tr><td>12<td>b</table><ul><li>One<li>Two with <a>a link</a></ul></div></body>", ["Title", LONG * 3, "12", "b", "One", "Two with a link"]),
+    (f"<body><div>Home | News | About</div><div><p>{LONG * 6}</p><p>{LONG * 6}</p></div><div>Terms of use</div></body>", [LONG * 6, LONG * 6]),
+])
+def test_paths_choose_nodes(page, parts):
+    assert html_text.main_text(page).split("\n") == [p.strip() for p in parts]
+
+
+def test_the_ratios_decide(spark, sf_dir, monkeypatch):
+    """The given pages without any name or element that says what is what: the ratios alone find the articles, and
+    with all paths scored alike they are not found."""
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").collect()
+    bare = lambda h: re.sub(r'<(/?)(?:nav|article|footer|div)\b[^>]*>', r"<\1div>", h)
+    want = [html_text.main_text(r["html"]) for r in rows]
+    long = [i for i, t in enumerate(want) if len(t) > 600]
+    near = lambda a, b: len(set(a.split("\n")) & set(b.split("\n"))) >= 0.9 * len(set(a.split("\n")) | set(b.split("\n")))
+    found = sum(near(html_text.main_text(bare(rows[i]["html"])), want[i]) for i in long)
+    monkeypatch.setattr(html_text, "path_scores", lambda page, nodes, never: (np.ones(len(nodes)), 0.5))
+    alike = sum(near(html_text.main_text(bare(rows[i]["html"])), want[i]) for i in long)
+    assert len(long) > 30 and found >= 0.9 * len(long) and alike < 0.1 * len(long), (found, alike, len(long))
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", "<p>x, y."), (None, None, None), (1, "u", "<p>x, y.")], "page_id long, url string, html string").withColumn("text", F.lit(3))
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in html_text.extract_text(df).collect()) == [(0, "", 0), (1, "x, y.", 5), (1, "x, y.", 5)]
@@ -449,12 +474,13 @@ def test_pages(spark):
 
 
 def test_article_of_the_given_pages(spark, sf_dir):
+    """Exact texts of all given pages, by plain cutting of their known template."""
     import html as h
 
-    for r in q.op5_html_text(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), "page_id").limit(150).collect():
+    for r in q.op5_html_text(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), "page_id").collect():
         article = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
-        parts = [" ".join(h.unescape(re.sub(r"</?b>|<br>", " " if "<br>" in p else "", p)).split()) for p in re.split(r"</?(?:p|h1)>", article)]
-        assert r["text"].replace(" ", "") == "\n".join(p for p in parts if p).replace(" ", "")
+        parts = [" ".join(h.unescape(p.replace("<br>", " ").replace("<b>", "").replace("</b>", "")).split()) for p in re.split(r"</?(?:p|h1)>", article)]
+        assert r["text"] == "\n".join(p for p in parts if p) and r["n_chars"] == len(r["text"])
 
 
 # ---- 6 near duplicates
