@@ -2,7 +2,13 @@
 
 Each stage works on all that the one before it kept; between stages the documents are a
 Parquet table in the shared folder. Toxic documents go, one of each class of near-duplicates
-stays, documents with a benchmark item go, secrets are replaced by a mark, and the rest is packed.
+stays, documents with a benchmark item go, secrets are replaced by a mark, and the rest is packed
+into the sequences of token ids that a model is trained on.
+
+Documents with a null or empty text are clean: they are alone in their class, hold no item and no secret, and are
+packed as the end token. A null doc_id stays null, texts of any length are read whole, repeated rows are near-duplicates
+of each other, further columns (whatever their names) go with their rows up to the last stage, and an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,8 +46,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row a piece of a document: its place in a sequence of 2048 tokens."""
-    return pack(docs, with_ids=False)
+    """One row a piece of a document: its token ids and their place in a sequence of 2048 tokens."""
+    return pack(docs)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
