@@ -75,8 +75,12 @@ def test_neutralize_and_normalize(spark):
     assert column(w.group_neutralize(df, Neutralization.SECTOR), "weights", "ticker") == [-1, 1, -5, 5, 0, 0]
     with pytest.raises(ValueError):
         w.group_neutralize(df, Neutralization.INDUSTRY)
-    with pytest.raises(ValueError):
-        w.check_unique(df.union(df))
+    assert w.compute_weights(df, neutralization=Neutralization.SECTOR).count() == 6
+    with pytest.raises(Exception, match="more than one row for"):
+        w.compute_weights(df.union(df), neutralization=Neutralization.SECTOR).collect()
+    near = table(spark, "date date, ticker string, signal double", *[(D, t, 0.1 + 0.2) for t in "AB"], (D, "C", 0.3))
+    exact, quiet = (w.group_neutralize(near, Neutralization.MARKET, noise=n) for n in (0.0, 1e-12))
+    assert any(column(exact, "weights", "ticker")) and column(quiet, "weights", "ticker") == [0, 0, 0]
     days = table(spark, "date date, ticker string, weights double", (D, "A", 2.0), (D, "B", -1.0), (D, "C", 1.0), (D + timedelta(1), "A", 0.0), (D + timedelta(1), "B", 0.0))
     assert column(w.normalize(days), "weights", "date", "ticker") == [0.5, -0.25, 0.25, 0, 0]
 
@@ -140,7 +144,7 @@ def test_weights_are_valid(walk, kind, cap):
 def test_a_bad_table_of_weights_is_found(spark):
     df = table(spark, "date date, ticker string, weights double", (D, "A", 0.9), (D, "B", 0.4), (D, "C", float("inf")))
     report = va.are_weights_valid(df, Neutralization.MARKET, 0.5)
-    assert not report and not report.checks["not_nan"] and not report.checks["under_max_weight"] and not report.checks["group_neutral"] and "FAILED" in str(report)
+    assert not report and not report.checks["not_nan"] and not report.checks["under_max_weight"] and not report.checks["group_neutral"] and "failed not_nan, under_max_weight" in str(report)
     assert va.are_weights_valid(df.withColumn("weights", F.lit(0.0))).checks == {"has_active_positions": False}
     with pytest.raises(ValueError):
         va.are_weights_valid(df.limit(0))
@@ -177,7 +181,9 @@ def test_corporate_actions(spark):
 def test_settings():
     assert Neutralization("sector") is Neutralization.SECTOR and Neutralization("Market").keys == ["date"]
     period = TradingPeriod("2024-01-01", "2024-01-31", "JAN")
-    assert period.days == 31 and period.contains("2024-01-31") and not period.overlaps(TradingPeriod("2024-02-01", "2024-02-02"))
+    assert period.days == 30 and period.contains("2024-01-31") and not period.overlaps(TradingPeriod("2024-02-01", "2024-02-02"))
+    assert period.contains(TradingPeriod("2 Jan 2024", "January 31, 2024")) and not period.contains(TradingPeriod("2024-01-02", "2024-02-01"))
+    assert str(period) == "JAN: 2024-01-01 to 2024-01-31 (30 days)" and period.update(name="") != period and hash(period) == hash(TradingPeriod(date(2024, 1, 1), "2024/01/31", "JAN"))
     with pytest.raises(ValueError):
         period.update(end="2023-01-01")
     s = Strategy(Alpha(fields.close))
