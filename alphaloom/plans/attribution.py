@@ -30,10 +30,10 @@ def asset_attribution(df: DataFrame, *, book_size: float, weight: str = "weights
     return df.withColumn("contribution_return", F.col("contribution_pnl") / float(book_size))
 
 
-def attribution(df: DataFrame, *, horizon: str = "daily", groups: tuple[str, ...] = ("ticker",), book_size: float, weight: str = "weights") -> DataFrame:
+def attribution(df: DataFrame, *, horizon: str = "daily", groups: tuple[str, ...] = ("ticker",), book_size: float, weight: str = "weights", flat: float = 0.0) -> DataFrame:
     """Contribution of each group in each period, missing groups among them, and its share of the period's PnL.
 
-    ``full`` keeps single dates; sum over them for the sample.
+    ``full`` keeps single dates; sum over them for the sample. Mean weights of a size up to ``flat`` (what rounding leaves) are on no side.
     """
     if horizon not in HORIZONS:
         raise ValueError(f"a horizon is one of {list(HORIZONS)}")
@@ -48,20 +48,16 @@ def attribution(df: DataFrame, *, horizon: str = "daily", groups: tuple[str, ...
     out = asset.withColumn("_period", when).groupBy(F.col("_period").alias("date"), *groups).agg(*sums)
     out = out.withColumn("period_pnl", F.sum("contribution_pnl").over(Window.partitionBy("date")))
     out = out.withColumn("contribution_pct", F.when(F.col("period_pnl") != 0, F.col("contribution_pnl") / F.col("period_pnl")))
-    return out.withColumn("side", side_of("avg_weight")) if weighted else out
+    return out.withColumn("side", side_of("avg_weight", flat)) if weighted else out
 
 
-#: Weights that sum up to less than this are flat: what rounding leaves.
-FLAT = 1e-12
+def side_of(weight: str, flat: float = 0.0) -> Column:
+    return F.when(F.col(weight) > flat, "long").when(F.col(weight) < -flat, "short").otherwise("flat")
 
 
-def side_of(weight: str) -> Column:
-    return F.when(F.col(weight) > FLAT, "long").when(F.col(weight) < -FLAT, "short").otherwise("flat")
-
-
-def side_attribution(df: DataFrame, *, horizon: str = "daily", book_size: float, weight: str = "weights") -> DataFrame:
+def side_attribution(df: DataFrame, *, horizon: str = "daily", book_size: float, weight: str = "weights", flat: float = 0.0) -> DataFrame:
     """Attribution to long, short and flat rows."""
-    out = attribution(df.withColumn("row_side", side_of(weight)), horizon=horizon, groups=("row_side",), book_size=book_size, weight=weight)
+    out = attribution(df.withColumn("row_side", side_of(weight, flat)), horizon=horizon, groups=("row_side",), book_size=book_size, weight=weight)
     return out.withColumn("side", F.col("row_side")).drop("row_side")
 
 
@@ -76,6 +72,11 @@ def attribution_snapshot(table: DataFrame, *, period: str | None = None, top: in
     return table.join(F.broadcast(at), "date", "left_semi").orderBy(F.desc(F.abs("contribution_pnl")), *groups).limit(top)
 
 
+def panel_snapshot(df: DataFrame, *, horizon: str = "daily", period: str | None = None, groups: tuple[str, ...] = ("ticker",), limit: int = 10, book_size: float, weight: str = "weights") -> DataFrame:
+    """The same from a panel: its attribution by horizon, then the period's largest contributions."""
+    return attribution_snapshot(attribution(df, horizon=horizon, groups=groups, book_size=book_size, weight=weight), period=period, top=limit, groups=groups)
+
+
 def group_labels(groups: tuple[str, ...]) -> Column:
     return F.concat_ws(" / ", *[F.coalesce(F.col(g).cast("string"), F.lit("None")) for g in groups])
 
@@ -95,12 +96,18 @@ def group_return_matrix(df: DataFrame, group: str, *, book_size: float, names: l
 
 
 def group_correlations(df: DataFrame, group: str, *, book_size: float, top: int = 12) -> DataFrame:
-    """(a, b, correlation) of the daily returns of the groups with the largest sum of sizes; absent days count as 0."""
+    """(a, b, correlation) of the daily returns of the groups with the largest sum of sizes; absent days count as 0.
+
+    The panel is summed once to a row a date and group; ``top`` groups are broadcast. Then each date is one
+    row with the returns of its largest groups, and their pairs are explosions of that row, at most ``top`` squared.
+    """
     returns = group_returns(df, group, book_size=book_size)
-    largest = returns.groupBy("group").agg(F.sum(F.abs("ret")).alias("size")).orderBy(F.desc("size"), "group").limit(top)
-    dates = returns.select("date").distinct()
-    # top groups x dates: the matrix in long form
-    dense = dates.join(F.broadcast(largest.select("group"))).join(returns, ["date", "group"], "left").select("date", "group", F.coalesce("ret", F.lit(0.0)).alias("ret"))
-    a, b = dense.select("date", F.col("group").alias("a"), F.col("ret").alias("x")), dense.select("date", F.col("group").alias("b"), F.col("ret").alias("y"))
+    sized = returns.withColumn("size", F.sum(F.abs("ret")).over(Window.partitionBy("group")))
+    largest = sized.groupBy("group", "size").agg(F.count("*").alias("n")).orderBy(F.desc("size"), "group").limit(top).select("group", F.lit(True).alias("large"))
+    days = sized.join(F.broadcast(largest), "group", "left").groupBy("date").agg(F.map_from_entries(F.collect_list(F.when(F.col("large"), F.struct("group", "ret")))).alias("held"))
+    names = largest.agg(F.sort_array(F.collect_set("group")).alias("names"))
+    # one row of at most ``top`` names
+    pairs = days.crossJoin(F.broadcast(names)).select("held", "names", F.explode("names").alias("a")).select("held", "a", F.explode("names").alias("b"))
+    x, y = (F.coalesce(F.element_at("held", F.col(k)), F.lit(0.0)) for k in ("a", "b"))
     sx, sy = F.stddev_samp("x"), F.stddev_samp("y")
-    return a.join(b, "date").groupBy("a", "b").agg(F.when((sx > 0) & (sy > 0), F.covar_samp("x", "y") / (sx * sy)).alias("correlation"))
+    return pairs.select("a", "b", x.alias("x"), y.alias("y")).groupBy("a", "b").agg(F.when((sx > 0) & (sy > 0), F.covar_samp("x", "y") / (sx * sy)).alias("correlation"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from datetime import date, timedelta
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,10 +33,12 @@ def period_name(periods: list[TradingPeriod], day: str = "date") -> Column:
 
 
 def period_figures(portfolio: DataFrame, periods: list[TradingPeriod], *, book_size: float, delay: Delay = Delay.ONE) -> DataFrame:
-    """Each period's aggregate as a sample of its own, with the first two together as IS."""
+    """Each period's aggregate as a sample of its own, with the first two together as IS; one pass over the portfolio, whose
+    dates take part in every period that they are in."""
     named = [*periods[:2], TradingPeriod(periods[0].start, periods[1].end, "IS"), *periods[2:]]
-    parts = [aggregate_returns(portfolio.where(in_period(p)), "full", delay=delay, book_size=book_size).withColumn("period", F.lit(p.name)) for p in named]
-    return reduce(DataFrame.unionByName, parts).withColumns({"total_pnl": F.col("pnl"), "annualised_mean_pnl": F.col("mean_pnl") * TRADING_DAYS})
+    of = F.array_compact(F.array(*[F.when(in_period(p), p.name) for p in named]))
+    figures = aggregate_returns(portfolio.withColumn("period", F.explode(of)), "full", delay=delay, book_size=book_size, sample=("period",))
+    return figures.withColumns({"total_pnl": F.col("pnl"), "annualised_mean_pnl": F.col("mean_pnl") * TRADING_DAYS})
 
 
 def common_start(*tables: DataFrame) -> date | None:

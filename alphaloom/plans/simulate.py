@@ -23,9 +23,9 @@ def running() -> WindowSpec:
     return by_ticker().rowsBetween(Window.unboundedPreceding, 0)
 
 
-def by_date() -> WindowSpec:
-    """All rows in date order: for tables with one row a date."""
-    return Window.partitionBy().orderBy("date")
+def by_date(*sample: str) -> WindowSpec:
+    """All rows in date order, of each sample if there are some: for tables with one row a date."""
+    return Window.partitionBy(*sample).orderBy("date")
 
 
 def allocations(df: DataFrame, *, delay: Delay = Delay.ONE, book_size: float = 1.0, weight: str = "weights") -> DataFrame:
@@ -96,29 +96,30 @@ def daily_portfolio(df: DataFrame, *, book_size: float = 1.0, weight: str = "wei
     })
 
 
-def period_end(horizon: str, date: str = "date") -> Column:
+def period_end(horizon: str, date: str = "date", sample: tuple[str, ...] = ()) -> Column:
     """A date's period, named by its last day; the whole sample by its last date."""
     if horizon not in m.HORIZONS:
         raise ValueError(f"a horizon is one of {list(m.HORIZONS)}")
     day = F.col(date).cast("date")
     if horizon == "full":
-        return F.max(day).over(Window.partitionBy())
+        return F.max(day).over(Window.partitionBy(*sample))
     return {"daily": day, "monthly": F.last_day(day), "yearly": F.make_date(F.year(day), F.lit(12), F.lit(31))}[horizon]
 
 
-def aggregate_returns(daily: DataFrame, horizon: str = "daily", *, delay: Delay = Delay.ONE, book_size: float = 1.0, warmup: bool = True, sharpe_warmup: int = SHARPE_WARMUP) -> DataFrame:
+def aggregate_returns(daily: DataFrame, horizon: str = "daily", *, delay: Delay = Delay.ONE, book_size: float = 1.0, warmup: bool = True, sharpe_warmup: int = SHARPE_WARMUP, sample: tuple[str, ...] = ()) -> DataFrame:
     """One row a period. Exposure, turnover and rebalancing skip the sample's first delay + 1 dates; Sharpe and
-    capacity count dates from the sample's 49th on (``warmup``), or all; both kinds are there as well."""
+    capacity count dates from the sample's 49th on (``warmup``), or all; both kinds are there as well. Rows that differ
+    in the columns ``sample`` are samples of their own."""
     book, wait = float(book_size), Delay(delay).value + 1
-    rows = daily.withColumns({"_i": F.row_number().over(by_date()) - 1, "_n": F.count("*").over(Window.partitionBy()), "_period": period_end(horizon)})
+    rows = daily.withColumns({"_i": F.row_number().over(by_date(*sample)) - 1, "_n": F.count("*").over(Window.partitionBy(*sample)), "_period": period_end(horizon, sample=sample)})
     built = (F.col("_n") <= wait) | (F.col("_i") >= wait)
     post = (F.col("_n") > sharpe_warmup) & (F.col("_i") >= sharpe_warmup) if warmup else F.lit(False)
-    restarted = Window.partitionBy("_period").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    restarted = Window.partitionBy(*sample, "_period").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_cum", F.sum(F.coalesce("pnl", F.lit(0.0))).over(restarted)).withColumn("_dd", F.col("_cum") - F.max("_cum").over(restarted))
     on = lambda c, test: F.when(test, F.col(c))
     pnl, ret = F.col("pnl"), F.col("ret")
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
-    agg = rows.groupBy(F.col("_period").alias("date")).agg(
+    agg = rows.groupBy(*sample, F.col("_period").alias("date")).agg(
         m.annualised_return(pnl, book).alias("ret"),
         (m.get_volatility(ret) * m.TRADING_DAYS**0.5).alias("vol"),
         (m.get_variance(ret) * m.TRADING_DAYS).alias("var"),
@@ -147,7 +148,7 @@ def aggregate_returns(daily: DataFrame, horizon: str = "daily", *, delay: Delay
         "number_of_trades": c("long_count") + c("short_count"),
     })
     kind = "warmup" if warmup else "full"
-    run = by_date().rowsBetween(Window.unboundedPreceding, 0)
+    run = by_date(*sample).rowsBetween(Window.unboundedPreceding, 0)
     return agg.withColumns({"sharpe": c(f"sharpe_{kind}"), "capacity_score": c(f"capacity_score_{kind}"), "cum_pnl": F.sum("pnl").over(run), "cum_log_ret": F.sum("log_ret").over(run)})
 
 

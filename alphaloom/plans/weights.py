@@ -15,20 +15,19 @@ from pyspark.sql import functions as F
 from ..config import Neutralization, number
 from ..operators.library import REGISTRY, Scope, finite, num
 
-KEYS = ("date", "ticker")
-#: Differences of this share of a signal are rounding.
-NOISE = 1e-12
+def unique_keys(df: DataFrame, value: str) -> DataFrame:
+    """df, which fails when it is run if two rows have one (date, ticker)."""
+    twice = F.count(F.lit(1)).over(Window.partitionBy("date", "ticker")) > 1
+    message = F.concat(F.lit("more than one row for "), F.col("ticker").cast("string"), F.lit(" on "), F.col("date").cast("string"))
+    return df.withColumn(value, F.when(twice, F.raise_error(message).cast(df.schema[value].dataType)).otherwise(F.col(f"`{value}`")))
 
 
-def check_unique(df: DataFrame) -> None:
-    """Raises if two rows have one (date, ticker)."""
-    twice = df.groupBy(*KEYS).agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
-    if twice:
-        raise ValueError(f"more than one row for {twice[0]['ticker']} on {twice[0]['date']}")
+def group_neutralize(df: DataFrame, neutralization: Neutralization, signal: str = "signal", out: str = "weights", noise: float = 0.0) -> DataFrame:
+    """signal less its mean over the finite signals of its date and group; 0 where it is missing or has no group.
 
-
-def group_neutralize(df: DataFrame, neutralization: Neutralization, signal: str = "signal", out: str = "weights") -> DataFrame:
-    """signal less its mean over the finite signals of its date and group; 0 where it is missing or has no group."""
+    Differences of up to ``noise`` of a signal (or of 1) count as zero: equal signals can leave rounding noise, which
+    normalize would blow up to whole weights.
+    """
     neutralization = Neutralization(neutralization)
     x = num(F.col(signal))
     if neutralization is Neutralization.NONE:
@@ -38,8 +37,7 @@ def group_neutralize(df: DataFrame, neutralization: Neutralization, signal: str
     v = F.when(finite(x), x)
     grouped = F.col(neutralization.field).isNotNull() if neutralization.field else F.lit(True)
     value = v - F.avg(v).over(Window.partitionBy(*neutralization.keys))
-    # equal signals leave rounding noise, which normalize would blow up to whole weights
-    value = F.when(grouped & (F.abs(value) > NOISE * F.greatest(F.lit(1.0), F.abs(v))), value)
+    value = F.when(grouped & (F.abs(value) > noise * F.greatest(F.lit(1.0), F.abs(v))) if noise else grouped, value)
     return df.withColumn(out, F.coalesce(value, F.lit(0.0)))
 
 
@@ -113,15 +111,18 @@ def truncate_gross(df: DataFrame, cap: float, weight: str = "weights") -> DataFr
 
 
 def compute_weights(
-    df: DataFrame, *, neutralization: Neutralization = Neutralization.NONE, decay: int = 0, truncation: float = 0.0, signal: str = "signal", check_keys: bool = True
+    df: DataFrame, *, neutralization: Neutralization = Neutralization.NONE, decay: int = 0, truncation: float = 0.0, signal: str = "signal", check_keys: bool = True, noise: float = 0.0
 ) -> DataFrame:
-    """df with ``weights``: neutral, normalized, decayed (then neutral and normalized again), capped."""
+    """df with ``weights``: neutral, normalized, decayed (then neutral and normalized again), capped; ``noise`` as in group_neutralize.
+
+    One lazy plan: that keys are unique is checked while it runs.
+    """
     neutralization = Neutralization(neutralization)
     if check_keys and neutralization is not Neutralization.NONE:
-        check_unique(df)
-    out = normalize(group_neutralize(df, neutralization, signal))
+        df = unique_keys(df, signal)
+    out = normalize(group_neutralize(df, neutralization, signal, noise=noise))
     if decay:
-        out = normalize(group_neutralize(apply_decay(out, decay), neutralization, "weights"))
+        out = normalize(group_neutralize(apply_decay(out, decay), neutralization, "weights", noise=noise))
     if number(truncation) > 0:
         out = truncate_gross(out, truncation) if neutralization is Neutralization.NONE else truncate_neutral(out, truncation, neutralization.keys)
     return out

@@ -29,6 +29,8 @@ from .sources.panels import event_panel, trade_panel, universe_mask, with_derive
 Query = Callable[[SparkSession, str], DataFrame]
 BOOK = 1000.0
 UNIVERSE = 60
+#: Signals of the made panels can be equal within a group: differences of this share are rounding, in the queries and their SQL.
+NOISE = 1e-12
 
 
 def nudge(n: int) -> float:
@@ -292,7 +294,7 @@ for _kind in ("NONE", "MARKET", "SECTOR", "INDUSTRY"):
         _ctes, _last, _col = weights_sql(_kind, _decay, _cap)
         register(
             f"weights_{_kind.lower()}_{_what}",
-            lambda spark, d, k=_kind, n=_decay, c=_cap: rounded(compute_weights(compute_signals(in_universe(spark, d), Alpha(REVERSAL)), neutralization=Neutralization[k], decay=n, truncation=c).select("date", "ticker", "weights"), 9),
+            lambda spark, d, k=_kind, n=_decay, c=_cap: rounded(compute_weights(compute_signals(in_universe(spark, d), Alpha(REVERSAL)), neutralization=Neutralization[k], decay=n, truncation=c, noise=NOISE).select("date", "ticker", "weights"), 9),
             sql(f"SELECT date, ticker, {rnd(_col, 9)} AS weights FROM {_last}", *REVERSAL_SQL, *_ctes),
         )
 
@@ -301,7 +303,7 @@ for _kind in ("NONE", "MARKET", "SECTOR", "INDUSTRY"):
 
 def backtest(spark: SparkSession, sf_dir: str, delay: Delay = Delay.ONE):
     strategy = Strategy(Alpha(REVERSAL), delay=delay, decay=5, truncation=0.05, neutralization=Neutralization.SECTOR)
-    return run_backtest(strategy, in_universe(spark, sf_dir), BOOK)
+    return run_backtest(strategy, in_universe(spark, sf_dir), BOOK, noise=NOISE)
 
 
 def simulated_sql(delay: int = 1) -> list[str]:
@@ -413,7 +415,7 @@ def m_change() -> Column:
 def event_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = event_panel(spark, sf_dir)
     panel = panel.withColumns({"dividends": F.lit(0.0), "splits": F.lit(0.0)})
-    return run_backtest(Strategy(Alpha(parse("-rank(returns)")), neutralization="market"), with_derived(panel, ["returns"]), BOOK).portfolio
+    return run_backtest(Strategy(Alpha(parse("-rank(returns)")), neutralization="market"), with_derived(panel, ["returns"]), BOOK, noise=NOISE).portfolio
 
 
 register("agg_full_short_sample", lambda spark, d: rounded(sim.aggregate_returns(event_backtest(spark, d), "full", book_size=BOOK).select("date", "pnl", "ret", "sharpe", "sharpe_full", "capacity_score", "turnover"), 4), "WITH " + ",\n".join([
@@ -439,7 +441,7 @@ def attribution_query(name: str, horizon: str, groups: tuple[str, ...], period:
     out = ["date", *groups, *ATTRIBUTED, "observations", "side"]
     register(
         name,
-        lambda spark, d: rounded(at.attribution(backtest(spark, d).panel, horizon=horizon, groups=groups, book_size=BOOK).select(*out), 5),
+        lambda spark, d: rounded(at.attribution(backtest(spark, d).panel, horizon=horizon, groups=groups, book_size=BOOK, flat=NOISE).select(*out), 5),
         sql("SELECT date, " + ", ".join([*groups, *(f"{rnd(c, 5)} AS {c}" for c in ATTRIBUTED)]) + ", observations, side FROM att", *simulated_sql(), *attr_sql(period, ", ".join(groups))),
     )
 
@@ -449,7 +451,7 @@ attribution_query("attr_sector_yearly", "yearly", ("sector",), "make_date(year(d
 attribution_query("attr_industry_daily", "daily", ("industry",), "date")
 attribution_query("attr_sector_full", "full", ("sector",), "date")
 attribution_query("attr_sector_industry_monthly", "monthly", ("sector", "industry"), "last_day(date)")
-register("attr_side_monthly", lambda spark, d: rounded(at.side_attribution(backtest(spark, d).panel, horizon="monthly", book_size=BOOK).select("date", "side", *ATTRIBUTED, "observations"), 5), sql(
+register("attr_side_monthly", lambda spark, d: rounded(at.side_attribution(backtest(spark, d).panel, horizon="monthly", book_size=BOOK, flat=NOISE).select("date", "side", *ATTRIBUTED, "observations"), 5), sql(
     "SELECT date, rs AS side, " + ", ".join(f"{rnd(c, 5)} AS {c}" for c in ATTRIBUTED) + ", observations FROM att", *simulated_sql(), "a2 AS (SELECT *, CASE WHEN weights > 1e-12 THEN 'long' WHEN weights < -1e-12 THEN 'short' ELSE 'flat' END AS rs FROM a)", *attr_sql("last_day(date)", "rs", source="a2")))
 register("attr_snapshot", lambda spark, d: rounded(at.attribution_snapshot(at.attribution(backtest(spark, d).panel, horizon="monthly", book_size=BOOK), period="1996-02-20", top=10).select("date", "ticker", "contribution_pnl"), 5), sql(
     f"SELECT date, ticker, {rnd('contribution_pnl', 5)} AS contribution_pnl FROM att WHERE date = (SELECT date FROM att ORDER BY abs(date - DATE '1996-02-20'), date LIMIT 1) ORDER BY abs(contribution_pnl) DESC, ticker LIMIT 10", *simulated_sql(), *attr_sql("last_day(date)", "ticker")))
@@ -490,7 +492,7 @@ for _kind in ("NONE", "SECTOR"):
     _room = "CASE WHEN sector IS NOT NULL THEN 2 * least(nl, ns) * 0.03::DOUBLE END" if _kind == "SECTOR" else "na * 0.03::DOUBLE"
     register(
         f"valid_weights_{_kind.lower()}",
-        lambda spark, d, k=_kind: va.weight_checks(compute_weights(compute_signals(in_universe(spark, d), Alpha(REVERSAL)), neutralization=Neutralization[k], decay=5, truncation=0.03), Neutralization[k], 0.03).select("n_active", "n_not_finite", "n_over_weight", "n_over_capacity", "n_over_levered", (F.col("largest_net") < 1e-9).alias("neutral")),
+        lambda spark, d, k=_kind: va.weight_checks(compute_weights(compute_signals(in_universe(spark, d), Alpha(REVERSAL)), neutralization=Neutralization[k], decay=5, truncation=0.03, noise=NOISE), Neutralization[k], 0.03).select("n_active", "n_not_finite", "n_over_weight", "n_over_capacity", "n_over_levered", (F.col("largest_net") < 1e-9).alias("neutral")),
         sql(
             "SELECT CAST(sum(na) AS BIGINT) AS n_active, 0::BIGINT AS n_not_finite, CAST(sum(nw) AS BIGINT) AS n_over_weight, count(*) FILTER (na > 0 AND gross > least(1.0, room) + 1e-9) AS n_over_capacity, count(*) FILTER (gross > 1 + 1e-9) AS n_over_levered, "
             + ("max(net) < 1e-9" if _kind == "SECTOR" else "true") + " AS neutral FROM (SELECT date, sum(gross) AS gross, sum(room) AS room, sum(na) AS na, sum(nw) AS nw, max(net) AS net FROM vg GROUP BY date)",
@@ -506,10 +508,15 @@ def daily_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trade_panel(spark, sf_dir, "day").select("date", "ticker")
 
 
-LISTED = ["di AS (SELECT date, row_number() OVER (ORDER BY date) AS i FROM (SELECT DISTINCT date FROM panel))", "sp AS (SELECT ticker, min(date) AS first, max(date) AS last, count(DISTINCT date) AS n FROM panel GROUP BY ticker)"]
+def changes_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = [F.concat_ws(",", F.transform(c, lambda x: x.cast("string"))).alias(c) for c in ("entered_tickers", "exited_tickers")]
+    return va.ticker_changes(daily_names(spark, sf_dir)).select("date", "entered", "exited", *lists)
+
+
+LISTED = ["di AS (SELECT date, row_number() OVER (ORDER BY date) AS i FROM (SELECT DISTINCT date FROM panel))", "sp AS (SELECT ticker, min(date) AS first, max(date) AS last, count(*) AS n FROM panel GROUP BY ticker)"]
 register("valid_trading_dates", lambda spark, d: va.trading_dates(daily_names(spark, d)), sql("SELECT DISTINCT date FROM panel", unit="day"))
-register("valid_ticker_changes", lambda spark, d: va.ticker_changes(daily_names(spark, d)).select("date", "n_added", "n_removed", F.concat_ws(",", F.transform("added", lambda x: x.cast("string"))).alias("added"), F.concat_ws(",", F.transform("removed", lambda x: x.cast("string"))).alias("removed")), sql(
-    "SELECT date, len(ad) AS n_added, len(re) AS n_removed, array_to_string(ad, ',') AS added, array_to_string(re, ',') AS removed FROM (SELECT date, CASE WHEN b IS NULL THEN [] ELSE list_sort(list_filter(now, lambda x: NOT list_contains(b, x))) END AS ad, CASE WHEN b IS NULL THEN [] ELSE list_sort(list_filter(b, lambda x: NOT list_contains(now, x))) END AS re FROM (SELECT date, now, lag(now) OVER (ORDER BY date) AS b FROM (SELECT date, list(DISTINCT ticker) AS now FROM panel GROUP BY date)))", unit="day"))
+register("valid_ticker_changes", lambda spark, d: changes_in_text(spark, d), sql(
+    "SELECT date, len(en) AS entered, len(ex) AS exited, array_to_string(en, ',') AS entered_tickers, array_to_string(ex, ',') AS exited_tickers FROM (SELECT date, list_sort(list_filter(now, lambda x: NOT list_contains(b, x))) AS en, list_sort(list_filter(b, lambda x: NOT list_contains(now, x))) AS ex FROM (SELECT date, now, lag(now) OVER (ORDER BY date) AS b FROM (SELECT date, list(DISTINCT ticker) AS now FROM panel GROUP BY date)) WHERE b IS NOT NULL)", unit="day"))
 register("valid_delistings", lambda spark, d: va.delistings(daily_names(spark, d)), sql("SELECT ticker, last FROM sp WHERE last < (SELECT max(date) FROM panel)", *LISTED, unit="day"))
 register("valid_late_listings", lambda spark, d: va.late_listings(daily_names(spark, d)), sql("SELECT ticker, first FROM sp WHERE first > (SELECT min(date) FROM panel)", *LISTED, unit="day"))
 register("valid_gaps", lambda spark, d: va.internal_gaps(daily_names(spark, d)), sql("SELECT ticker, l.i - f.i + 1 - n AS gaps FROM sp JOIN di f ON f.date = first JOIN di l ON l.date = last WHERE l.i - f.i + 1 - n > 0", *LISTED, unit="day"))
