@@ -4,18 +4,23 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from enum import Enum
-from typing import Any
+from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Decay, Delay, InstrumentType, Neutralization, Region, Universe, number
+from ..config import Decay, Delay, InstrumentType, Neutralization, Region, TradingPeriod, Universe, number
 from .signal import Alpha, compute_signals
 from .simulate import aggregate_returns, allocations, asset_returns, daily_portfolio, formatted_summary, summary
-from .validate import ValidityReport, validate_backtest
+from .validate import ValidityReport, are_market_changes_valid, validate_backtest
 from .weights import compute_weights
 
+if TYPE_CHECKING:
+    from ..sources.bars import BarStore
+
 FIXED = {"instrument_type", "region"}
+#: Headline figures of a run, and the summary's columns they are.
+HEADLINE = {"pnl": "total_pnl", "ret": "annualised_return", "sharpe": "sharpe", "turnover": "turnover", "capacity_score": "capacity_score", "drawdown": "drawdown", "margin": "margin"}
 
 
 class Strategy:
@@ -75,6 +80,28 @@ class Strategy:
 
     def record(self, **results: Any) -> None:
         self.results.update(results)
+        self.__dict__.pop("_figures", None)
+
+    @property
+    def aggregate_metrics(self) -> dict[str, Any]:
+        """The last run's headline figures; empty before there is one. The first look runs the summary's plan."""
+        if "_figures" not in self.__dict__:
+            table = self.results.get("summary")
+            row = table.first() if table is not None else None
+            object.__setattr__(self, "_figures", {name: row[column] for name, column in HEADLINE.items()} if row is not None else {})
+        return self.__dict__["_figures"]
+
+    def __getattr__(self, name: str) -> Any:
+        """What a strategy lacks its alpha has, or its tables and figures of the last run do."""
+        if name.startswith("_") or "alpha" not in self.__dict__:
+            raise AttributeError(name)
+        if hasattr(self.alpha, name):
+            return getattr(self.alpha, name)
+        if name in self.__dict__.get("results", {}):
+            return self.results[name]
+        if name in HEADLINE and name in self.aggregate_metrics:
+            return self.aggregate_metrics[name]
+        raise AttributeError(f"a strategy has no {name!r}")
 
 
 @dataclass
@@ -89,17 +116,20 @@ class Backtest:
     yearly: DataFrame
     summary: DataFrame
     fields: list[str] = field(default_factory=list)
+    signal_col: str = "signal"
+    weight_col: str = "weights"
 
     def figures(self) -> dict[str, Any]:
         return formatted_summary(self.summary.first().asDict())
 
     def validate(self) -> dict[str, ValidityReport]:
         s = self.strategy
-        return validate_backtest(self.source, self.panel, self.portfolio, fields=self.fields, neutralization=s.neutralization, truncation=s.truncation)
+        return validate_backtest(self.source, self.panel, self.portfolio, fields=self.fields, neutralization=s.neutralization, truncation=s.truncation, signal=self.signal_col, weight=self.weight_col)
 
     def display(self) -> bool:
         """Prints settings, formulas, checks and figures; whether all checks passed."""
         s, reports = self.strategy, self.validate()
+        print(are_market_changes_valid(self.panel))
         for name in ("universe", "delay", "decay", "truncation", "neutralization"):
             print(f"{name}: {getattr(s, name)}")
         for kind, exprs in (("signal", s.alpha.signals), ("constraint", s.alpha.constraints)):
@@ -112,26 +142,51 @@ class Backtest:
         return all(map(bool, reports.values()))
 
 
-def run_backtest(strategy: Strategy | Alpha, data: DataFrame, book_size: float = 1.0, *, cache: bool = False) -> Backtest:
-    """The whole chain as one lazy plan. The first signal is traded, or the one called ``signal``.
-
-    With ``cache`` the panel is kept for the tables that are made of it.
+def run_backtest(
+    strategy: Strategy | Alpha,
+    data: DataFrame | None = None,
+    book_size: float = 1.0,
+    *,
+    trading_period: TradingPeriod | None = None,
+    store: BarStore | None = None,
+    signal_col: str = "signal",
+    weight_col: str = "weights",
+    noise: float = 0.0,
+    cache: bool = False,
+    display: bool = False,
+) -> Backtest:
+    """The whole chain as one lazy plan. The column ``signal_col`` is traded if there is such a signal, else the first one.
+
+    Without ``data`` the panel comes from the ``store``: the universe's tickers in the trading period, with all fields that
+    the formulas and the neutralization need. A trading period also cuts given data. The panel's weights are called
+    ``weight_col``; ``noise`` is that of group_neutralize. With ``cache`` the panel is kept for the tables that are made
+    of it, and with ``display`` the run is printed.
     """
     if isinstance(book_size, bool) or not isinstance(book_size, (int, float)) or not book_size > 0:
         raise ValueError("the book size is a number above 0")
     strategy = Strategy(strategy) if isinstance(strategy, Alpha) else strategy
+    if data is None:
+        if store is None or trading_period is None:
+            raise ValueError("without data, a store and a trading period are needed")
+        if isinstance(strategy.universe, Universe):
+            raise ValueError("a named universe is a mask over a panel: give the strategy a list of tickers")
+        data = store.build_data(strategy.alpha, tickers=list(strategy.universe), start=trading_period.start, end=trading_period.end, group=strategy.neutralization.field)
+    elif trading_period is not None:
+        data = data.where(F.col("date").cast("date").between(F.lit(trading_period.start), F.lit(trading_period.end)))
     panel = compute_signals(data, strategy.alpha)
-    if "signal" not in panel.columns:
-        panel = panel.withColumn("signal", F.col(f"`{next(iter(strategy.alpha.signals))}`"))
-    panel = compute_weights(panel, neutralization=strategy.neutralization, decay=strategy.decay, truncation=strategy.truncation)
+    if signal_col not in panel.columns:
+        panel = panel.withColumn(signal_col, F.col(f"`{next(iter(strategy.alpha.signals))}`"))
+    panel = compute_weights(panel, neutralization=strategy.neutralization, decay=strategy.decay, truncation=strategy.truncation, signal=signal_col, noise=noise)
     panel = asset_returns(allocations(panel, delay=strategy.delay, book_size=book_size))
     panel = panel.cache() if cache else panel
     portfolio = daily_portfolio(panel, book_size=book_size)
     out = Backtest(
-        strategy, float(book_size), data, panel, portfolio,
+        strategy, float(book_size), data, panel.withColumnRenamed("weights", weight_col), portfolio,
         aggregate_returns(portfolio, "yearly", delay=strategy.delay, book_size=book_size),
         summary(portfolio, delay=strategy.delay, book_size=book_size),
-        [f for f in strategy.alpha.fields],
+        [f for f in strategy.alpha.fields], signal_col, weight_col,
     )
-    strategy.record(panel=panel, portfolio=portfolio, yearly=out.yearly, summary=out.summary)
+    strategy.record(source_data=data, df=out.panel, panel=out.panel, portfolio=portfolio, yearly=out.yearly, summary=out.summary, weights=out.panel.select("date", "ticker", weight_col), book_size=out.book_size)
+    if display:
+        out.display()
     return out

@@ -7,8 +7,9 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from ..config import Universe
+from ..config import Universe, as_day
 from ..fields import FIELDS, KEYS, STATIC, with_dependencies
 from ..plans.expr import Expr, Field
 from .panels import cleaned, ordered, universe_mask, with_derived
@@ -59,8 +60,10 @@ class BarStore:
                 if got.isEmpty():
                     raise ValueError(f"nothing was downloaded for {', '.join(missing[i : i + self.chunk])}")
                 self.write_bars(got, start, end)
-        # partition values would be read as numbers where all look like some
-        bars = self.spark.read.parquet(f"{self.path}/bars").withColumn("ticker", F.col("ticker").cast("string"))
+        # given its type, a partition's value stays as it is written: 0005 is no 5
+        found = self.spark.read.parquet(f"{self.path}/bars").schema
+        typed = StructType([StructField(f.name, StringType()) if f.name == "ticker" else f for f in found])
+        bars = self.spark.read.schema(typed).parquet(f"{self.path}/bars")
         return bars.where(F.col("ticker").isin(tickers) & F.col("date").between(F.lit(start), F.lit(end)))
 
     def write_static(self, static: DataFrame) -> None:
@@ -108,6 +111,13 @@ class BarStore:
         return universe_mask(out, universe) if universe else out
 
 
+def build_signals_from_data(store: BarStore, universe: list[str], variables: object = None, start: object = None, end: object = None, *, neutralization_groups: bool = True, offline: bool = False) -> DataFrame:
+    """The panel of any catalogue fields for a list of tickers, with their sectors unless told otherwise: what formulas can be tried on."""
+    names = requested_names([] if variables is None else variables)
+    names += ["sector"] if neutralization_groups and "sector" not in names else []
+    return store.load_variables(names, tickers=get_tickers(universe), start=as_day(start), end=as_day(end), offline=offline)
+
+
 def requested_names(variables: object) -> list[str]:
     """Field names of a request: a name, a formula, or a list of them."""
     if isinstance(variables, str):

@@ -8,7 +8,8 @@ import json
 import re
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..config import Delay, Neutralization, Universe
 from ..plans.backtest import Backtest, Strategy
@@ -68,7 +69,7 @@ def save_backtest(run: Backtest, path: str, source_data: DataFrame | None = None
     figures = run.figures()
     _write_text(spark, f"{path}/config", json.dumps(config_of(run.strategy, run.book_size), indent=2))
     _write_text(spark, f"{path}/summary", json.dumps(figures, indent=2))
-    _write_text(spark, f"{path}/compact_summary", report_page(run_name(run.strategy, run.book_size), figures, run.portfolio, run.yearly))
+    _write_text(spark, f"{path}/compact_summary", report_page(run_name(run.strategy, run.book_size), figures, run.portfolio, run.yearly, run.panel))
     return path
 
 
@@ -93,26 +94,47 @@ def load_backtest(spark: SparkSession, path: str, root: str | None = None) -> tu
     return strategy, tables, json.loads(_read_text(spark, f"{path}/summary"))
 
 
-def _line(points: list[tuple[Any, float]], title: str, width: int = 720, height: int = 180) -> str:
-    values = [v for _, v in points if v is not None]
+def _lines(series: dict[str, list[tuple[Any, float]]], width: int = 720, height: int = 180) -> str:
+    """One chart of a few lines over the same dates."""
+    values = [v for points in series.values() for _, v in points if v is not None]
     if not values:
         return ""
     low, high = min(values), max(values)
+    points = next(iter(series.values()))
     at = lambda i, v: f"{i * width / max(1, len(points) - 1):.1f},{height - (v - low) / ((high - low) or 1) * height:.1f}"
-    path = " ".join(at(i, v) for i, (_, v) in enumerate(points) if v is not None)
-    return f'<figure><figcaption>{html.escape(title)}: {points[0][0]} to {points[-1][0]}, {low:,.4g} to {high:,.4g}</figcaption><svg viewBox="0 0 {width} {height}"><polyline fill="none" stroke="#246" points="{path}"/></svg></figure>'
+    drawn = "".join(f'<polyline fill="none" stroke="{colour}" points="{" ".join(at(i, v) for i, (_, v) in enumerate(own) if v is not None)}"/>' for own, colour in zip(series.values(), ("#246", "#a52"), strict=False))
+    return f'<figure><figcaption>{html.escape(" / ".join(series))}: {points[0][0]} to {points[-1][0]}, {low:,.4g} to {high:,.4g}</figcaption><svg viewBox="0 0 {width} {height}">{drawn}</svg></figure>'
 
 
-def _table(df: DataFrame, columns: list[str]) -> str:
+def _table(df: DataFrame, columns: list[str], order: Column) -> str:
     cell = lambda v: f"{v:,.4f}" if isinstance(v, float) else html.escape(str(v if v is not None else ""))
-    rows = df.select(*columns).orderBy("date").collect()
+    rows = df.select(*columns).orderBy(order, columns[0]).collect()
     return "<table><tr>" + "".join(f"<th>{c}</th>" for c in columns) + "</tr>" + "".join("<tr>" + "".join(f"<td>{cell(v)}</td>" for v in r) + "</tr>" for r in rows) + "</table>"
 
 
-def report_page(title: str, figures: dict[str, Any], portfolio: DataFrame, yearly: DataFrame, most: int = 5000) -> str:
-    """An HTML page: figures, lines of the portfolio (one point a date, the last ``most``) and the yearly table."""
-    charts = {"cum_pnl": "Cumulative PnL", "drawdown": "Drawdown", "expanding_sharpe": "Expanding Sharpe", "rolling_sharpe": "Rolling Sharpe", "turnover": "Turnover", "gross_exposure": "Gross exposure", "net_exposure": "Net exposure"}
-    days = portfolio.select("date", *charts).orderBy("date", ascending=False).limit(most).collect()[::-1]
-    lines = "".join(_line([(d["date"], d[c]) for d in days], t) for c, t in charts.items())
+def thinned(portfolio: DataFrame, columns: list[str], width: int = 2000) -> list[Any]:
+    """At most two rows for each of ``width`` parts of the sample's dates, the first and last included: all of the sample, as fine as a page can show."""
+    day = F.col("date").cast("date")
+    ends = portfolio.agg(F.min(day).alias("a"), F.max(day).alias("b"))
+    # one row of ends
+    parts = portfolio.crossJoin(F.broadcast(ends)).withColumn("_part", F.floor(F.datediff(day, "a") * width / F.greatest(F.datediff("b", "a") + 1, F.lit(1))))
+    row = F.struct(day.alias("date"), *columns)
+    both = parts.groupBy("_part").agg(F.min_by(row, "date").alias("first"), F.max_by(row, "date").alias("last"))
+    return both.select(F.explode(F.array_distinct(F.array("first", "last"))).alias("r")).select("r.*").orderBy("date").collect()
+
+
+def report_page(title: str, figures: dict[str, Any], portfolio: DataFrame, yearly: DataFrame, panel: DataFrame | None = None, width: int = 2000, names: int = 5) -> str:
+    """An HTML page: figures, lines of the portfolio over the whole sample, the yearly table and, of a panel, PnL by sector and the best and worst names."""
+    charts = [({"cum_pnl": "Cumulative PnL"}), ({"drawdown": "Drawdown"}), ({"expanding_sharpe": "Expanding Sharpe", "rolling_sharpe": "Rolling Sharpe"}), ({"turnover": "Turnover"}), ({"gross_exposure": "Gross exposure", "net_exposure": "Net exposure"})]
+    days = thinned(portfolio, [c for chart in charts for c in chart], width)
+    lines = "".join(_lines({t: [(d["date"], d[c]) for d in days] for c, t in chart.items()}) for chart in charts)
     listed = "".join(f"<dt>{html.escape(k)}</dt><dd>{html.escape(str(v))}</dd>" for k, v in figures.items())
-    return f'<!DOCTYPE html><meta charset="utf-8"><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><dl>{listed}</dl>{lines}{_table(yearly, ["date", "ret", "vol", "pnl", "sharpe", "turnover", "drawdown", "capacity_score", "margin"])}'
+    more = ""
+    if panel is not None:
+        if "sector" in panel.columns:
+            more += "<h2>PnL by sector</h2>" + _table(panel.groupBy("sector").agg(F.sum("pnl").alias("pnl")), ["sector", "pnl"], F.desc("pnl"))
+        by_name = panel.groupBy("ticker").agg(F.sum("pnl").alias("pnl"))
+        for heading, order in (("Best names", F.desc("pnl")), ("Worst names", F.asc("pnl"))):
+            more += f"<h2>{heading}</h2>" + _table(by_name.orderBy(order, "ticker").limit(names), ["ticker", "pnl"], order)
+    years = _table(yearly, ["date", "ret", "vol", "pnl", "sharpe", "turnover", "drawdown", "capacity_score", "margin"], F.asc("date"))
+    return f'<!DOCTYPE html><meta charset="utf-8"><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><dl>{listed}</dl>{lines}{years}{more}'
