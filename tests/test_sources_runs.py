@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from alphaloom import queries as engine
+from alphaloom import store_queries as engine
 from alphaloom.config import TradingPeriod, Universe
 from alphaloom.fields import field_info, with_dependencies
 from alphaloom.plans import attribution as at
@@ -18,9 +18,10 @@ from alphaloom.plans import validate as va
 from alphaloom.plans.backtest import Strategy, run_backtest
 from alphaloom.plans.expr import fields, parse
 from alphaloom.plans.signal import Alpha
-from alphaloom.sources.bars import BarStore, get_tickers, requested_names
+from alphaloom.sources.bars import BarStore, build_signals_from_data, get_tickers, requested_names
 from alphaloom.sources.panels import to_long, with_derived
 from alphaloom.sources.runs import load_backtest, run_name, save_backtest
+from alphaloom.queries import weekly
 from alphaloom.streaming.stateless import stream_bars, stream_fields, stream_signal
 
 D = date(2024, 1, 1)
@@ -87,7 +88,8 @@ def test_saved_run(spark, run, walk, tmp_path):
     assert set(tables) == {"panel", "portfolio", "yearly", "source_data"} and figures == json.loads(json.dumps(run.figures()))
     assert run_name(strategy, run.book_size) == name and run_name(strategy, 5.0) != name and str(strategy.signal) == str(run.strategy.signal)
     page = spark.read.text(f"{path}/compact_summary", wholetext=True).first()[0]
-    assert page.count("<svg") == 7 and "Sharpe" in page
+    assert page.count("<svg") == 5 and page.count("<polyline") == 7 and "Expanding Sharpe / Rolling Sharpe" in page and "PnL by sector" in page and "Worst names" in page
+    assert page.count("<td>T") == 10 and all(str(r["date"]) in page for r in run.portfolio.agg(F.min("date").alias("date")).union(run.portfolio.agg(F.max("date"))).collect())
 
 
 def test_attribution_adds_up(run):
@@ -104,10 +106,53 @@ def test_attribution_adds_up(run):
     assert at.group_correlations(run.panel, "sector", book_size=1e6, top=3).count() == 9
 
 
+def test_tickers_keep_their_zeros(spark, tmp_path):
+    store = BarStore(spark, str(tmp_path / "bars"))
+    rows = [(D + timedelta(days=i), t, 10.0 + i, 11.0, 9.0, 10.5, 100.0, 0.0, 0.0) for t in ("0005", "0700", "5") for i in range(4)]
+    store.write_bars(spark.createDataFrame(rows, "date date, ticker string, open double, high double, low double, close double, volume double, dividends double, splits double"), D, D + timedelta(days=3))
+    got = store.load_bars(["0005", "0700"], D, D + timedelta(days=3), offline=True)
+    assert {r["ticker"] for r in got.collect()} == {"0005", "0700"} and got.count() == 8
+
+
+def test_run_from_a_store(spark, walk, tmp_path):
+    first, last = walk.agg(F.min("date"), F.max("date")).first()
+    store = BarStore(spark, str(tmp_path / "store"))
+    store.write_bars(walk.select("date", "ticker", "open", "high", "low", "close", "volume", "dividends", "splits"), first, last)
+    store.write_static(walk.select("ticker", "sector", "industry", "shares_outstanding").distinct())
+    names = [f"T{i:02d}" for i in range(8)]
+    strategy = Strategy(Alpha(parse("-rank(ts_zscore(returns, 5))")), universe=names, neutralization="sector", decay=3)
+    period = TradingPeriod(first + timedelta(days=20), last)
+    run = run_backtest(strategy, store=store, trading_period=period, book_size=1e6, weight_col="held")
+    assert {r["ticker"] for r in run.panel.select("ticker").distinct().collect()} == set(names) and "held" in run.panel.columns and "weights" not in run.panel.columns
+    assert run.portfolio.agg(F.min("date")).first()[0] >= period.start and run.display() in (True, False)
+    # what the strategy lacks, its alpha or its last run has
+    assert strategy.fields == strategy.alpha.fields and strategy.sharpe == strategy.aggregate_metrics["sharpe"] == run.summary.first()["sharpe"] and strategy.yearly is run.yearly
+    with pytest.raises(AttributeError):
+        strategy.tribe
+    with pytest.raises(ValueError):
+        run_backtest(strategy, store=store)
+    signals = build_signals_from_data(store, names, ["adv20"], str(first), last)
+    assert signals.columns == ["date", "ticker", "sector", "adv20"] and signals.select("ticker").distinct().count() == 8
+    given = run_backtest(strategy, run.source, 1e6, trading_period=TradingPeriod(period.start, period.start + timedelta(days=40)), signal_col="signal")
+    assert given.portfolio.agg(F.max("date")).first()[0] <= period.start + timedelta(days=40)
+
+
+def test_plans_read_their_panel_once(run, spark, sf_dir):
+    """Scans and exchanges of the plans that used to repeat their input."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    portfolio = run.portfolio
+    first, last = portfolio.agg(F.min("date"), F.max("date")).first()
+    one, periods = plan(portfolio), plan(db.period_figures(portfolio, db.split_periods(first, last), book_size=1e6))
+    assert periods.count("Exchange hashpartitioning(ticker") == one.count("Exchange hashpartitioning(ticker")
+    assert plan(engine.QUERIES["weights_sector_decay_capped"](spark, sf_dir)).count("Scan parquet") <= 4
+    changes = plan(va.ticker_changes(run.panel.select("date", "ticker")))
+    assert "collect_set" not in changes
+
+
 def test_dashboard(run):
     first, last = run.portfolio.agg(F.min("date"), F.max("date")).first()
     periods = db.split_periods(first, last)
-    assert [p.name for p in periods] == ["TRAIN", "VALIDATION", "OOS"] and sum(p.days for p in periods) == (last - first).days + 1
+    assert [p.name for p in periods] == ["TRAIN", "VALIDATION", "OOS"] and sum(p.days + 1 for p in periods) == (last - first).days + 1
     figures = {r["period"]: r for r in db.period_figures(run.portfolio, periods, book_size=1e6).collect()}
     assert figures["IS"]["total_pnl"] == pytest.approx(figures["TRAIN"]["total_pnl"] + figures["VALIDATION"]["total_pnl"])
     leaders = db.monthly_leaders(run.panel, book_size=1e6, top=2)
@@ -123,15 +168,25 @@ def test_listings(spark):
     days = [D + timedelta(days=i) for i in range(4)]
     rows = [(d, t) for t, on in {"A": (0, 1, 2, 3), "B": (0, 2, 3), "C": (1, 2)}.items() for d in (days[i] for i in on)]
     df = spark.createDataFrame(rows, "date date, ticker string")
-    got = {(r["date"] - D).days: (r["added"], r["removed"]) for r in va.ticker_changes(df).collect()}
-    assert got == {0: ([], []), 1: (["C"], ["B"]), 2: (["B"], []), 3: ([], ["C"])}
+    got = {(r["date"] - D).days: (r["entered_tickers"], r["exited_tickers"], r["entered"], r["exited"]) for r in va.ticker_changes(df).collect()}
+    assert got == {1: (["C"], ["B"], 1, 1), 2: (["B"], [], 1, 0), 3: ([], ["C"], 0, 1)}
     assert [r["ticker"] for r in va.delistings(df).collect()] == ["C"] and [r["ticker"] for r in va.late_listings(df).collect()] == ["C"]
     assert [tuple(r) for r in va.internal_gaps(df).collect()] == [("B", 1)]
-    assert not va.are_market_changes_valid(df) and va.are_market_changes_valid(df.where("ticker = 'A'"))
+    report = va.are_market_changes_valid(df)
+    assert set(report.checks) == {"no_mid_sample_delistings", "no_late_listings", "no_internal_gaps"} and not report and report.label == "Market changes (3 days with turnover)"
+    assert report.violations["no_internal_gaps"] == "1 with gaps, e.g. B (1 missing)" and "C last" in str(report)
+    assert va.are_market_changes_valid(df.where("ticker = 'A'"))
+    # names that come and go are told, not judged
+    churn = df.where("ticker = 'A' or ticker = 'C'").where("ticker = 'A' or date <> '1900-01-01'")
+    assert "turnover" in va.are_market_changes_valid(churn).label
+    with pytest.raises(ValueError):
+        va.are_market_changes_valid(df.limit(0))
+    with pytest.raises(KeyError):
+        va.are_market_changes_valid(df.drop("ticker"))
 
 
 def test_streams(spark, sf_dir, tmp_path):
-    static = engine.weekly(spark, sf_dir).select("date", "ticker", "close", "high", "low", "volume")
+    static = weekly(spark, sf_dir).select("date", "ticker", "close", "high", "low", "volume")
     static.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(static.schema).parquet(str(tmp_path / "in"))
     out = stream_signal(stream_fields(stream, ["dollar_volume", "typical_price"]), "s", parse("if_else(close - typical_price, 1, 0)"))
@@ -149,7 +204,7 @@ def test_streams(spark, sf_dir, tmp_path):
     assert spark.table("bars").count() > 0
 
 
-SAMPLE = ["op_rank", "op_ts_rank", "op_kth_element", "op_trade_when_exit", "expr_divide", "field_volatility20", "signal_exit", "weights_none_decay_capped", "weights_sector_decay_capped", "daily_portfolio", "agg_yearly", "attr_side_monthly", "dash_period_figures", "valid_ticker_changes"]
+SAMPLE = ["op_rank", "op_ts_rank", "op_kth_element", "op_trade_when_exit", "expr_divide", "field_volatility20", "signal_exit", "weights_none_decay_capped", "weights_sector_decay_capped", "daily_portfolio", "agg_yearly", "attr_side_monthly", "dash_period_figures", "dash_correlations", "valid_ticker_changes", "valid_market_changes", "valid_backtest", "store_fields", "run_from_store", "run_headline"]
 
 
 @pytest.mark.parametrize("name", SAMPLE)
