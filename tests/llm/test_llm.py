@@ -870,3 +870,29 @@ def test_pipeline(spark, sf_dir):
     kept = {i: secrets.redact(t, plain_spans(t)) for i, t in kept.items()}
     check_packing(corpus_pipeline.run(spark, sf_dir).collect(), kept)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "secrets", "packing"]
+
+
+def test_pipeline_of_awkward_documents(spark, sf_dir, tmp_path):
+    """Nulls, empty and long texts, repeated rows, further columns and an empty table, through all stages."""
+    import corpus_pipeline
+
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    rng = random.Random(40)
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first()["text"]
+    more = table(spark, [f"you are scum {words(rng, 30)}", f"{words(rng, 20)} {item}", f"{words(rng, 20)} password = hunter2hunter2", words(rng, 3000)], start=100)
+    docs = awkward(spark).unionByName(more.withColumns({c: F.lit(1) for c in EXTRA}))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    by_doc = collections.Counter(r["doc_id"] for r in rows)
+    # null, empty and short texts stay, equal rows are one, the toxic document and the one with the item go
+    assert set(by_doc) == {0, 1, 2, 3, 5, 6, 7, 102, 103}
+    assert all(len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in rows)
+    kept = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == docs.columns
+    assert "[SECRET]" in kept.where("doc_id = 102").first()["text"]
+    nothing = spark.read.parquet(str(tmp_path / "documents.parquet")).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, str(tmp_path)).count() == 0
