@@ -151,6 +151,7 @@ def run_backtest(
     store: BarStore | None = None,
     signal_col: str = "signal",
     weight_col: str = "weights",
+    universe_size: int | Universe | None = None,
     noise: float = 0.0,
     cache: bool = False,
     display: bool = False,
@@ -158,7 +159,8 @@ def run_backtest(
     """The whole chain as one lazy plan. The column ``signal_col`` is traded if there is such a signal, else the first one.
 
     Without ``data`` the panel comes from the ``store``: the universe's tickers in the trading period, with all fields that
-    the formulas and the neutralization need. A trading period also cuts given data. The panel's weights are called
+    the formulas and the neutralization need. A trading period also cuts given data. With a ``universe_size`` only so many of the
+    largest names of each date are traded, unless the panel says which (``in_universe``). The panel's weights are called
     ``weight_col``; ``noise`` is that of group_neutralize. With ``cache`` the panel is kept for the tables that are made
     of it, and with ``display`` the run is printed.
     """
@@ -170,10 +172,10 @@ def run_backtest(
             raise ValueError("without data, a store and a trading period are needed")
         if isinstance(strategy.universe, Universe):
             raise ValueError("a named universe is a mask over a panel: give the strategy a list of tickers")
-        data = store.build_data(strategy.alpha, tickers=list(strategy.universe), start=trading_period.start, end=trading_period.end, group=strategy.neutralization.field)
+        data = store.build_data(strategy.alpha, tickers=list(strategy.universe), start=trading_period.start, end=trading_period.end, group=strategy.neutralization.field, universe=universe_size)
     elif trading_period is not None:
         data = data.where(F.col("date").cast("date").between(F.lit(trading_period.start), F.lit(trading_period.end)))
-    panel = compute_signals(data, strategy.alpha)
+    panel = compute_signals(data, strategy.alpha, universe=universe_size)
     if signal_col not in panel.columns:
         panel = panel.withColumn(signal_col, F.col(f"`{next(iter(strategy.alpha.signals))}`"))
     panel = compute_weights(panel, neutralization=strategy.neutralization, decay=strategy.decay, truncation=strategy.truncation, signal=signal_col, noise=noise)

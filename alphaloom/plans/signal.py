@@ -8,7 +8,9 @@ from typing import Any
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import Universe
 from ..operators.library import REGISTRY, Scope, boolean, num, truth
+from ..sources.panels import universe_mask
 from .expr import Call, Expr, Field, Literal, Unary
 from .lower import Lowering, evaluate, scope_of
 
@@ -118,9 +120,17 @@ class Alpha:
         self._constraints = _named(None, new, "constraint")
 
 
-def compute_signals(df: DataFrame, alpha: Alpha, *, point_in_time: bool = True) -> DataFrame:
-    """df with the alpha's signals as columns: evaluated in order, gated, then blanked outside the universe."""
+def compute_signals(df: DataFrame, alpha: Alpha, *, point_in_time: bool = True, universe: int | Universe | None = None) -> DataFrame:
+    """df with the alpha's signals as columns: evaluated in order, gated, then blanked outside the universe.
+
+    The universe is df's column in_universe. Where that is missing, ``universe`` makes it, after the formulas: it then shares the
+    dates' partitioning with what follows.
+    """
+    if universe is not None and "in_universe" in alpha.fields and "in_universe" not in df.columns:
+        df = universe_mask(df, universe)
     out = apply_constraints(evaluate(df, alpha.signals), alpha)
+    if universe is not None and "in_universe" not in out.columns:
+        out = universe_mask(out, universe)
     return apply_universe(out, list(alpha.signals)) if point_in_time else out
 
 

@@ -89,12 +89,13 @@ def truncate_neutral(df: DataFrame, cap: float, keys: list[str], weight: str = "
     for k in keys:
         has_group = has_group & F.col(k).isNotNull()
     x = F.when(has_group, F.col(weight)).otherwise(0.0)
-    df = df.withColumns({"_long": F.greatest(x, F.lit(0.0)), "_short": F.greatest(-x, F.lit(0.0))})
-    n = lambda c: F.sum((F.col(c) > 0).cast("double")).over(w) * cap
-    df = df.withColumn("_total", F.least(F.sum("_long").over(w), F.sum("_short").over(w), n("_long"), n("_short")))
-    df = _fill(df, "_long", "_total", cap, keys, "_l")
-    df = _fill(df, "_short", "_total", cap, keys, "_s")
-    return df.withColumn(weight, F.col("_l") - F.col("_s")).drop("_long", "_short", "_total", "_l", "_s")
+    # a name is on one side: both sides are filled in one pass, each as a group of its own
+    df = df.withColumns({"_size": F.abs(x), "_side": F.signum(x)})
+    side = lambda s, c: F.sum(F.when(F.col("_side") == s, c).otherwise(0.0)).over(w)
+    size, one = F.col("_size"), F.lit(cap)
+    df = df.withColumn("_total", F.least(side(1, size), side(-1, size), side(1, one), side(-1, one)))
+    df = _fill(df, "_size", "_total", cap, [*keys, "_side"], "_new")
+    return df.withColumn(weight, F.col("_side") * F.col("_new")).drop("_size", "_side", "_total", "_new")
 
 
 def truncate_gross(df: DataFrame, cap: float, weight: str = "weights") -> DataFrame:
@@ -122,7 +123,8 @@ def compute_weights(
         df = unique_keys(df, signal)
     out = normalize(group_neutralize(df, neutralization, signal, noise=noise))
     if decay:
-        out = normalize(group_neutralize(apply_decay(out, decay), neutralization, "weights", noise=noise))
+        # dealt by date, rows serve all windows from here on: those of a date and those of its groups
+        out = normalize(group_neutralize(apply_decay(out, decay).repartition("date"), neutralization, "weights", noise=noise))
     if number(truncation) > 0:
         out = truncate_gross(out, truncation) if neutralization is Neutralization.NONE else truncate_neutral(out, truncation, neutralization.keys)
     return out

@@ -294,7 +294,7 @@ for _kind in ("NONE", "MARKET", "SECTOR", "INDUSTRY"):
         _ctes, _last, _col = weights_sql(_kind, _decay, _cap)
         register(
             f"weights_{_kind.lower()}_{_what}",
-            lambda spark, d, k=_kind, n=_decay, c=_cap: rounded(compute_weights(compute_signals(in_universe(spark, d), Alpha(REVERSAL)), neutralization=Neutralization[k], decay=n, truncation=c, noise=NOISE).select("date", "ticker", "weights"), 9),
+            lambda spark, d, k=_kind, n=_decay, c=_cap: rounded(compute_weights(compute_signals(weekly(spark, d), Alpha(REVERSAL), universe=UNIVERSE), neutralization=Neutralization[k], decay=n, truncation=c, noise=NOISE).select("date", "ticker", "weights"), 9),
             sql(f"SELECT date, ticker, {rnd(_col, 9)} AS weights FROM {_last}", *REVERSAL_SQL, *_ctes),
         )
 
@@ -303,7 +303,7 @@ for _kind in ("NONE", "MARKET", "SECTOR", "INDUSTRY"):
 
 def backtest(spark: SparkSession, sf_dir: str, delay: Delay = Delay.ONE):
     strategy = Strategy(Alpha(REVERSAL), delay=delay, decay=5, truncation=0.05, neutralization=Neutralization.SECTOR)
-    return run_backtest(strategy, in_universe(spark, sf_dir), BOOK, noise=NOISE)
+    return run_backtest(strategy, weekly(spark, sf_dir), BOOK, universe_size=UNIVERSE, noise=NOISE)
 
 
 def simulated_sql(delay: int = 1) -> list[str]:
@@ -492,7 +492,7 @@ for _kind in ("NONE", "SECTOR"):
     _room = "CASE WHEN sector IS NOT NULL THEN 2 * least(nl, ns) * 0.03::DOUBLE END" if _kind == "SECTOR" else "na * 0.03::DOUBLE"
     register(
         f"valid_weights_{_kind.lower()}",
-        lambda spark, d, k=_kind: va.weight_checks(compute_weights(compute_signals(in_universe(spark, d), Alpha(REVERSAL)), neutralization=Neutralization[k], decay=5, truncation=0.03, noise=NOISE), Neutralization[k], 0.03).select("n_active", "n_not_finite", "n_over_weight", "n_over_capacity", "n_over_levered", (F.col("largest_net") < 1e-9).alias("neutral")),
+        lambda spark, d, k=_kind: va.weight_checks(compute_weights(compute_signals(weekly(spark, d), Alpha(REVERSAL), universe=UNIVERSE), neutralization=Neutralization[k], decay=5, truncation=0.03, noise=NOISE), Neutralization[k], 0.03).select("n_active", "n_not_finite", "n_over_weight", "n_over_capacity", "n_over_levered", (F.col("largest_net") < 1e-9).alias("neutral")),
         sql(
             "SELECT CAST(sum(na) AS BIGINT) AS n_active, 0::BIGINT AS n_not_finite, CAST(sum(nw) AS BIGINT) AS n_over_weight, count(*) FILTER (na > 0 AND gross > least(1.0, room) + 1e-9) AS n_over_capacity, count(*) FILTER (gross > 1 + 1e-9) AS n_over_levered, "
             + ("max(net) < 1e-9" if _kind == "SECTOR" else "true") + " AS neutral FROM (SELECT date, sum(gross) AS gross, sum(room) AS room, sum(na) AS na, sum(nw) AS nw, max(net) AS net FROM vg GROUP BY date)",

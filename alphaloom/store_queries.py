@@ -21,7 +21,7 @@ from .plans import weights as wt
 from .plans.backtest import Strategy, run_backtest
 from .plans.expr import parse
 from .plans.signal import Alpha, compute_signals
-from .queries import BENCHMARKS, BOOK, NOISE, ORACLES, QUERIES, REVERSAL, REVERSAL_SQL, SUMMARY, WT, attr_sql, backtest, daily_names, in_universe, lag, neutral_sql, normal_sql, rank_sql, register, rnd, rounded, simulated_sql, sql, weights_sql
+from .queries import BENCHMARKS, BOOK, NOISE, ORACLES, QUERIES, REVERSAL, REVERSAL_SQL, SUMMARY, UNIVERSE, WT, attr_sql, backtest, daily_names, lag, neutral_sql, normal_sql, rank_sql, register, rnd, rounded, simulated_sql, sql, weekly, weights_sql
 from .sources.bars import BarStore, build_signals_from_data
 from .sources.panels import _suppliers, to_long, trade_panel
 from .sources.runs import load_backtest, save_backtest
@@ -105,7 +105,7 @@ register("run_from_store", run_from_store, sql(
 
 def saved_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     strategy = Strategy(Alpha(REVERSAL), decay=5, truncation=0.05, neutralization=Neutralization.SECTOR)
-    run = run_backtest(strategy, in_universe(spark, sf_dir), BOOK, noise=NOISE)
+    run = run_backtest(strategy, weekly(spark, sf_dir), BOOK, universe_size=UNIVERSE, noise=NOISE)
     path = save_backtest(run, shared_path(spark, "run"))
     _, tables, _ = load_backtest(spark, path)
     return rounded(tables["portfolio"].select("date", "pnl", "turnover", "long_count"))
@@ -125,7 +125,7 @@ register("wide_to_long", wide_to_long, sql(f"SELECT date, CAST(ticker AS VARCHAR
 
 
 def clipped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = wt.compute_weights(compute_signals(in_universe(spark, sf_dir), Alpha(REVERSAL)), neutralization=Neutralization.MARKET, noise=NOISE)
+    held = wt.compute_weights(compute_signals(weekly(spark, sf_dir), Alpha(REVERSAL), universe=UNIVERSE), neutralization=Neutralization.MARKET, noise=NOISE)
     return rounded(wt.truncate_neutral(held, 0.02, []).select("date", "ticker", "weights"), 9)
 
 
@@ -207,7 +207,7 @@ register("attr_panel_snapshot", lambda spark, d: rounded(at.panel_snapshot(backt
 def headline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The figures that a strategy has of its last run."""
     strategy = Strategy(Alpha(REVERSAL), decay=5, truncation=0.05, neutralization=Neutralization.SECTOR)
-    run_backtest(strategy, in_universe(spark, sf_dir), BOOK, noise=NOISE)
+    run_backtest(strategy, weekly(spark, sf_dir), BOOK, universe_size=UNIVERSE, noise=NOISE)
     return rounded(spark.createDataFrame([(k, float(v)) for k, v in strategy.aggregate_metrics.items()], "figure string, value double"), 4)
 
 
