@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Delay, TradingPeriod
-from ..functions.metrics import TRADING_DAYS
+from ..functions.metrics import TRADING_DAYS, capacity_score
 from .attribution import attribution
 from .simulate import aggregate_returns, by_date, rolling_beta_alpha
 
@@ -52,18 +52,28 @@ def from_date(table: DataFrame, start: date | None) -> DataFrame:
 
 
 def with_display_columns(daily: DataFrame, *, book_size: float) -> DataFrame:
-    """daily with the running columns that charts need, where it lacks them."""
+    """daily with the running columns that charts need, where it lacks them and has what they are made of: a table with one row a date.
+
+    The capacity score is made of the expanding means of return and turnover, from the second date on, and of the first Sharpe
+    ratio that there is.
+    """
     run = by_date().rowsBetween(Window.unboundedPreceding, 0)
-    needed = {
-        "ret": F.col("pnl") / float(book_size),
-        "cum_pnl": F.sum("pnl").over(run),
-        "ann_ret": F.col("ret") * TRADING_DAYS,
-        "log_ret": F.when(F.col("ret") > -1, F.log1p("ret")),
-        "drawdown": (F.col("cum_pnl") - F.max("cum_pnl").over(run)) / float(book_size),
-    }
-    for name, value in needed.items():
-        if name not in daily.columns:
-            daily = daily.withColumn(name, value)
+    have = lambda *names: set(names) <= set(daily.columns)
+    grown = lambda c: F.when(F.count(c).over(run) >= 2, F.avg(c).over(run))
+    recipes = [
+        ("ret", ("pnl",), lambda: F.col("pnl") / float(book_size)),
+        ("cum_pnl", ("pnl",), lambda: F.sum(F.coalesce("pnl", F.lit(0.0))).over(run)),
+        ("drawdown", ("cum_pnl",), lambda: (F.col("cum_pnl") - F.max("cum_pnl").over(run)) / float(book_size)),
+        ("ann_ret", ("ret",), lambda: F.col("ret") * TRADING_DAYS),
+        ("log_ret", ("ret",), lambda: F.when(F.col("ret") > -1, F.log1p("ret"))),
+        ("rolling_sharpe", ("expanding_sharpe",), lambda: F.col("expanding_sharpe")),
+    ]
+    for name, needs, made in recipes:
+        if name not in daily.columns and have(*needs):
+            daily = daily.withColumn(name, made())
+    sharpe = next((c for c in ("expanding_sharpe", "rolling_sharpe", "sharpe") if c in daily.columns), None)
+    if sharpe and have("ret", "turnover") and not {"rolling_capacity_score", "expanding_capacity_score", "capacity_score"} & set(daily.columns):
+        daily = daily.withColumn("expanding_capacity_score", capacity_score(grown("ret") * TRADING_DAYS, F.col(sharpe), grown("turnover")))
     return daily
 
 

@@ -198,8 +198,14 @@ def common_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("dash_common_start", common_sample, sql(
     f"SELECT date, {rnd('pnl')} AS pnl FROM p WHERE date >= (SELECT greatest(min(date), (SELECT min(date) FROM bm WHERE b IS NOT NULL)) FROM p)", *simulated_sql(),
     "bm AS (SELECT date, close / nullif(lag(close) OVER (ORDER BY date), 0) - 1 AS b FROM panel WHERE ticker = 1)"))
-SHOWN = {"ret": 6, "cum_pnl": 4, "ann_ret": 6, "log_ret": 6, "drawdown": 6}
-register("dash_display_columns", lambda spark, d: rounded(db.with_display_columns(backtest(spark, d).portfolio.select("date", "pnl"), book_size=BOOK).select("date", *SHOWN), SHOWN), sql("SELECT date, " + ", ".join(f"{rnd(c, n)} AS {c}" for c, n in SHOWN.items()) + " FROM p", *simulated_sql()))
+SHOWN = {"ret": 6, "cum_pnl": 4, "ann_ret": 6, "log_ret": 6, "drawdown": 6, "rolling_sharpe": 6, "expanding_capacity_score": 6}
+GROWN = "OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+register(
+    "dash_display_columns",
+    lambda spark, d: rounded(db.with_display_columns(backtest(spark, d).portfolio.select("date", "pnl", "turnover", "expanding_sharpe"), book_size=BOOK).select("date", *SHOWN), SHOWN),
+    sql("SELECT date, " + ", ".join(f"{rnd(c, n)} AS {c}" for c, n in SHOWN.items()) + " FROM dc", *simulated_sql(),
+        f"dc AS (SELECT date, ret, cum_pnl, ann_ret, log_ret, drawdown, expanding_sharpe AS rolling_sharpe, CASE WHEN count(ret) {GROWN} >= 2 THEN expanding_sharpe * sqrt(abs(avg(ret) {GROWN} * 252) / greatest(avg(turnover) {GROWN}, 0.125::DOUBLE)) END AS expanding_capacity_score FROM p)"),
+)
 register("attr_panel_snapshot", lambda spark, d: rounded(at.panel_snapshot(backtest(spark, d).panel, horizon="yearly", book_size=BOOK).select("date", "ticker", "contribution_pnl"), 5), sql(
     f"SELECT date, ticker, {rnd('contribution_pnl', 5)} AS contribution_pnl FROM att WHERE date = (SELECT max(date) FROM att) ORDER BY abs(contribution_pnl) DESC, ticker LIMIT 10", *simulated_sql(), *attr_sql("make_date(year(date), 12, 31)", "ticker")))
 
