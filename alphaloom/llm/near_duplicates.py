@@ -220,10 +220,12 @@ def components(edges: DataFrame) -> DataFrame:
     now, seen = kept(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        # a table of its own has an exchange of its own in the join, which can then be split where a hub has many links
+        least = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # every edge points from the larger node a to the smaller b
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = written(large, "large")
+        low = written(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         joined = large.join(low, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         before = seen
