@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 WORD = re.compile(r"\w+")
 _own_shared_dir: str | None = None
+_written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +38,29 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/alphaloom-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables made by ``written`` that nothing will read again."""
+    for df in tables:
+        _remove(df.sparkSession, df.written_path)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Removes every table that this process has written: for when all results have been stored or shown."""
+    for path in list(_written):
+        _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    if path in _written:
+        _written.remove(path)
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import WORD, map_batches, written
+from .common import WORD, discard, map_batches, written
 
 #: Shingle length, registers as bands x rows, and nodes in one block of an unresolved bucket.
 WORDS, BANDS, ROWS, BLOCK = 5, 21, 6, 256
@@ -228,8 +228,9 @@ def components(edges: DataFrame) -> DataFrame:
         low = written(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         joined = large.join(low, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        before = seen
+        before, last = seen, now
         now, seen = kept(small.where("a <> b").distinct())
+        discard(last, least, large, low)
         if before == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
@@ -331,7 +332,8 @@ def unresolved_links(members: DataFrame, roots: DataFrame, sets: DataFrame, simi
 
 def near_duplicate_nodes(docs: DataFrame, *, words: int = WORDS, similarity: float = 0.8, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """(node, root) of every text that is similar to another one."""
-    members = written(least_nodes(docs, words, bands, rows), "sketch").select(F.explode("bands").alias("key"), "node")
+    sketches = written(least_nodes(docs, words, bands, rows), "sketch")
+    members = sketches.select(F.explode("bands").alias("key"), "node")
     buckets = members.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("hi")).where("lead <> hi").select("key", "lead")
     filled = written(members.join(buckets, "key"), "buckets")
     star = filled.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
@@ -339,7 +341,9 @@ def near_duplicate_nodes(docs: DataFrame, *, words: int = WORDS, similarity: flo
     first = components(similar_pairs(star, sets, similarity))
     more = written(unresolved_links(filled.select("key", "node"), first, sets, similarity, block), "links")
     # the stars of the first components stand for their links, so no node is renamed by a join on its root
-    return components(more.unionByName(first.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    nodes = components(more.unionByName(first.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    discard(sketches, filled, sets, more)
+    return nodes
 
 
 def _with_node(docs: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 #: Bytes of records that one bucket should hold; a task needs a few times this.
 BUCKET_BYTES = 2 << 20
@@ -88,7 +88,9 @@ def shuffled_shards(
         .select("shard", "offset", F.posexplode("rows").alias("nth", "one"))
         .select("shard", (F.col("offset") + F.col("nth")).alias("slot"), F.col("one.grown_shard").alias("grown_shard"), F.col("one.row").alias("row"))
     )
-    return written(numbered, "shards", compression="zstd")
+    out = written(numbered, "shards", compression="zstd")
+    discard(scattered)
+    return out
 
 
 def write_shards(shards: DataFrame, path: str) -> None:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, map_batches, written
+from .common import WORD, discard, map_batches, written
 
 # Plainly abusive words by category, which label a toxic document's categories.
 LEXICON = {
@@ -163,6 +163,7 @@ def telling_terms(sample: DataFrame, chance: float, min_docs: int = 3) -> list[s
         word, sure = r["term"].rstrip("*"), r["n1"] / (r["n1"] + r["n0"])
         if not any(chosen.get(f"{word[:k]}*", -1.0) >= sure for k in STEMS if k <= len(word)):
             chosen[r["term"]] = sure
+    discard(usual)
     return list(chosen)
 
 
@@ -177,6 +178,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int, chance: fl
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], names=["doc_id", "toxic", "held"])
 
     rows = map_batches(sample.select("doc_id", "toxic", "text"), held, "doc_id long, toxic int, held array<int>").orderBy("doc_id").collect()
+    discard(sample)
     own = [(list(r["held"]), r["toxic"], i % folds) for i, r in enumerate(rows)]
     # every word of the list once in each fold: out of a fold, each is known from the others
     own += [([model.place[w]], 1, k) for w in lexicon for k in range(folds)] + [([], 0, k) for _ in lexicon for k in range(folds)]
