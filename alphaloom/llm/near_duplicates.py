@@ -296,10 +296,11 @@ def unresolved_links(members: DataFrame, roots: DataFrame, sets: DataFrame, simi
     with_inner = F.transform(each(F.col("big_blocks")), lambda j: F.struct(F.col("own").alias("x"), F.lit(-1).alias("y"), j.alias("z")))
     with_outer = F.transform(F.filter(each(F.col("out_blocks")), lambda j: j != F.col("own")), lambda j: F.struct(F.least("own", j).alias("x"), F.greatest("own", j).alias("y"), F.lit(-1).alias("z")))
     of_inner = F.transform(each(F.col("out_blocks")), lambda j: F.struct(j.alias("x"), F.lit(-1).alias("y"), F.col("own").alias("z")))
-    dealt = mine.withColumn("at", F.explode(F.when(F.col("inside"), of_inner).otherwise(F.concat(with_inner, with_outer))))
+    # the shingles come before the dealing: a node is in a few buckets, but may be dealt to many blocks
+    dealt = mine.join(sets, "node").withColumn("at", F.explode(F.when(F.col("inside"), of_inner).otherwise(F.concat(with_inner, with_outer))))
     # two outer blocks are compared with each other only
     side = F.when(F.col("inside") | ((F.col("at.y") >= 0) & (F.col("own") == F.col("at.y"))), 1).otherwise(0)
-    named = dealt.select(F.xxhash64("key", "at.x", "at.y", "at.z").alias("task"), "node", "root", side.alias("side"))
+    named = dealt.select(F.xxhash64("key", "at.x", "at.y", "at.z").alias("task"), "node", "root", side.alias("side"), "shingles", "counts")
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,7 +327,7 @@ def unresolved_links(members: DataFrame, roots: DataFrame, sets: DataFrame, simi
         finish()
         yield out()
 
-    spread = named.join(sets, "node").select("task", "node", "root", "side", "shingles", "counts").repartition(parts, "task").sortWithinPartitions("task", "node")
+    spread = named.repartition(parts, "task").sortWithinPartitions("task", "node")
     return spread.mapInArrow(run, "a binary, b binary")
 
 
