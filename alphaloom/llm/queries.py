@@ -11,8 +11,11 @@ from .common import table
 from .decontaminate import find_leaks
 from .html_text import extract_text
 from .licences import RULES, SENTENCES, scan_licences
+from .mixture import pack_mixture
 from .near_duplicates import near_duplicate_classes
 from .packing import pack
+from .repair import damaged, repaired_conversations
+from .resampling import resample
 from .secrets import fit_net, scan_secrets
 from .sharding import shuffled_shards
 from .topk import top_k
@@ -91,8 +94,36 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents, drawn by how much their words look like the benchmark's, and every document's score."""
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), buckets=10_000, percent=25, min_words=20, seed=7)
+
+
+def op12_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows that each hold the sources' shares of all tokens; one row a piece."""
+    return pack_mixture(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's faults after damage, and its cheapest repair."""
+    given = table(spark, sf_dir, "conversations")
+    fixed = repaired_conversations(damaged(given)).withColumnRenamed("conv_id", "id")
+    every = given.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return every.join(fixed, F.col("conv_id").eqNullSafe(F.col("id")), "left").select(
+        "conv_id",
+        *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in numbers),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_topk, op3_licences, op4_decontamination, op5_html_text, op6_near_duplicates, op7_packing, op8_secrets, op9_sharding, op10_url_filter)}
+    registered = (
+        op1_toxicity, op2_topk, op3_licences, op4_decontamination, op5_html_text, op6_near_duplicates, op7_packing, op8_secrets, op9_sharding, op10_url_filter,
+        op11_resampling, op12_mixture_packing, op13_conversation_repair,
+    )
+    return {f.__name__: f for f in registered}
 
 
 def _quoted(text: str) -> str:
