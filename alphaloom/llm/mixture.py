@@ -39,15 +39,36 @@ FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 # ---- encoding
 
 
+class Recent:
+    """The last ``limit`` to 2 * ``limit`` results by key."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit = limit
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def find(self, key: str) -> bytes | None:
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.keep(key, found)
+        return found
+
+    def keep(self, key: str, value: bytes) -> bytes:
+        if len(self.young) >= self.limit:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+        return value
+
+
 class WordEncoder:
     """Token ids of a text by a tokenizer file that cuts words at white space and merges within words.
 
-    A text's ids are those of its white-space separated chunks, so each different chunk is encoded once and remembered.
+    A text's ids are those of its white-space separated chunks, and a chunk's those of its words, so both are encoded once and remembered for a while.
     The ids are the tokenizer's own: its model merges the words of chunks of Latin letters, and it encodes other chunks itself. Texts
     that hold a special token's string, or control characters that only Python takes for white space, go to it whole.
     """
 
-    HELD, LONGEST = 400_000, 64
+    LONGEST = 64
     PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
     LATIN = regex.compile("[\x21-\u024f]*")
 
@@ -57,17 +78,18 @@ class WordEncoder:
         self.full = Tokenizer.from_file(json_path)
         self.model = self.full.model
         self.dtype = np.dtype("<u2") if self.full.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.as_bytes = [i.to_bytes(self.dtype.itemsize, "little") for i in range(self.full.get_vocab_size())]
         self.odd = [*"\x1c\x1d\x1e\x1f", *(t.content for t in self.full.get_added_tokens_decoder().values())]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.visible = dict(zip([b for b in range(256) if b not in shown], range(256, 512), strict=False))
-        self.chunks: dict[str, bytes] = {}
+        self.chunks, self.words = Recent(400_000), Recent(200_000)
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned integers of ``dtype``."""
         if any(o in text for o in self.odd):
             return self._whole(text)
         chunks = text.split()
-        found = list(map(self.chunks.get, chunks))
+        found = list(map(self.chunks.young.get, chunks))
         if None in found:
             found = [self._chunk(c) if f is None else f for c, f in zip(chunks, found, strict=True)]
         return b"".join(found)
@@ -76,18 +98,25 @@ class WordEncoder:
         return np.array(self.full.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        if (known := self.chunks.get(chunk)) is not None:
+        if (known := self.chunks.find(chunk)) is not None:
             return known
-        if self.LATIN.fullmatch(chunk):
-            words = (w.encode().decode("latin-1").translate(self.visible) for w in self.PATTERN.findall(chunk.lower()))
-            ids = np.array([t.id for w in words for t in self.model.tokenize(w)], self.dtype).tobytes()
-        else:
+        low = chunk.lower()
+        if not chunk.isascii() and not self.LATIN.fullmatch(chunk):
             ids = self._whole(chunk)
-        if len(chunk) <= self.LONGEST:
-            if len(self.chunks) >= self.HELD:
-                self.chunks.clear()
-            self.chunks[chunk] = ids
-        return ids
+        elif low.isalpha():
+            ids = self._word(low)
+        elif low[:-1].isalpha() and low[-1] in ".,":
+            ids = self._word(low[:-1]) + self._word(low[-1])
+        else:
+            ids = b"".join(map(self._word, self.PATTERN.findall(low)))
+        return self.chunks.keep(chunk, ids) if len(chunk) <= self.LONGEST else ids
+
+    def _word(self, word: str) -> bytes:
+        if (known := self.words.find(word)) is not None:
+            return known
+        shown = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.visible)
+        ids = b"".join([self.as_bytes[t.id] for t in self.model.tokenize(shown)])
+        return self.words.keep(word, ids) if len(word) <= self.LONGEST else ids
 
 
 @functools.lru_cache(maxsize=1)
