@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from enum import Enum
 from typing import TYPE_CHECKING, Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..config import Decay, Delay, InstrumentType, Neutralization, Region, TradingPeriod, Universe, number
 from .signal import Alpha, compute_signals
 from .simulate import aggregate_returns, allocations, asset_returns, daily_portfolio, formatted_summary, summary
-from .validate import ValidityReport, are_market_changes_valid, validate_backtest
+from .validate import ValidityReport, are_market_changes_valid, observations, validate_backtest
 from .weights import compute_weights
 
 if TYPE_CHECKING:
@@ -118,13 +118,27 @@ class Backtest:
     fields: list[str] = field(default_factory=list)
     signal_col: str = "signal"
     weight_col: str = "weights"
+    #: What was observed while the panel was written, if it was.
+    observed: dict[str, Any] | None = None
+
+    def written(self, path: str) -> Backtest:
+        """This run with its panel written to ``path`` and all that is made of the panel reading it there.
+
+        The formulas run once, and what the checks count of rows is observed in that job.
+        """
+        seen = Observation("panel")
+        self.panel.observe(seen, *observations(self.panel, self.signal_col)).write.parquet(path)
+        panel = self.panel.sparkSession.read.schema(self.panel.schema).parquet(path)
+        return replace(self, panel=panel, **tables_of(panel, self.strategy, self.book_size, self.weight_col), observed=seen.get)
 
     def figures(self) -> dict[str, Any]:
         return formatted_summary(self.summary.first().asDict())
 
     def validate(self) -> dict[str, ValidityReport]:
         s = self.strategy
-        return validate_backtest(self.source, self.panel, self.portfolio, fields=self.fields, neutralization=s.neutralization, truncation=s.truncation, signal=self.signal_col, weight=self.weight_col)
+        return validate_backtest(
+            self.source, self.panel, self.portfolio, fields=self.fields, neutralization=s.neutralization, truncation=s.truncation, signal=self.signal_col, weight=self.weight_col, observed=self.observed, one_plan=True
+        )
 
     def display(self) -> bool:
         """Prints settings, formulas, checks and figures; whether all checks passed."""
@@ -142,6 +156,16 @@ class Backtest:
         return all(map(bool, reports.values()))
 
 
+def tables_of(panel: DataFrame, strategy: Strategy, book_size: float, weight_col: str) -> dict[str, DataFrame]:
+    """The portfolio, yearly figures and summary that a panel gives."""
+    portfolio = daily_portfolio(panel, book_size=book_size, weight=weight_col)
+    return {
+        "portfolio": portfolio,
+        "yearly": aggregate_returns(portfolio, "yearly", delay=strategy.delay, book_size=book_size),
+        "summary": summary(portfolio, delay=strategy.delay, book_size=book_size),
+    }
+
+
 def run_backtest(
     strategy: Strategy | Alpha,
     data: DataFrame | None = None,
@@ -181,14 +205,9 @@ def run_backtest(
     panel = compute_weights(panel, neutralization=strategy.neutralization, decay=strategy.decay, truncation=strategy.truncation, signal=signal_col, noise=noise)
     panel = asset_returns(allocations(panel, delay=strategy.delay, book_size=book_size))
     panel = panel.cache() if cache else panel
-    portfolio = daily_portfolio(panel, book_size=book_size)
-    out = Backtest(
-        strategy, float(book_size), data, panel.withColumnRenamed("weights", weight_col), portfolio,
-        aggregate_returns(portfolio, "yearly", delay=strategy.delay, book_size=book_size),
-        summary(portfolio, delay=strategy.delay, book_size=book_size),
-        [f for f in strategy.alpha.fields], signal_col, weight_col,
-    )
-    strategy.record(source_data=data, df=out.panel, panel=out.panel, portfolio=portfolio, yearly=out.yearly, summary=out.summary, weights=out.panel.select("date", "ticker", weight_col), book_size=out.book_size)
+    panel = panel.withColumnRenamed("weights", weight_col)
+    out = Backtest(strategy, float(book_size), data, panel, **tables_of(panel, strategy, book_size, weight_col), fields=[f for f in strategy.alpha.fields], signal_col=signal_col, weight_col=weight_col)
+    strategy.record(source_data=data, df=out.panel, panel=out.panel, portfolio=out.portfolio, yearly=out.yearly, summary=out.summary, weights=out.panel.select("date", "ticker", weight_col), book_size=out.book_size)
     if display:
         out.display()
     return out

@@ -6,15 +6,19 @@ import hashlib
 import html
 import json
 import re
+import uuid
+from datetime import date
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..config import Delay, Neutralization, Universe
 from ..plans.backtest import Backtest, Strategy
 from ..plans.expr import parse
 from ..plans.signal import Alpha
+from ..plans.simulate import aggregate_returns, formatted_summary, summary
 
 TABLES = ("panel", "portfolio", "yearly", "source_data")
 
@@ -51,47 +55,112 @@ def run_name(strategy: Strategy, book_size: float) -> str:
     return f"{slug[:120]}-{hashlib.sha1(json.dumps(config, sort_keys=True).encode()).hexdigest()[:8]}"
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path, lineSep="\u0000")
+def _folder(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    """(file system, path) of any path that Spark can read."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
-def _read_text(spark: SparkSession, path: str) -> str:
-    return spark.read.text(path, wholetext=True).first()["value"].rstrip("\u0000")
+def _put(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small text beside its path and renames it there; false if the path is taken."""
+    fs, place = _folder(spark, path)
+    aside = place.suffix(f".{uuid.uuid4().hex}")
+    out = fs.create(aside)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.exists(place) and fs.rename(aside, place):
+        return True
+    fs.delete(aside, False)
+    return False
+
+
+def _get(spark: SparkSession, path: str) -> str:
+    fs, place = _folder(spark, path)
+    read = fs.open(place)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(read)).decode()
+    finally:
+        read.close()
+
+
+def _manifests(spark: SparkSession, path: str) -> list[str]:
+    """Names of the committed versions of a run, the newest last."""
+    fs, place = _folder(spark, path)
+    if not fs.exists(place):
+        return []
+    return sorted(n for n in (f.getPath().getName() for f in fs.listStatus(place)) if re.fullmatch(r"manifest-\d{6}", n))
 
 
 def save_backtest(run: Backtest, path: str, source_data: DataFrame | None = None) -> str:
-    """Writes the run's tables, config, summary and page under path; tables without rows are left out."""
+    """Writes the run's tables, config, summary and page under path; tables without rows are left out.
+
+    The panel is written first, by the only job that runs the formulas; every other table, the figures and the page are made of what is
+    written. All of it goes to a folder of its own, and a manifest that names this folder and its
+    tables is put in place last. A run that is killed before has no manifest and is not there for readers; one that is saved
+    again leaves the version before it whole until then.
+    """
     spark = run.panel.sparkSession
-    tables = {"panel": run.panel, "portfolio": run.portfolio, "yearly": run.yearly} | ({"source_data": source_data} if source_data is not None else {})
-    for name, df in tables.items():
-        if not df.isEmpty():
-            df.write.mode("overwrite").parquet(f"{path}/{name}")
-    figures = run.figures()
-    _write_text(spark, f"{path}/config", json.dumps(config_of(run.strategy, run.book_size), indent=2))
-    _write_text(spark, f"{path}/summary", json.dumps(figures, indent=2))
-    _write_text(spark, f"{path}/compact_summary", report_page(run_name(run.strategy, run.book_size), figures, run.portfolio, run.yearly, run.panel))
+    folder = f"data-{uuid.uuid4().hex}"
+    at, tables = f"{path}/{folder}", {}
+
+    def put(name: str, df: DataFrame, tables: dict[str, str] = tables) -> DataFrame:
+        tables[name] = df.schema.json()
+        df.write.parquet(f"{at}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{at}/{name}")
+
+    kept = run.written(f"{at}/panel")
+    tables["panel"] = kept.panel.schema.json()
+    portfolio = put("portfolio", kept.portfolio)
+    yearly = put("yearly", aggregate_returns(portfolio, "yearly", delay=run.strategy.delay, book_size=run.book_size))
+    totals = put("totals", name_totals(kept.panel))
+    figures = formatted_summary(summary(portfolio, delay=run.strategy.delay, book_size=run.book_size).first().asDict())
+    if not kept.observed["n_rows"]:
+        tables.clear()
+    if source_data is not None:
+        seen = Observation("source")
+        put("source_data", source_data.observe(seen, F.count(F.lit(1)).alias("n")))
+        if not seen.get["n"]:
+            del tables["source_data"]
+    title = run_name(run.strategy, run.book_size)
+    _put(spark, f"{at}/compact_summary", report_page(title, figures, portfolio, yearly, totals, ends=(kept.observed["first"], kept.observed["last"])))
+    manifest = json.dumps({"folder": folder, "tables": tables, "config": config_of(run.strategy, run.book_size), "summary": figures}, indent=2)
+    version = int(([None, *_manifests(spark, path)][-1] or "manifest-0").rsplit("-", 1)[1]) + 1
+    while not _put(spark, f"{path}/manifest-{version:06d}", manifest):
+        version += 1
     return path
 
 
 def load_backtest(spark: SparkSession, path: str, root: str | None = None) -> tuple[Strategy, dict[str, DataFrame], dict[str, Any]]:
-    """(the strategy, its tables, its figures) of a saved run at path, or under root if there is none."""
-    try:
-        config = json.loads(_read_text(spark, f"{path}/config"))
-    except Exception as e:
-        if root is None or "PATH_NOT_FOUND" not in str(e):
-            raise
+    """(the strategy, its tables, its figures) of the newest whole run at path, or under root if there is none."""
+    found = _manifests(spark, path)
+    if not found and root is not None:
         path = f"{root.rstrip('/')}/{path}"
-        config = json.loads(_read_text(spark, f"{path}/config"))
-    tables = {}
-    for name in TABLES:
-        try:
-            tables[name] = spark.read.parquet(f"{path}/{name}")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-    strategy = strategy_of(config)
+        found = _manifests(spark, path)
+    if not found:
+        raise FileNotFoundError(f"no saved run at {path}")
+    manifest = json.loads(_get(spark, f"{path}/{found[-1]}"))
+    read = lambda name, schema: spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(f"{path}/{manifest['folder']}/{name}")
+    tables = {name: read(name, schema) for name, schema in manifest["tables"].items() if name in TABLES}
+    strategy = strategy_of(manifest["config"])
     strategy.record(**tables)
-    return strategy, tables, json.loads(_read_text(spark, f"{path}/summary"))
+    return strategy, tables, manifest["summary"]
+
+
+def read_page(spark: SparkSession, path: str) -> str:
+    """The page of the newest whole run at path."""
+    return _get(spark, f"{path}/{json.loads(_get(spark, f'{path}/{_manifests(spark, path)[-1]}'))['folder']}/compact_summary")
+
+
+def tidy_run(spark: SparkSession, path: str) -> None:
+    """Removes what the newest whole run at path does not need: older versions, and what killed runs left."""
+    found = _manifests(spark, path)
+    if not found:
+        return
+    keep = {found[-1], json.loads(_get(spark, f"{path}/{found[-1]}"))["folder"]}
+    fs, place = _folder(spark, path)
+    for f in fs.listStatus(place):
+        if f.getPath().getName() not in keep and re.match("data-|manifest-", f.getPath().getName()):
+            fs.delete(f.getPath(), True)
 
 
 def _lines(series: dict[str, list[tuple[Any, float]]], width: int = 720, height: int = 180) -> str:
@@ -106,35 +175,56 @@ def _lines(series: dict[str, list[tuple[Any, float]]], width: int = 720, height:
     return f'<figure><figcaption>{html.escape(" / ".join(series))}: {points[0][0]} to {points[-1][0]}, {low:,.4g} to {high:,.4g}</figcaption><svg viewBox="0 0 {width} {height}">{drawn}</svg></figure>'
 
 
-def _table(df: DataFrame, columns: list[str], order: Column) -> str:
+def _bars(rows: list[tuple[str, float]], width: int = 720) -> str:
+    """Horizontal bars from a common zero, with names and values."""
+    if not rows:
+        return ""
+    low, high = min(0.0, *(v for _, v in rows)), max(0.0, *(v for _, v in rows))
+    x = lambda v: (v - low) / ((high - low) or 1) * (width - 240) + 120
+    drawn = "".join(
+        f'<rect x="{min(x(0), x(v)):.1f}" y="{18 * i + 2}" width="{abs(x(v) - x(0)):.1f}" height="14" fill="{"#246" if v >= 0 else "#a52"}"/>'
+        f'<text x="0" y="{18 * i + 14}" font-size="12">{html.escape(n)}</text><text x="{width - 110}" y="{18 * i + 14}" font-size="12">{v:,.2f}</text>'
+        for i, (n, v) in enumerate(rows)
+    )
+    return f'<svg viewBox="0 0 {width} {18 * len(rows) + 4}">{drawn}</svg>'
+
+
+def _table(df: DataFrame, columns: list[str]) -> str:
+    """A small table in the order of its first column."""
     cell = lambda v: f"{v:,.4f}" if isinstance(v, float) else html.escape(str(v if v is not None else ""))
-    rows = df.select(*columns).orderBy(order, columns[0]).collect()
+    rows = sorted(df.select(*columns).collect(), key=lambda r: str(r[0]))
     return "<table><tr>" + "".join(f"<th>{c}</th>" for c in columns) + "</tr>" + "".join("<tr>" + "".join(f"<td>{cell(v)}</td>" for v in r) + "</tr>" for r in rows) + "</table>"
 
 
-def thinned(portfolio: DataFrame, columns: list[str], width: int = 2000) -> list[Any]:
-    """At most two rows for each of ``width`` parts of the sample's dates, the first and last included: all of the sample, as fine as a page can show."""
+def thinned(portfolio: DataFrame, columns: list[str], ends: tuple[date, date], width: int = 2000) -> list[Any]:
+    """At most two rows for each of ``width`` parts of the time between the ends, the first and last included: all of the sample, as fine as a page can show."""
     day = F.col("date").cast("date")
-    ends = portfolio.agg(F.min(day).alias("a"), F.max(day).alias("b"))
-    # one row of ends
-    parts = portfolio.crossJoin(F.broadcast(ends)).withColumn("_part", F.floor(F.datediff(day, "a") * width / F.greatest(F.datediff("b", "a") + 1, F.lit(1))))
+    first, last = ends
+    part = F.floor(F.datediff(day, F.lit(first)) * width / max((last - first).days + 1, 1))
     row = F.struct(day.alias("date"), *columns)
-    both = parts.groupBy("_part").agg(F.min_by(row, "date").alias("first"), F.max_by(row, "date").alias("last"))
-    return both.select(F.explode(F.array_distinct(F.array("first", "last"))).alias("r")).select("r.*").orderBy("date").collect()
+    both = portfolio.groupBy(part.alias("part")).agg(F.min_by(row, "date").alias("first"), F.max_by(row, "date").alias("last")).collect()
+    return sorted({r[c]["date"]: r[c] for r in both for c in ("first", "last")}.values(), key=lambda r: r["date"])
+
+
+def name_totals(panel: DataFrame) -> DataFrame:
+    """kind (sector or ticker), name and pnl: both from one pass over the panel."""
+    kinds = [c for c in ("sector", "ticker") if c in panel.columns]
+    rows = panel.select(*(F.col(c).cast("string").alias(c) for c in kinds), "pnl").groupingSets([[F.col(c)] for c in kinds], *(F.col(c) for c in kinds))
+    kind = F.when(F.grouping("ticker") == 0, "ticker").otherwise("sector") if "sector" in kinds else F.lit("ticker")
+    return rows.agg(kind.alias("kind"), F.sum("pnl").alias("pnl")).select("kind", F.coalesce(*kinds, F.lit("None")).alias("name"), "pnl")
 
 
-def report_page(title: str, figures: dict[str, Any], portfolio: DataFrame, yearly: DataFrame, panel: DataFrame | None = None, width: int = 2000, names: int = 5) -> str:
-    """An HTML page: figures, lines of the portfolio over the whole sample, the yearly table and, of a panel, PnL by sector and the best and worst names."""
+def report_page(title: str, figures: dict[str, Any], portfolio: DataFrame, yearly: DataFrame, totals: DataFrame | None = None, *, ends: tuple[date | None, date | None], width: int = 2000, names: int = 10) -> str:
+    """An HTML page: figures, lines of the portfolio over the whole sample, the yearly table and, of ``name_totals``, bars of PnL by sector and of the best and worst names."""
     charts = [({"cum_pnl": "Cumulative PnL"}), ({"drawdown": "Drawdown"}), ({"expanding_sharpe": "Expanding Sharpe", "rolling_sharpe": "Rolling Sharpe"}), ({"turnover": "Turnover"}), ({"gross_exposure": "Gross exposure", "net_exposure": "Net exposure"})]
-    days = thinned(portfolio, [c for chart in charts for c in chart], width)
+    days = thinned(portfolio, [c for chart in charts for c in chart], ends, width) if ends[0] is not None else []
     lines = "".join(_lines({t: [(d["date"], d[c]) for d in days] for c, t in chart.items()}) for chart in charts)
     listed = "".join(f"<dt>{html.escape(k)}</dt><dd>{html.escape(str(v))}</dd>" for k, v in figures.items())
     more = ""
-    if panel is not None:
-        if "sector" in panel.columns:
-            more += "<h2>PnL by sector</h2>" + _table(panel.groupBy("sector").agg(F.sum("pnl").alias("pnl")), ["sector", "pnl"], F.desc("pnl"))
-        by_name = panel.groupBy("ticker").agg(F.sum("pnl").alias("pnl"))
-        for heading, order in (("Best names", F.desc("pnl")), ("Worst names", F.asc("pnl"))):
-            more += f"<h2>{heading}</h2>" + _table(by_name.orderBy(order, "ticker").limit(names), ["ticker", "pnl"], order)
-    years = _table(yearly, ["date", "ret", "vol", "pnl", "sharpe", "turnover", "drawdown", "capacity_score", "margin"], F.asc("date"))
+    if totals is not None:
+        known = totals.where("pnl is not null")
+        sectors = sorted(((r["name"], r["pnl"]) for r in known.where("kind = 'sector'").collect()), key=lambda r: (-r[1], r[0]))
+        ends_of = lambda order: [(r["name"], r["pnl"]) for r in known.where("kind = 'ticker'").orderBy(order, "name").limit(names).collect()]
+        more = "".join(f"<h2>{h}</h2>{_bars(rows)}" for h, rows in (("PnL by sector", sectors), ("Best names", ends_of(F.desc("pnl"))), ("Worst names", ends_of(F.asc("pnl")))))
+    years = _table(yearly, ["date", "ret", "vol", "pnl", "sharpe", "turnover", "drawdown", "capacity_score", "margin"])
     return f'<!DOCTYPE html><meta charset="utf-8"><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><dl>{listed}</dl>{lines}{years}{more}'

@@ -21,7 +21,7 @@ from .plans import weights as wt
 from .plans.backtest import Strategy, run_backtest
 from .plans.expr import parse
 from .plans.signal import Alpha, compute_signals
-from .queries import BENCHMARKS, BOOK, NOISE, ORACLES, QUERIES, REVERSAL, REVERSAL_SQL, SUMMARY, UNIVERSE, WT, attr_sql, backtest, daily_names, lag, neutral_sql, normal_sql, rank_sql, register, rnd, rounded, simulated_sql, sql, weekly, weights_sql
+from .queries import BENCHMARKS, BOOK, NOISE, ORACLES, PERIOD, PERIOD_DIGITS, QUERIES, REVERSAL, REVERSAL_SQL, SUMMARY, UNIVERSE, WT, attr_sql, backtest, daily_names, lag, neutral_sql, normal_sql, rank_sql, register, rnd, rounded, simulated_sql, sql, weekly, weights_sql
 from .sources.bars import BarStore, build_signals_from_data
 from .sources.panels import _suppliers, to_long, trade_panel
 from .sources.runs import load_backtest, save_backtest
@@ -103,15 +103,27 @@ register("run_from_store", run_from_store, sql(
     "x2 AS (SELECT date, coalesce(sum(CASE WHEN exposure = 0 THEN 0 ELSE exposure * ret END), 0) AS pnl, sum(abs(exposure - before)) AS trade_volume, sum(abs(weights)) AS gross FROM x1 GROUP BY date)", unit="month"))
 
 
-def saved_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def saved(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], dict[str, object]]:
+    """A run's tables and figures, saved and read again."""
     strategy = Strategy(Alpha(REVERSAL), decay=5, truncation=0.05, neutralization=Neutralization.SECTOR)
     run = run_backtest(strategy, weekly(spark, sf_dir), BOOK, universe_size=UNIVERSE, noise=NOISE)
     path = save_backtest(run, shared_path(spark, "run"))
-    _, tables, _ = load_backtest(spark, path)
-    return rounded(tables["portfolio"].select("date", "pnl", "turnover", "long_count"))
+    _, tables, figures = load_backtest(spark, path)
+    return tables, figures
 
 
-register("saved_run", saved_run, sql(f"SELECT date, {rnd('pnl')} AS pnl, {rnd('turnover')} AS turnover, long_count FROM p", *simulated_sql()))
+def saved_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures of a saved run that are plain numbers, as they are written out."""
+    _, figures = saved(spark, sf_dir)
+    return spark.createDataFrame([(k, float(figures[k])) for k in ("Total PnL", "Sharpe", "Capacity score", "Long", "Short", "Trades per day")], "figure string, value double")
+
+
+register("saved_run", lambda spark, d: rounded(saved(spark, d)[0]["portfolio"].select("date", "pnl", "turnover", "long_count")), sql(f"SELECT date, {rnd('pnl')} AS pnl, {rnd('turnover')} AS turnover, long_count FROM p", *simulated_sql()))
+register("saved_panel", lambda spark, d: rounded(saved(spark, d)[0]["panel"].select("date", "ticker", "weights", "exposure", "pnl")), sql(f"SELECT date, ticker, {rnd('weights')} AS weights, {rnd('exposure')} AS exposure, {rnd('pnl')} AS pnl FROM a", *simulated_sql()))
+register("saved_yearly", lambda spark, d: rounded(saved(spark, d)[0]["yearly"].select("date", *PERIOD), PERIOD_DIGITS), ORACLES["agg_yearly"])
+register("saved_figures", saved_figures, sql(
+    "SELECT figure, round(value, 2) AS value FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS figure, CAST(({SUMMARY[c]}) AS DOUBLE) AS value FROM pp" for k, c in {"Total PnL": "total_pnl", "Sharpe": "sharpe", "Capacity score": "capacity_score", "Long": "long", "Short": "short", "Trades per day": "trades_per_day"}.items()) + ")",
+    *simulated_sql(), "pp AS (SELECT *, CASE WHEN i >= 48 THEN pnl END AS post FROM p)"))
 
 
 def wide_to_long(spark: SparkSession, sf_dir: str) -> DataFrame:

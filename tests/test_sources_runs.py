@@ -9,8 +9,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from alphaloom import queries as queries_module
 from alphaloom import store_queries as engine
-from alphaloom.config import TradingPeriod, Universe
+from alphaloom.config import Neutralization, TradingPeriod, Universe
 from alphaloom.fields import field_info, with_dependencies
 from alphaloom.plans import attribution as at
 from alphaloom.plans import dashboard as db
@@ -18,9 +19,11 @@ from alphaloom.plans import validate as va
 from alphaloom.plans.backtest import Strategy, run_backtest
 from alphaloom.plans.expr import fields, parse
 from alphaloom.plans.signal import Alpha
+from alphaloom.plans.validate import validate_backtest
+from alphaloom.sources import runs
 from alphaloom.sources.bars import BarStore, build_signals_from_data, get_tickers, requested_names
 from alphaloom.sources.panels import to_long, with_derived
-from alphaloom.sources.runs import load_backtest, run_name, save_backtest
+from alphaloom.sources.runs import load_backtest, read_page, run_name, save_backtest
 from alphaloom.queries import weekly
 from alphaloom.streaming.stateless import stream_bars, stream_fields, stream_signal
 
@@ -87,9 +90,70 @@ def test_saved_run(spark, run, walk, tmp_path):
     strategy, tables, figures = load_backtest(spark, name, root=str(tmp_path))
     assert set(tables) == {"panel", "portfolio", "yearly", "source_data"} and figures == json.loads(json.dumps(run.figures()))
     assert run_name(strategy, run.book_size) == name and run_name(strategy, 5.0) != name and str(strategy.signal) == str(run.strategy.signal)
-    page = spark.read.text(f"{path}/compact_summary", wholetext=True).first()[0]
-    assert page.count("<svg") == 5 and page.count("<polyline") == 7 and "Expanding Sharpe / Rolling Sharpe" in page and "PnL by sector" in page and "Worst names" in page
-    assert page.count("<td>T") == 10 and all(str(r["date"]) in page for r in run.portfolio.agg(F.min("date").alias("date")).union(run.portfolio.agg(F.max("date"))).collect())
+    page = read_page(spark, path)
+    assert page.count("<svg") == 8 and page.count("<polyline") == 7 and "Expanding Sharpe / Rolling Sharpe" in page and "PnL by sector" in page and "Worst names" in page
+    assert sum(f'>T{i:02d}<' in page for i in range(20)) == 20 and all(str(r["date"]) in page for r in run.portfolio.agg(F.min("date").alias("date")).union(run.portfolio.agg(F.max("date"))).collect())
+
+
+def jobs_of(spark, group):
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_a_killed_save_is_not_there(spark, run, tmp_path, monkeypatch):
+    path = str(tmp_path / "run")
+
+    def killed(*_, **__):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(runs, "report_page", killed)
+        with pytest.raises(KeyboardInterrupt):
+            save_backtest(run, path)
+    with pytest.raises(FileNotFoundError):
+        load_backtest(spark, path)
+    save_backtest(run, path)
+    first = load_backtest(spark, path)[1]["portfolio"]
+    with monkeypatch.context() as m:
+        m.setattr(runs, "name_totals", killed)
+        with pytest.raises(KeyboardInterrupt):
+            save_backtest(run, path)
+    # the version before is whole, and what the killed ones left can go
+    assert first.inputFiles() == load_backtest(spark, path)[1]["portfolio"].inputFiles()
+    runs.tidy_run(spark, path)
+    assert len(list((tmp_path / "run").glob("data-*"))) == 1 and load_backtest(spark, path)[1]["portfolio"].count() == first.count()
+    save_backtest(run, path)
+    assert len(list((tmp_path / "run").glob("manifest-0*"))) == 2 and load_backtest(spark, path)[1]["portfolio"].inputFiles() != first.inputFiles()
+
+
+def test_saving_and_checking_run_the_formulas_once(spark, sf_dir, tmp_path):
+    made = queries_module.backtest(spark, sf_dir)
+    spark.sparkContext.setJobGroup("panel", "panel")
+    made.panel.write.format("noop").mode("overwrite").save()
+    spark.sparkContext.setJobGroup("save", "save")
+    save_backtest(made, str(tmp_path / "run"))
+    spark.sparkContext.setJobGroup("check", "check")
+    reports = made.validate()
+    spark.sparkContext.setJobGroup("", "")
+    once = jobs_of(spark, "panel")
+    assert jobs_of(spark, "save") <= once + 16 and jobs_of(spark, "check") <= once + 3, (once, jobs_of(spark, "save"), jobs_of(spark, "check"))
+    kept = made.written(str(tmp_path / "panel"))
+    again = kept.validate()
+    assert {k: r.checks for k, r in reports.items()} == {k: r.checks for k, r in again.items()}
+    assert kept.observed["n_rows"] == kept.panel.count() and kept.observed["n_signal"] == kept.panel.where("signal is not null").count()
+
+
+def test_checks_of_poor_tables(spark, run):
+    """Empty tables and missing columns fail their checks."""
+    check = lambda panel, portfolio: validate_backtest(panel, panel, portfolio, fields=["close"], neutralization=Neutralization.SECTOR, truncation=0.1)
+    for panel in (run.panel.limit(0), run.panel.drop("sector"), run.panel.drop("weights"), run.panel.drop("date"), run.panel.select("date", "ticker")):
+        reports = check(panel, run.portfolio.limit(0))
+        assert not reports["weights"] and not reports["portfolio"]
+        assert bool(reports["signal"]) == (len(panel.columns) > 2 and panel.schema != run.panel.schema)
+    short = run.panel.withColumn("trade_volume", F.lit(-1.0)).withColumn("pnl", F.lit(float("nan")))
+    reports = check(short, run.portfolio)
+    assert not reports["allocations"] and not reports["asset_returns"] and reports["signal"] and reports["portfolio"]
+    wrong = check(run.panel.withColumn("weights", F.when(F.col("ticker") == "T03", float("inf")).otherwise(F.col("weights") * 3)), run.portfolio)["weights"]
+    assert "T03" in wrong.violations["not_nan"] and "first 2023-" in wrong.violations["under_max_weight"] and "2023-" in wrong.violations["not_over_levered"]
 
 
 def test_attribution_adds_up(run):
@@ -174,7 +238,7 @@ def test_listings(spark):
     assert [tuple(r) for r in va.internal_gaps(df).collect()] == [("B", 1)]
     report = va.are_market_changes_valid(df)
     assert set(report.checks) == {"no_mid_sample_delistings", "no_late_listings", "no_internal_gaps"} and not report and report.label == "Market changes (3 days with turnover)"
-    assert report.violations["no_internal_gaps"] == "1 with gaps, e.g. B (1 missing)" and "C last" in str(report)
+    assert report.violations["no_internal_gaps"] == "1 names lack dates of their own span: B 1 dates" and "C after" in str(report)
     assert va.are_market_changes_valid(df.where("ticker = 'A'"))
     # names that come and go are told, not judged
     churn = df.where("ticker = 'A' or ticker = 'C'").where("ticker = 'A' or date <> '1900-01-01'")
