@@ -67,12 +67,20 @@ def ordered(df: DataFrame, requested: list[str]) -> list[str]:
 
 
 def to_long(wide: DataFrame, fields: dict[str, str], date: str = "date") -> DataFrame:
-    """(date, ticker, fields) from columns named ``<ticker>_<source field>``; rows without a close go."""
-    tickers = sorted({c.rsplit("_", 1)[0] for c in wide.columns if c != date})
-    parts = [wide.select(F.to_date(date).alias("date"), F.lit(t).alias("ticker"), *[F.col(f"`{t}_{source}`").cast("double").alias(name) for source, name in fields.items() if f"{t}_{source}" in wide.columns]) for t in tickers]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
+    """(date, ticker, fields) from columns named ``<ticker>_<source field>``; rows without a close go.
+
+    A row becomes an array with a struct a ticker and that is exploded, so the input is read once for any number of tickers.
+    """
+    held: dict[str, set[str]] = {}
+    for c in wide.columns:
+        if c != date:
+            ticker, source = c.rsplit("_", 1)
+            held.setdefault(ticker, set()).add(source)
+    value = lambda t, source: (F.col(f"`{t}_{source}`") if source in held[t] else F.lit(None)).cast("double")
+    bars = [F.struct(F.lit(t).alias("ticker"), *(value(t, source).alias(name) for source, name in fields.items())) for t in sorted(held)]
+    if not bars:
+        raise ValueError("there is no column of a ticker")
+    out = wide.select(F.to_date(date).alias("date"), F.explode(F.array(*bars)).alias("_bar")).select("date", "_bar.*")
     return cleaned(out).dropna(subset=["close"])
 
 

@@ -127,13 +127,16 @@ register("saved_figures", saved_figures, sql(
 
 
 def wide_to_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars of the benchmarks in one row a date, as downloads come, and long again."""
-    bars = trade_panel(spark, sf_dir).where(F.col("ticker").isin(BENCHMARKS))
-    wide = bars.groupBy("date").pivot("ticker", BENCHMARKS).agg(*[F.first(c).alias(c.title()) for c in ("open", "close", "volume")])
-    return rounded(to_long(wide, {"Open": "open", "Close": "close", "Volume": "volume"}))
+    """All bars in one row a date with columns for each ticker, as downloads come, and long again."""
+    bars = trade_panel(spark, sf_dir)
+    names = [r["s_suppkey"] for r in spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey").collect()]  # they name the columns
+    columns = ("open", "close", "volume")
+    dates = bars.groupBy("date").agg(F.map_from_entries(F.collect_list(F.struct("ticker", F.struct(*columns).alias("bar")))).alias("held"))
+    wide = dates.select("date", *[F.col("held")[F.lit(n)][c].alias(f"{n}_{c.title()}") for n in names for c in columns])
+    return rounded(to_long(wide, {c.title(): c for c in columns}))
 
 
-register("wide_to_long", wide_to_long, sql(f"SELECT date, CAST(ticker AS VARCHAR) AS ticker, {rnd('open')} AS open, {rnd('close')} AS close, {rnd('volume')} AS volume FROM panel WHERE ticker IN (1, 2, 3)"))
+register("wide_to_long", wide_to_long, sql(f"SELECT date, CAST(ticker AS VARCHAR) AS ticker, {rnd('open')} AS open, {rnd('close')} AS close, {rnd('volume')} AS volume FROM panel"))
 
 
 def clipped(spark: SparkSession, sf_dir: str) -> DataFrame:

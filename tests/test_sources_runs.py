@@ -77,6 +77,18 @@ def test_requests():
 def test_wide_to_long(spark):
     wide = spark.createDataFrame([("2024-01-02 00:00:00", 1.0, 2.0, float("nan"))], "date string, A_Close double, A_Open double, B_Close double")
     assert [tuple(r) for r in to_long(wide, {"Close": "close", "Open": "open"}).select("ticker", "close", "open").collect()] == [("A", 1.0, 2.0)]
+    with pytest.raises(ValueError, match="no column"):
+        to_long(wide.select("date"), {"Close": "close"})
+
+
+def test_wide_tables_are_read_once(spark, tmp_path):
+    names = [f"N_{i:03d}" for i in range(500)]
+    spark.range(3).select(F.date_add(F.lit(D), F.col("id").cast("int")).alias("date"), *(F.when(F.col("id") != i % 4, F.col("id") + float(i)).alias(f"{n}_Close") for i, n in enumerate(names))).write.parquet(f"{tmp_path}/wide")
+    long = to_long(spark.read.parquet(f"{tmp_path}/wide"), {"Close": "close", "Volume": "volume"})
+    plan = long._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Union" not in plan
+    assert {(r["ticker"], r["close"]) for r in long.where(F.col("date") == F.lit(D)).collect()} == {(n, float(i)) for i, n in enumerate(names) if i % 4}
+    assert long.where("volume is not null").count() == 0
 
 
 @pytest.fixture(scope="module")
