@@ -274,6 +274,8 @@ def pack_mixture(
     by_part = sums.withColumn("queue", queue_of).withColumn("within", before(Window.partitionBy("queue", "part").orderBy("source")))
     across = by_part.groupBy("queue", "part").agg(F.sum("n").alias("n")).withColumn("across", before(Window.partitionBy("queue").orderBy("part"))).drop("n")
     base = by_part.join(across, ["queue", "part"]).select(F.col("source").alias("s"), F.col("part").alias("p"), "queue", (F.col("within") + F.col("across")).alias("base"))
+    # as a table its size is known before the join is planned: the ids are not moved for it while it is small
+    base = written(base, "bases")
     placed = tokens.join(base, (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "queue", (F.col("base") + F.col("at")).alias("place"), "n", "ids")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
