@@ -19,6 +19,7 @@ from ..plans.backtest import Backtest, Strategy
 from ..plans.expr import parse
 from ..plans.signal import Alpha
 from ..plans.simulate import aggregate_returns, formatted_summary, summary
+from .files import commit, get, newest, put, tidy
 
 TABLES = ("panel", "portfolio", "yearly", "source_data")
 
@@ -55,42 +56,6 @@ def run_name(strategy: Strategy, book_size: float) -> str:
     return f"{slug[:120]}-{hashlib.sha1(json.dumps(config, sort_keys=True).encode()).hexdigest()[:8]}"
 
 
-def _folder(spark: SparkSession, path: str) -> tuple[Any, Any]:
-    """(file system, path) of any path that Spark can read."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
-
-
-def _put(spark: SparkSession, path: str, text: str) -> bool:
-    """Writes a small text beside its path and renames it there; false if the path is taken."""
-    fs, place = _folder(spark, path)
-    aside = place.suffix(f".{uuid.uuid4().hex}")
-    out = fs.create(aside)
-    out.write(bytearray(text.encode()))
-    out.close()
-    if not fs.exists(place) and fs.rename(aside, place):
-        return True
-    fs.delete(aside, False)
-    return False
-
-
-def _get(spark: SparkSession, path: str) -> str:
-    fs, place = _folder(spark, path)
-    read = fs.open(place)
-    try:
-        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(read)).decode()
-    finally:
-        read.close()
-
-
-def _manifests(spark: SparkSession, path: str) -> list[str]:
-    """Names of the committed versions of a run, the newest last."""
-    fs, place = _folder(spark, path)
-    if not fs.exists(place):
-        return []
-    return sorted(n for n in (f.getPath().getName() for f in fs.listStatus(place)) if re.fullmatch(r"manifest-\d{6}", n))
-
-
 def save_backtest(run: Backtest, path: str, source_data: DataFrame | None = None) -> str:
     """Writes the run's tables, config, summary and page under path; tables without rows are left out.
 
@@ -103,42 +68,38 @@ def save_backtest(run: Backtest, path: str, source_data: DataFrame | None = None
     folder = f"data-{uuid.uuid4().hex}"
     at, tables = f"{path}/{folder}", {}
 
-    def put(name: str, df: DataFrame, tables: dict[str, str] = tables) -> DataFrame:
+    def keep(name: str, df: DataFrame) -> DataFrame:
         tables[name] = df.schema.json()
         df.write.parquet(f"{at}/{name}")
         return spark.read.schema(df.schema).parquet(f"{at}/{name}")
 
     kept = run.written(f"{at}/panel")
     tables["panel"] = kept.panel.schema.json()
-    portfolio = put("portfolio", kept.portfolio)
-    yearly = put("yearly", aggregate_returns(portfolio, "yearly", delay=run.strategy.delay, book_size=run.book_size))
-    totals = put("totals", name_totals(kept.panel))
+    portfolio = keep("portfolio", kept.portfolio)
+    yearly = keep("yearly", aggregate_returns(portfolio, "yearly", delay=run.strategy.delay, book_size=run.book_size))
+    totals = keep("totals", name_totals(kept.panel))
     figures = formatted_summary(summary(portfolio, delay=run.strategy.delay, book_size=run.book_size).first().asDict())
     if not kept.observed["n_rows"]:
         tables.clear()
     if source_data is not None:
         seen = Observation("source")
-        put("source_data", source_data.observe(seen, F.count(F.lit(1)).alias("n")))
+        keep("source_data", source_data.observe(seen, F.count(F.lit(1)).alias("n")))
         if not seen.get["n"]:
             del tables["source_data"]
     title = run_name(run.strategy, run.book_size)
-    _put(spark, f"{at}/compact_summary", report_page(title, figures, portfolio, yearly, totals, ends=(kept.observed["first"], kept.observed["last"])))
-    manifest = json.dumps({"folder": folder, "tables": tables, "config": config_of(run.strategy, run.book_size), "summary": figures}, indent=2)
-    version = int(([None, *_manifests(spark, path)][-1] or "manifest-0").rsplit("-", 1)[1]) + 1
-    while not _put(spark, f"{path}/manifest-{version:06d}", manifest):
-        version += 1
+    put(spark, f"{at}/compact_summary", report_page(title, figures, portfolio, yearly, totals, ends=(kept.observed["first"], kept.observed["last"])))
+    commit(spark, path, {"folder": folder, "tables": tables, "config": config_of(run.strategy, run.book_size), "summary": figures})
     return path
 
 
 def load_backtest(spark: SparkSession, path: str, root: str | None = None) -> tuple[Strategy, dict[str, DataFrame], dict[str, Any]]:
     """(the strategy, its tables, its figures) of the newest whole run at path, or under root if there is none."""
-    found = _manifests(spark, path)
-    if not found and root is not None:
+    manifest = newest(spark, path)
+    if manifest is None and root is not None:
         path = f"{root.rstrip('/')}/{path}"
-        found = _manifests(spark, path)
-    if not found:
+        manifest = newest(spark, path)
+    if manifest is None:
         raise FileNotFoundError(f"no saved run at {path}")
-    manifest = json.loads(_get(spark, f"{path}/{found[-1]}"))
     read = lambda name, schema: spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(f"{path}/{manifest['folder']}/{name}")
     tables = {name: read(name, schema) for name, schema in manifest["tables"].items() if name in TABLES}
     strategy = strategy_of(manifest["config"])
@@ -148,19 +109,13 @@ def load_backtest(spark: SparkSession, path: str, root: str | None = None) -> tu
 
 def read_page(spark: SparkSession, path: str) -> str:
     """The page of the newest whole run at path."""
-    return _get(spark, f"{path}/{json.loads(_get(spark, f'{path}/{_manifests(spark, path)[-1]}'))['folder']}/compact_summary")
+    return get(spark, f"{path}/{newest(spark, path)['folder']}/compact_summary")
 
 
 def tidy_run(spark: SparkSession, path: str) -> None:
     """Removes what the newest whole run at path does not need: older versions, and what killed runs left."""
-    found = _manifests(spark, path)
-    if not found:
-        return
-    keep = {found[-1], json.loads(_get(spark, f"{path}/{found[-1]}"))["folder"]}
-    fs, place = _folder(spark, path)
-    for f in fs.listStatus(place):
-        if f.getPath().getName() not in keep and re.match("data-|manifest-", f.getPath().getName()):
-            fs.delete(f.getPath(), True)
+    if manifest := newest(spark, path):
+        tidy(spark, path, {manifest["folder"]}, "data-|manifest-")
 
 
 def _lines(series: dict[str, list[tuple[Any, float]]], width: int = 720, height: int = 180) -> str:

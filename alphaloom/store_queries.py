@@ -5,6 +5,7 @@ A store or a run is written to the shared folder first and read again by its own
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from datetime import date
@@ -24,6 +25,7 @@ from .plans.signal import Alpha, compute_signals
 from .queries import BENCHMARKS, BOOK, NOISE, ORACLES, PERIOD, PERIOD_DIGITS, QUERIES, REVERSAL, REVERSAL_SQL, SUMMARY, UNIVERSE, WT, attr_sql, backtest, daily_names, lag, neutral_sql, normal_sql, rank_sql, register, rnd, rounded, simulated_sql, sql, weekly, weights_sql
 from .sources.bars import BarStore, build_signals_from_data
 from .sources.panels import _suppliers, to_long, trade_panel
+from .sources.provider import ParquetProvider, ProviderSource, from_provider
 from .sources.runs import load_backtest, save_backtest
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -49,14 +51,13 @@ def named(df: DataFrame) -> DataFrame:
     return df.withColumn("ticker", F.lpad(F.col("ticker").cast("string"), 6, "0"))
 
 
-def filled_store(spark: SparkSession, sf_dir: str) -> tuple[BarStore, list[str]]:
-    """A store of the monthly bars of all suppliers, and its universe."""
-    store = BarStore(spark, shared_path(spark, "bars"))
+def filled_store(spark: SparkSession, sf_dir: str) -> tuple[BarStore, DataFrame]:
+    """A store of the monthly bars of all suppliers, and its universe as a table."""
+    store = BarStore(spark, shared_path(spark, "bars"), buckets=8)
     bars = named(trade_panel(spark, sf_dir, "month"))
     store.write_bars(bars.drop("sector", "industry", "shares_outstanding"), date(1992, 1, 1), date(1999, 12, 31))
     store.write_static(named(_suppliers(spark, sf_dir)))
-    # a universe is a list by definition
-    return store, [r["ticker"] for r in bars.select("ticker").distinct().collect()]
+    return store, bars.select("ticker").distinct()
 
 
 def store_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +65,40 @@ def store_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(store.load_bars(names, START, END, offline=True).select("date", "ticker", "close", "volume", "splits"))
 
 
+def provided(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """A folder that a provider reads, of monthly bars, and its tickers."""
+    path = shared_path(spark, "provider")
+    bars = named(trade_panel(spark, sf_dir, "month")).drop("sector", "industry", "shares_outstanding")
+    bars.write.parquet(path)
+    return path, spark.read.schema(bars.schema).parquet(path).select("ticker").distinct()
+
+
+def store_download(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars that a store downloads from a provider: first of two years, then of five, of which two are there."""
+    path, names = provided(spark, sf_dir)
+    store = BarStore(spark, shared_path(spark, "bars"), from_provider(ParquetProvider(path)), buckets=8)
+    store.load_bars(names, date(1994, 1, 1), date(1995, 12, 31))
+    return rounded(store.load_bars(names, START, END).select("date", "ticker", "close", "volume", "splits"))
+
+
+def store_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store whose middle years were written again with twice the volume, and that was compacted then."""
+    store, names = filled_store(spark, sf_dir)
+    again = store.load_bars(names, date(1994, 1, 1), date(1995, 12, 31), offline=True)
+    store.write_bars(again.withColumn("volume", F.col("volume") * 2), date(1994, 1, 1), date(1995, 12, 31))
+    store.compact()
+    return rounded(store.load_bars(names, START, END, offline=True).select("date", "ticker", "close", "volume"))
+
+
+def provider_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars read from a provider as a data source, a task for every hundred tickers."""
+    path, names = provided(spark, sf_dir)
+    spark.dataSource.register(ProviderSource)
+    listed = json.dumps([r["ticker"] for r in names.collect()])  # an option is a text
+    read = spark.read.format("bars").option("provider", "alphaloom.sources.provider:ParquetProvider").option("args", json.dumps([path]))
+    return rounded(read.option("tickers", listed).option("start", str(START)).option("end", str(END)).load().select("date", "ticker", "close", "volume", "dividends"))
+
+
 def store_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Derived and static fields, asked for twice: the second request is part of the first and answered from it."""
     store, names = filled_store(spark, sf_dir)
@@ -83,7 +118,8 @@ def store_benchmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_from_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     store, names = filled_store(spark, sf_dir)
-    strategy = Strategy(Alpha(parse("-rank(returns)")), universe=names, neutralization="market")
+    # a strategy's universe is a list by definition
+    strategy = Strategy(Alpha(parse("-rank(returns)")), universe=[r["ticker"] for r in names.collect()], neutralization="market")
     run = run_backtest(strategy, book_size=BOOK, store=store, trading_period=TradingPeriod(START, END), noise=NOISE, weight_col="held")
     return rounded(run.portfolio.select("date", "pnl", "trade_volume", "gross_exposure"), 5)
 
@@ -91,6 +127,10 @@ def run_from_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 NAME = "lpad(CAST(ticker AS VARCHAR), 6, '0')"
 WITHIN = f"date BETWEEN DATE '{START}' AND DATE '{END}'"
 register("store_bars", store_bars, sql(f"SELECT date, {NAME} AS ticker, {rnd('close')} AS close, volume, splits FROM panel WHERE {WITHIN}", unit="month"))
+STORED = f"SELECT date, {NAME} AS ticker, {rnd('close')} AS close, volume, splits FROM panel WHERE {WITHIN}"
+register("store_download", store_download, sql(STORED, unit="month"))
+register("store_rewritten", store_rewritten, sql(f"SELECT date, {NAME} AS ticker, {rnd('close')} AS close, CASE WHEN year(date) IN (1994, 1995) THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END * volume AS volume FROM panel WHERE {WITHIN}", unit="month"))
+register("provider_bars", provider_bars, sql(f"SELECT date, {NAME} AS ticker, {rnd('close')} AS close, volume, {rnd('dividends')} AS dividends FROM panel WHERE {WITHIN}", unit="month"))
 register("store_fields", store_fields, sql(f"SELECT date, {NAME} AS ticker, sector, {rnd('returns')} AS returns, {rnd('market_cap', 1)} AS market_cap FROM f WHERE {WITHIN}", unit="month"))
 CUT = f"c0 AS (SELECT * FROM panel WHERE {WITHIN})"
 CUT_RETURNS = f"c1 AS (SELECT *, close * volume AS dv, (close * CASE WHEN splits = 0 THEN 1.0::DOUBLE ELSE splits END + dividends) / nullif({lag('close')}, 0) - 1 AS r FROM c0)"

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import pathlib
 from datetime import date, timedelta
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,8 +22,9 @@ from alphaloom.plans.backtest import Strategy, run_backtest
 from alphaloom.plans.expr import fields, parse
 from alphaloom.plans.signal import Alpha
 from alphaloom.plans.validate import validate_backtest
-from alphaloom.sources import runs
+from alphaloom.sources import provider, runs
 from alphaloom.sources.bars import BarStore, build_signals_from_data, get_tickers, requested_names
+from alphaloom.sources.provider import by_list
 from alphaloom.sources.panels import to_long, with_derived
 from alphaloom.sources.runs import load_backtest, read_page, run_name, save_backtest
 from alphaloom.queries import weekly
@@ -42,7 +45,7 @@ def test_store(spark, tmp_path):
         asked.append(tuple(tickers))
         return bars_of(spark, tickers, start, end)
 
-    store = BarStore(spark, str(tmp_path / "bars"), download)
+    store = BarStore(spark, str(tmp_path / "bars"), by_list(download), buckets=4)
     end = D + timedelta(days=9)
     assert store.load_bars(["A", "B"], D, end).count() == 20 and asked == [("A", "B")]
     assert store.load_bars(["A", "B", "C"], D, end).count() == 30 and asked[1:] == [("C",)]
@@ -63,6 +66,96 @@ def test_store(spark, tmp_path):
     store.clear_cache()
 
 
+def test_only_missing_ranges_are_downloaded(spark, tmp_path):
+    asked = []
+
+    def download(tickers, start, end):
+        asked.append((tuple(tickers), (start - D).days, (end - D).days))
+        return bars_of(spark, tickers, start, end)
+
+    day = lambda n: D + timedelta(days=n)
+    store = BarStore(spark, str(tmp_path / "bars"), by_list(download), buckets=4)
+    store.load_bars(["A"], day(10), day(19))
+    assert store.load_bars(["A", "B"], day(0), day(29)).count() == 60
+    assert asked == [(("A",), 10, 19), (("A",), 0, 9), (("B",), 0, 29), (("A",), 20, 29)]
+    assert store.load_bars(spark.createDataFrame([("B",)], "ticker string"), day(5), day(5), offline=True).count() == 1 and len(asked) == 4
+    # a later write replaces what it covers, also in the middle of a range
+    store.write_bars(bars_of(spark, ["B"], day(10), day(11)).withColumn("close", F.lit(-1.0)), day(10), day(12))
+    got = {r["date"]: r["close"] for r in store.load_bars(["B"], day(0), day(29), offline=True).collect()}
+    assert got[day(10)] == got[day(11)] == -1.0 and day(12) not in got and len(got) == 29 and got[day(9)] > 0
+    ranges = sorted((r["ticker"], (r["first"] - D).days, (r["last"] - D).days) for r in store.coverage().collect())
+    assert ranges == [("A", 0, 9), ("A", 10, 19), ("A", 20, 29), ("B", 0, 9), ("B", 10, 12), ("B", 13, 29)]
+    before = sorted(map(tuple, store.load_bars(["A", "B"], day(0), day(29)).collect()))
+    store.compact()
+    store.tidy()
+    assert sorted((r["ticker"], (r["first"] - D).days, (r["last"] - D).days) for r in store.coverage().collect()) == [("A", 0, 29), ("B", 0, 29)]
+    assert sorted(map(tuple, BarStore(spark, str(tmp_path / "bars")).load_bars(["A", "B"], day(0), day(29), offline=True).collect())) == before and len(asked) == 4
+
+
+def test_many_tickers_are_few_files(spark, tmp_path):
+    store = BarStore(spark, str(tmp_path / "bars"), buckets=4)
+    bars = spark.range(2000).select(F.lit(D).alias("date"), F.concat(F.lit("N"), "id").alias("ticker"), F.col("id").cast("double").alias("close"))
+    store.write_bars(bars, D, D)
+    assert len(list((tmp_path / "bars" / "bars").rglob("*.parquet"))) <= 8
+    got = store.load_bars(["N7", "N1999"], D, D, offline=True)
+    assert sorted(r["close"] for r in got.collect()) == [7.0, 1999.0]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan and " IN (" not in plan
+    with pytest.raises(FileNotFoundError, match="N2000"):
+        store.load_bars(["N2000"], D, D)
+
+
+def test_kept_requests_are_bounded(spark, tmp_path):
+    store = BarStore(spark, str(tmp_path / "bars"), cached=2)
+    store.write_bars(bars_of(spark, ["A", "B", "C"], D, D + timedelta(days=3)), D, D + timedelta(days=3))
+    kept = lambda: spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    ask = lambda tickers: store.load_variables(["close"], tickers=tickers, start=D, end=D + timedelta(days=3), offline=True)
+    before = kept()
+    for t in ("A", "B", "C"):
+        ask([t]).count()
+    assert kept() == before + 2
+    # B was used last, so the next request displaces C
+    assert "InMemory" in ask(["B"])._jdf.queryExecution().executedPlan().toString()
+    ask(["A"]).count()
+    assert "InMemory" in ask(["B"])._jdf.queryExecution().executedPlan().toString() and kept() == before + 2
+    table = spark.createDataFrame([("A",), ("C",)], "ticker string")
+    ask(table).count()
+    assert "InMemory" in ask(table)._jdf.queryExecution().executedPlan().toString()
+    store.clear_cache()
+    assert kept() == before
+
+
+class Flaky:
+    """Fails twice for each list of tickers, has nothing for Z."""
+
+    def __init__(self, path):
+        self.path = path
+
+    def fetch(self, tickers, start, end):
+        mark = pathlib.Path(self.path) / "-".join(tickers)
+        tried = len(mark.read_text()) if mark.exists() else 0
+        mark.write_text("x" * (tried + 1))
+        if tried < 2:
+            raise OSError("not now")
+        return pa.table({"date": [start, end], "ticker": [tickers[0]] * 2, "close": [1, 2]}).slice(0, 0 if tickers == ["Z"] else 2)
+
+
+def test_provider(spark, tmp_path):
+    one = provider.fetched(Flaky(str(tmp_path)), ["A"], D, D, wait=0.01)
+    assert one.num_rows == 2 and one.column_names[:2] == ["date", "ticker"] and one["open"].null_count == 2
+    with pytest.raises(OSError):
+        provider.fetched(Flaky(str(tmp_path)), ["B"], D, D, retries=1, wait=0.01)
+    with pytest.raises(ValueError, match="nothing came"):
+        provider.fetched(Flaky(str(tmp_path)), ["Z"], D, D, wait=0.01)
+    bars_of(spark, [f"N{i:03d}" for i in range(250)], D, D + timedelta(days=3)).write.parquet(f"{tmp_path}/given")
+    spark.dataSource.register(provider.ProviderSource)
+    read = spark.read.format("bars").option("provider", "alphaloom.sources.provider:ParquetProvider").option("args", json.dumps([f"{tmp_path}/given"])).option("start", str(D)).option("end", str(D))
+    got = read.option("tickers", json.dumps([f"N{i:03d}" for i in range(250)])).load()
+    assert got.rdd.getNumPartitions() == 3 and got.count() == 250
+    with pytest.raises(Exception, match="nothing came"):
+        read.option("tickers", '["none"]').load().count()
+
+
 def test_requests():
     assert requested_names([fields.close, "open", parse("rank(volume)")]) == ["close", "open", "volume"]
     with pytest.raises(TypeError):
