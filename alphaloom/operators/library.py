@@ -286,12 +286,18 @@ def hump(s: Scope, x: Any, hump: float = 0.01) -> Column:
 
 @operator(TICKER)
 def kth_element(s: Scope, x: Any, d: int, k: int, ignore: float | None = None) -> Column:
-    """The k-th value back from today, among those of the last d rows that are not ignored; missing if there are fewer."""
+    """The k-th value back from today, 1 being today's, among those of the last d rows that are not ignored; missing if there are fewer.
+
+    Without ``ignore`` missing values are ignored; with it only values equal to it are, and missing ones count as values. A k below 1 is no value.
+    """
     if k > d:
         raise ValueError(f"k is {k}, more than the {d} rows looked at")
     v = no_nan(num(x))
-    valid = v.isNotNull() if ignore is None or ignore != ignore else v.isNotNull() & (v != float(ignore))
-    return F.try_element_at(F.collect_list(F.when(valid, v)).over(_window(s, d)), F.lit(-int(k)))
+    valid = v.isNotNull() if ignore is None or ignore != ignore else v.isNull() | (v != float(ignore))
+    if k < 1:
+        return F.when(F.lit(False), v)
+    # in a struct a missing value is kept
+    return F.try_element_at(F.collect_list(F.when(valid, F.struct(v.alias("v")))).over(_window(s, d)), F.lit(-int(k)))["v"]
 
 
 @operator(TICKER)

@@ -13,11 +13,12 @@ from .attribution import attribution
 from .simulate import aggregate_returns, by_date, rolling_beta_alpha
 
 
-def split_periods(first: date, last: date, train: float = 0.6, validation: float = 0.8) -> list[TradingPeriod]:
-    """TRAIN, VALIDATION and OOS: cut at shares of the calendar span, each day in one of them."""
+def split_periods(first: date, last: date, train: float = 0.6, validation: float = 0.8, *, apart: bool = False) -> list[TradingPeriod]:
+    """TRAIN, VALIDATION and OOS: cut at shares of the calendar span. Neighbours share the day of the cut, unless they shall be ``apart``."""
     span = (last - first).days
     cuts = [first + timedelta(days=int(span * train)), first + timedelta(days=int(span * validation))]
-    return [TradingPeriod(first, cuts[0], "TRAIN"), TradingPeriod(cuts[0] + timedelta(days=1), cuts[1], "VALIDATION"), TradingPeriod(cuts[1] + timedelta(days=1), last, "OOS")]
+    after = [c + timedelta(days=int(apart)) for c in cuts]
+    return [TradingPeriod(first, cuts[0], "TRAIN"), TradingPeriod(after[0], cuts[1], "VALIDATION"), TradingPeriod(after[1], last, "OOS")]
 
 
 def in_period(period: TradingPeriod, day: str = "date") -> Column:
@@ -32,12 +33,16 @@ def period_name(periods: list[TradingPeriod], day: str = "date") -> Column:
     return out
 
 
+def periods_of(periods: list[TradingPeriod], day: str = "date") -> Column:
+    """The names of all periods that hold the day: a day that two periods share is in both."""
+    return F.array_compact(F.array(*[F.when(in_period(p, day), p.name) for p in periods]))
+
+
 def period_figures(portfolio: DataFrame, periods: list[TradingPeriod], *, book_size: float, delay: Delay = Delay.ONE) -> DataFrame:
     """Each period's aggregate as a sample of its own, with the first two together as IS; one pass over the portfolio, whose
     dates take part in every period that they are in."""
     named = [*periods[:2], TradingPeriod(periods[0].start, periods[1].end, "IS"), *periods[2:]]
-    of = F.array_compact(F.array(*[F.when(in_period(p), p.name) for p in named]))
-    figures = aggregate_returns(portfolio.withColumn("period", F.explode(of)), "full", delay=delay, book_size=book_size, sample=("period",))
+    figures = aggregate_returns(portfolio.withColumn("period", F.explode(periods_of(named))), "full", delay=delay, book_size=book_size, sample=("period",))
     return figures.withColumns({"total_pnl": F.col("pnl"), "annualised_mean_pnl": F.col("mean_pnl") * TRADING_DAYS})
 
 

@@ -14,7 +14,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.library import REGISTRY, ROW, Operator, Scope, boolean, col, no_nan, num
+from ..operators.library import DATE, REGISTRY, ROW, TICKER, Operator, Scope, boolean, col, no_nan, num
 from .expr import Binary, Call, Expr, Field, Literal, Method, Unary, walk
 
 
@@ -124,7 +124,11 @@ class Lowering:
     def _build(self, e: Call) -> Column:
         args = [self._value(a) for a in e.args]
         kwargs = {k: self._value(v) for k, v in e.kwargs}
-        return operator_named(e.name).build(self.scope, *args, **kwargs)
+        found = operator_named(e.name)
+        out = found.build(self.scope, *args, **kwargs)
+        # rows without the key that groups them are in no group
+        key = {TICKER: self.scope.ticker, DATE: self.scope.date}.get(found.scope)
+        return F.when(F.col(key).isNotNull(), out) if key else out
 
     def result(self, named: dict[str, Expr]) -> DataFrame:
         """The panel with a column a formula, without the windowed parts' columns."""

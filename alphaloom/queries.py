@@ -470,11 +470,28 @@ register("dash_monthly_leaders", lambda spark, d: rounded(db.monthly_leaders(bac
     "ld AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY contribution_pnl DESC, ticker) AS win, row_number() OVER (PARTITION BY date ORDER BY contribution_pnl, ticker) AS lose FROM att)"))
 SPLIT = [TradingPeriod(date(1992, 1, 1), date(1995, 12, 31), "TRAIN"), TradingPeriod(date(1996, 1, 1), date(1997, 6, 30), "VALIDATION"), TradingPeriod(date(1997, 7, 1), date(1999, 12, 31), "OOS")]
 SPLIT_SQL = "CASE WHEN date BETWEEN DATE '1992-01-01' AND DATE '1995-12-31' THEN 'TRAIN' WHEN date BETWEEN DATE '1996-01-01' AND DATE '1997-06-30' THEN 'VALIDATION' WHEN date BETWEEN DATE '1997-07-01' AND DATE '1999-12-31' THEN 'OOS' END"
+def keyless(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formulas over rows of which some have no ticker and some no date."""
+    panel = weekly(spark, sf_dir).withColumns({"ticker": F.when(F.col("volume") % 7 != 0, F.col("ticker")), "date": F.when(F.col("volume") % 5 != 0, F.col("date"))})
+    out = evaluate(panel, {"m": parse("ts_sum(close, 1)"), "r": parse("rank(close)"), "z": parse("group_zscore(close, sector)")})
+    return rounded(out.select("date", "ticker", "close", "m", "r", "z"))
+
+
+register("expr_missing_keys", keyless, sql(
+    f"SELECT date, ticker, {rnd('close')} AS close, {rnd('CASE WHEN ticker IS NOT NULL THEN close END')} AS m, {rnd(f'CASE WHEN date IS NOT NULL THEN {rank_sql("close")} END')} AS r, {rnd(f'CASE WHEN date IS NOT NULL THEN {z_sql("close", "PARTITION BY date, sector")} END')} AS z FROM k",
+    "k AS (SELECT CASE WHEN volume % 7 <> 0 THEN ticker END AS ticker, CASE WHEN volume % 5 <> 0 THEN date END AS date, close, sector FROM f)"))
+formula("op_kth_ignored", "kth_element(ts_delay(splits, 3), 10, 2, 0)", f"list_filter(list(x) OVER {win(10)}, lambda y: y IS NULL OR y <> 0)[-2]", f"k AS (SELECT *, {lag('splits', 3)} AS x FROM f)", source="k")
+for _k, _name in ((0, "zero"), (-1, "negative")):
+    formula(f"op_kth_{_name}", f"kth_element(close, 5, {_k})", "NULL::DOUBLE")
 register("dash_period_labels", lambda spark, d: weekly(spark, d).groupBy(db.period_name(SPLIT).alias("period")).agg(F.count("*").alias("n")), sql(f"SELECT {SPLIT_SQL} AS period, count(*) AS n FROM panel GROUP BY 1"))
 FIGURES = ["ret", "pnl", "mean_pnl", "sharpe", "turnover", "drawdown", "capacity_score"]
 register("dash_period_figures", lambda spark, d: rounded(db.period_figures(backtest(spark, d).portfolio, SPLIT, book_size=BOOK).select("period", "date", *FIGURES, "annualised_mean_pnl"), 4), "\nUNION ALL\n".join(
     "(" + sql("SELECT " + ", ".join([f"'{n}' AS period", "date", *(f"{rnd(c, 4)} AS {c}" for c in FIGURES), f"{rnd('mean_pnl * 252', 4)} AS annualised_mean_pnl"]) + " FROM q", *simulated_sql(), f"ps AS (SELECT * FROM p WHERE date BETWEEN DATE '{a}' AND DATE '{b}')", *period_sql("full", "ps")) + ")"
     for n, a, b in [("TRAIN", "1992-01-01", "1995-12-31"), ("VALIDATION", "1996-01-01", "1997-06-30"), ("IS", "1992-01-01", "1997-06-30"), ("OOS", "1997-07-01", "1999-12-31")]))
+SHARED = [TradingPeriod(date(1992, 1, 1), date(1996, 1, 1), "TRAIN"), TradingPeriod(date(1996, 1, 1), date(1997, 6, 30), "VALIDATION"), TradingPeriod(date(1997, 6, 30), date(1999, 12, 31), "OOS")]
+register("dash_shared_figures", lambda spark, d: rounded(db.period_figures(backtest(spark, d).portfolio, SHARED, book_size=BOOK).select("period", "date", *FIGURES), 4), "\nUNION ALL\n".join(
+    "(" + sql("SELECT " + ", ".join([f"'{n}' AS period", "date", *(f"{rnd(c, 4)} AS {c}" for c in FIGURES)]) + " FROM q", *simulated_sql(), f"ps AS (SELECT * FROM p WHERE date BETWEEN DATE '{a}' AND DATE '{b}')", *period_sql("full", "ps")) + ")"
+    for n, a, b in [("TRAIN", "1992-01-01", "1996-01-01"), ("VALIDATION", "1996-01-01", "1997-06-30"), ("IS", "1992-01-01", "1997-06-30"), ("OOS", "1997-06-30", "1999-12-31")]))
 register("dash_top_groups", lambda spark, d: rounded(db.top_groups(backtest(spark, d).panel, SPLIT, "industry"), 4), sql(
     f"SELECT period, industry, {rnd('pnl', 4)} AS pnl, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY period ORDER BY abs(pnl) DESC, industry) AS place FROM tg) WHERE place <= 12", *simulated_sql(), f"tg AS (SELECT {SPLIT_SQL} AS period, industry, sum(pnl) AS pnl FROM a GROUP BY 1, 2 HAVING period IS NOT NULL)"))
 register("dash_largest_rows", lambda spark, d: rounded(db.largest_rows(at.attribution(backtest(spark, d).panel, horizon="monthly", book_size=BOOK)).select("date", "ticker", "contribution_pnl"), 5), sql(f"SELECT date, ticker, {rnd('contribution_pnl', 5)} AS contribution_pnl FROM att ORDER BY abs(contribution_pnl) DESC, date, ticker LIMIT 25", *simulated_sql(), *attr_sql("last_day(date)", "ticker")))

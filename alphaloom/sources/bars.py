@@ -75,7 +75,7 @@ class BarStore:
         names = bars.select(F.col("ticker").cast("string").alias("ticker")).distinct()
         self._add(bars, names.select("ticker", F.lit(start).alias("first"), F.lit(end).alias("last")))
 
-    def _add(self, bars: DataFrame, ranges: DataFrame) -> None:
+    def _add(self, bars: DataFrame, ranges: DataFrame, downloaded: bool = False) -> None:
         version, now = len(manifests(self.spark, self.path)), newest(self.spark, self.path) or {}
         write = uuid.uuid4().hex
         rows = cleaned(bars).withColumn("ticker", F.col("ticker").cast("string")).withColumns({"write": F.lit(write), "bucket": self._bucket()})
@@ -85,6 +85,8 @@ class BarStore:
         schema = StructType(list(known.fields) + [f for f in rows.schema.fields if f.name not in known.fieldNames()])
         # the download is not run again for the tickers that came
         came = self.spark.read.schema(schema).parquet(f"{self.path}/bars").where(F.col("write") == write).select("ticker").distinct()
+        if downloaded and came.isEmpty():
+            raise ValueError("nothing was downloaded for " + ", ".join(r["ticker"] for r in ranges.limit(10).collect()))
         new = ranges.join(came, "ticker", "left_semi").select("ticker", "first", "last", F.lit(write).alias("write"), self._bucket().alias("bucket"))
         taken = new.groupBy("ticker").agg(F.collect_list(F.struct("first", "last")).alias("cuts"))
         self._cover(self.coverage().join(taken, "ticker", "left").transform(_without_cuts).unionByName(new), schema, version)
@@ -129,7 +131,7 @@ class BarStore:
         if some and (offline or self.download is None):
             raise FileNotFoundError("no bars for " + ", ".join(f"{r['ticker']} from {r['start']} to {r['end']}" for r in some) + ("..." if len(some) == 10 else ""))
         if some:
-            self._add(self.download(gaps), gaps.select("ticker", F.col("start").alias("first"), F.col("end").alias("last")))
+            self._add(self.download(gaps), gaps.select("ticker", F.col("start").alias("first"), F.col("end").alias("last")), downloaded=True)
         if newest(self.spark, self.path) is None:
             raise FileNotFoundError("no bars are stored")
         ranges = self.coverage().where((F.col("last") >= F.lit(start)) & (F.col("first") <= F.lit(end))).join(names, "ticker", "left_semi")

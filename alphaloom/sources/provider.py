@@ -40,8 +40,8 @@ class ParquetProvider:
         return ds.dataset(self.path, format="parquet").to_table(filter=pc.field("ticker").isin(tickers) & (pc.field("date") >= start) & (pc.field("date") <= end))
 
 
-def fetched(provider: Provider, tickers: list[str], start: date, end: date, *, retries: int = 3, wait: float = 1.0) -> pa.Table:
-    """The provider's bars in the order and types of SCHEMA. A failed call is made again ``retries`` times, each after twice the wait; no bars at all are an error."""
+def fetched(provider: Provider, tickers: list[str], start: date, end: date, *, retries: int = 3, wait: float = 1.0, some: bool = True) -> pa.Table:
+    """The provider's bars in the order and types of SCHEMA. A failed call is made again ``retries`` times, each after twice the wait; no bars at all are an error if ``some`` are needed."""
     for left in range(retries, -1, -1):
         try:
             got = provider.fetch(tickers, start, end)
@@ -51,7 +51,7 @@ def fetched(provider: Provider, tickers: list[str], start: date, end: date, *, r
                 raise
             time.sleep(wait)
             wait *= 2
-    if not got.num_rows:
+    if some and not got.num_rows:
         raise ValueError(f"nothing came from {start} to {end} for {', '.join(tickers[:10])}{'...' if len(tickers) > 10 else ''}")
     fields = [f.split() for f in SCHEMA.split(", ")]
     return pa.table({n: got[n].cast(_ARROW[t]) if n in got.column_names else pa.nulls(got.num_rows, _ARROW[t]) for n, t in fields})
@@ -92,7 +92,7 @@ class _Reader(DataSourceReader):
 
 
 def from_provider(provider: Provider, *, retries: int = 3, wait: float = 1.0) -> Callable[[DataFrame], DataFrame]:
-    """A download for the bar store: bars for a table of requests (ticker, start, end)."""
+    """A download for the bar store: bars for a table of requests (ticker, start, end). Single tickers may have none; the store looks that any came."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked: list[str] = []
@@ -100,12 +100,12 @@ def from_provider(provider: Provider, *, retries: int = 3, wait: float = 1.0) ->
         for batch in batches:
             for ticker, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if asked and (span != (start, end) or len(asked) == CHUNK):
-                    yield from fetched(provider, asked, *span, retries=retries, wait=wait).to_batches()
+                    yield from fetched(provider, asked, *span, retries=retries, wait=wait, some=False).to_batches()
                     asked = []
                 asked.append(ticker)
                 span = (start, end)
         if asked:
-            yield from fetched(provider, asked, *span, retries=retries, wait=wait).to_batches()
+            yield from fetched(provider, asked, *span, retries=retries, wait=wait, some=False).to_batches()
 
     def download(requests: DataFrame) -> DataFrame:
         parts = max(1, -(-requests.count() // CHUNK))

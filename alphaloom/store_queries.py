@@ -232,15 +232,22 @@ register("valid_market_changes", valid_market_changes, sql(
 # ---- dashboard
 
 
-def split_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+def split_samples(spark: SparkSession, sf_dir: str, apart: bool = False) -> DataFrame:
     days = trade_panel(spark, sf_dir).select("date")
     first, last = days.agg(F.min("date"), F.max("date")).first()
-    return days.groupBy(db.period_name(db.split_periods(first, last)).alias("period")).agg(F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last"))
+    return days.select("date", F.explode(db.periods_of(db.split_periods(first, last, 0.6, 0.8, apart=apart))).alias("period")).groupBy("period").agg(F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last"))
 
 
-register("dash_split", split_samples, sql(
-    "SELECT CASE WHEN date <= a THEN 'TRAIN' WHEN date <= b THEN 'VALIDATION' ELSE 'OOS' END AS period, count(*) AS n, min(date) AS first, max(date) AS last FROM panel, cuts GROUP BY 1",
-    "cuts AS (SELECT min(date) + CAST(floor((max(date) - min(date)) * 0.6::DOUBLE) AS INTEGER) AS a, min(date) + CAST(floor((max(date) - min(date)) * 0.8::DOUBLE) AS INTEGER) AS b FROM panel)"))
+CUTS = "cuts AS (SELECT min(date) AS s, max(date) AS e, min(date) + CAST(floor((max(date) - min(date)) * 0.6::DOUBLE) AS INTEGER) AS a, min(date) + CAST(floor((max(date) - min(date)) * 0.8::DOUBLE) AS INTEGER) AS b FROM panel)"
+
+
+def split_sql(apart: int) -> str:
+    periods = f"SELECT 'TRAIN' AS period, s AS f, a AS t FROM cuts UNION ALL SELECT 'VALIDATION', a + {apart}, b FROM cuts UNION ALL SELECT 'OOS', b + {apart}, e FROM cuts"
+    return sql("SELECT period, count(*) AS n, min(date) AS first, max(date) AS last FROM panel JOIN ps ON date BETWEEN f AND t GROUP BY 1", CUTS, f"ps AS ({periods})")
+
+
+register("dash_split", split_samples, split_sql(0))
+register("dash_split_apart", lambda spark, d: split_samples(spark, d, True), split_sql(1))
 
 
 def common_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
