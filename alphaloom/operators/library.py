@@ -221,21 +221,22 @@ def ts_max(s: Scope, x: Any, n: int) -> Column:
     return _rolling(F.max)(s, x, n)
 
 
-def _arg(s: Scope, x: Any, n: int, best: Callable[[Column], Column]) -> Column:
-    v = _observed(x)
-    seen = F.collect_list(v).over(_window(s, n))
-    return _full(s, n, v, F.array_position(seen, best(seen)).cast("double"))
+def _arg(s: Scope, x: Any, n: int, best: Callable[[Column], Column], first: int) -> Column:
+    """The place of the best value, of equal ones the oldest: one struct a window, not its values."""
+    v, here = _observed(x), F.row_number().over(s.time())
+    found = best(F.when(v.isNotNull(), F.struct(v.alias("v"), (here * first).alias("at")))).over(_window(s, n))
+    return _full(s, n, v, (found["at"] * first - here + int(n)).cast("double"))
 
 
 @operator(TICKER, "ts_arg_max")
 def ts_argmax(s: Scope, x: Any, n: int) -> Column:
     """From 1, the oldest row; the first of equal ones."""
-    return _arg(s, x, n, F.array_max)
+    return _arg(s, x, n, F.max, -1)
 
 
 @operator(TICKER, "ts_arg_min")
 def ts_argmin(s: Scope, x: Any, n: int) -> Column:
-    return _arg(s, x, n, F.array_min)
+    return _arg(s, x, n, F.min, 1)
 
 
 @operator(TICKER)

@@ -61,6 +61,32 @@ def side_attribution(df: DataFrame, *, horizon: str = "daily", book_size: float,
     return out.withColumn("side", F.col("row_side")).drop("row_side")
 
 
+def attribution_sets(df: DataFrame, *, horizon: str = "daily", groups: tuple[str, ...] = ("ticker", "industry", "sector"), book_size: float, weight: str = "weights", flat: float = 0.0) -> DataFrame:
+    """Attribution to each of several columns and to sides, all from one pass over the panel: kind, name (as text) and the columns of ``attribution``.
+
+    Grouping sets expand a row to one a kind, and those are summed before they move.
+    """
+    if horizon not in HORIZONS:
+        raise ValueError(f"a horizon is one of {list(HORIZONS)}")
+    asset = asset_attribution(df, book_size=book_size, weight=weight)
+    if missing := [g for g in (*groups, weight) if g not in asset.columns]:
+        raise ValueError(f"no columns {missing} to group by")
+    when = F.col("date").cast("date") if horizon == "full" else period_end(horizon)
+    kinds = [*groups, "side"]
+    named = asset.select(when.alias("_period"), *(F.col(g).cast("string").alias(f"_{g}") for g in groups), side_of(weight, flat).alias("_side"), "contribution_pnl", "contribution_return", F.col(weight).alias("_w"))
+    period = F.col("_period")
+    sums = named.groupingSets([[period, F.col(f"_{k}")] for k in kinds], period, *(F.col(f"_{k}") for k in kinds)).agg(
+        *(F.grouping(f"_{k}").alias(f"_is_{k}") for k in kinds),
+        F.sum("contribution_pnl").alias("contribution_pnl"), F.sum("contribution_return").alias("contribution_return"), F.count("*").alias("observations"),
+        F.avg(F.abs("_w")).alias("avg_abs_weight"), F.avg("_w").alias("avg_weight"),
+    )
+    of = lambda value: F.coalesce(*(F.when(F.col(f"_is_{k}") == 0, value(k)) for k in kinds))
+    out = sums.select(period.alias("date"), of(F.lit).alias("kind"), of(lambda k: F.col(f"_{k}")).alias("name"), "contribution_pnl", "contribution_return", "observations", "avg_abs_weight", "avg_weight")
+    out = out.withColumn("period_pnl", F.sum("contribution_pnl").over(Window.partitionBy("date", "kind")))
+    out = out.withColumn("contribution_pct", F.when(F.col("period_pnl") != 0, F.col("contribution_pnl") / F.col("period_pnl")))
+    return out.withColumn("side", F.when(F.col("kind") == "side", F.col("name")).otherwise(side_of("avg_weight", flat)))
+
+
 def nearest_period(dates: DataFrame, day: str) -> DataFrame:
     """The one date nearest to day, the earlier of two."""
     return dates.select(F.col("date").cast("date").alias("date")).distinct().orderBy(F.abs(F.datediff("date", F.lit(day).cast("date"))), "date").limit(1)

@@ -169,16 +169,16 @@ def tables_of(panel: DataFrame, strategy: Strategy, book_size: float, weight_col
 def run_backtest(
     strategy: Strategy | Alpha,
     data: DataFrame | None = None,
+    signal_col: str = "signal",
+    weight_col: str = "weights",
+    trading_period: TradingPeriod | None = None,
     book_size: float = 1.0,
+    display: bool = True,
     *,
-    trading_period: TradingPeriod | None = None,
     store: BarStore | None = None,
-    signal_col: str = "signal",
-    weight_col: str = "weights",
     universe_size: int | Universe | None = None,
     noise: float = 0.0,
     cache: bool = False,
-    display: bool = False,
 ) -> Backtest:
     """The whole chain as one lazy plan. The column ``signal_col`` is traded if there is such a signal, else the first one.
 
@@ -186,7 +186,7 @@ def run_backtest(
     the formulas and the neutralization need. A trading period also cuts given data. With a ``universe_size`` only so many of the
     largest names of each date are traded, unless the panel says which (``in_universe``). The panel's weights are called
     ``weight_col``; ``noise`` is that of group_neutralize. With ``cache`` the panel is kept for the tables that are made
-    of it, and with ``display`` the run is printed.
+    of it. With ``display`` (the usual case at a prompt) the run is checked and printed, which runs the plan; without it nothing runs yet.
     """
     if isinstance(book_size, bool) or not isinstance(book_size, (int, float)) or not book_size > 0:
         raise ValueError("the book size is a number above 0")

@@ -96,7 +96,11 @@ class Lowering:
                     parts.setdefault(str(n), (n, self._level(n)))
         for text, (n, _) in sorted(parts.items(), key=lambda p: (p[1][1], self._windowed(p[1][0]), len(p[0]))):
             name = f"_w{len(self.made)}"
-            self.df = self.df.withColumn(name, self._build(n))
+            found = operator_named(n.name)
+            if hasattr(found, "apply"):
+                self.df = found.apply(self.df, self.scope, name, *(self._value(a) for a in n.args))
+            else:
+                self.df = self.df.withColumn(name, self._build(n))
             self.made[text] = name
         return [col(self._value(e)) for e in exprs]
 

@@ -219,3 +219,27 @@ def benchmark_pnl(dates: DataFrame, closes: DataFrame, tickers: list, book_size:
     out = dates.select("date").distinct().join(wide, "date", "left")
     held = out.select("date", *[F.last(f"`{t}`", ignorenulls=True).over(run).alias(str(t)) for t in tickers], *[F.first(f"`{t}`").over(run).alias(f"_{t}") for t in tickers])
     return held.select("date", *[((F.col(f"`{t}`") / F.col(f"`_{t}`") - 1) * float(book_size)).alias(str(t)) for t in tickers])
+
+
+def aligned_closes(dates: DataFrame, closes: DataFrame, *, between: bool = False) -> DataFrame:
+    """(date, ticker, close) for every ticker on every one of ``dates``: its last close there is until then.
+
+    Closes on other dates count only if those ``between`` shall. Dates and closes are one table sorted within ticker, for any
+    number of tickers: no pivot, and no window over all of them.
+    """
+    days = dates.select(F.col("date").cast("date").alias("date")).distinct()
+    held = closes.select(F.col("date").cast("date").alias("date"), "ticker", "close")
+    held = held if between else held.join(days, "date", "left_semi")
+    # the calendar as one row: a few bytes a date
+    calendar = F.broadcast(days.agg(F.sort_array(F.collect_list("date")).alias("days")))
+    asked = closes.select("ticker").distinct().crossJoin(calendar).select(F.explode("days").alias("date"), "ticker", F.lit(None).cast("double").alias("close"), F.lit(1).alias("asked"))
+    both = held.select("date", "ticker", F.col("close").cast("double").alias("close"), F.lit(0).alias("asked")).unionByName(asked)
+    until = Window.partitionBy("ticker").orderBy("date", "asked").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("close", F.last("close", ignorenulls=True).over(until)).where("asked = 1").select("date", "ticker", "close")
+
+
+def aligned_pnl(dates: DataFrame, closes: DataFrame, book_size: float, *, between: bool = False) -> DataFrame:
+    """(date, ticker, cum_pnl) of a book held in each ticker, on every one of ``dates``; the base is its close on the first of them, without which there is no PnL."""
+    own = Window.partitionBy("ticker").orderBy("date")
+    rows = aligned_closes(dates, closes, between=between).withColumn("base", F.first("close").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.select("date", "ticker", F.when(F.col("base") != 0, (F.col("close") / F.col("base") - 1) * float(book_size)).alias("cum_pnl"))

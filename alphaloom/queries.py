@@ -303,7 +303,7 @@ for _kind in ("NONE", "MARKET", "SECTOR", "INDUSTRY"):
 
 def backtest(spark: SparkSession, sf_dir: str, delay: Delay = Delay.ONE):
     strategy = Strategy(Alpha(REVERSAL), delay=delay, decay=5, truncation=0.05, neutralization=Neutralization.SECTOR)
-    return run_backtest(strategy, weekly(spark, sf_dir), BOOK, universe_size=UNIVERSE, noise=NOISE)
+    return run_backtest(strategy, weekly(spark, sf_dir), book_size=BOOK, universe_size=UNIVERSE, noise=NOISE, display=False)
 
 
 def simulated_sql(delay: int = 1) -> list[str]:
@@ -415,7 +415,7 @@ def m_change() -> Column:
 def event_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = event_panel(spark, sf_dir)
     panel = panel.withColumns({"dividends": F.lit(0.0), "splits": F.lit(0.0)})
-    return run_backtest(Strategy(Alpha(parse("-rank(returns)")), neutralization="market"), with_derived(panel, ["returns"]), BOOK, noise=NOISE).portfolio
+    return run_backtest(Strategy(Alpha(parse("-rank(returns)")), neutralization="market"), with_derived(panel, ["returns"]), book_size=BOOK, noise=NOISE, display=False).portfolio
 
 
 register("agg_full_short_sample", lambda spark, d: rounded(sim.aggregate_returns(event_backtest(spark, d), "full", book_size=BOOK).select("date", "pnl", "ret", "sharpe", "sharpe_full", "capacity_score", "turnover"), 4), "WITH " + ",\n".join([

@@ -120,7 +120,7 @@ def run_from_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     store, names = filled_store(spark, sf_dir)
     # a strategy's universe is a list by definition
     strategy = Strategy(Alpha(parse("-rank(returns)")), universe=[r["ticker"] for r in names.collect()], neutralization="market")
-    run = run_backtest(strategy, book_size=BOOK, store=store, trading_period=TradingPeriod(START, END), noise=NOISE, weight_col="held")
+    run = run_backtest(strategy, book_size=BOOK, store=store, trading_period=TradingPeriod(START, END), noise=NOISE, weight_col="held", display=False)
     return rounded(run.portfolio.select("date", "pnl", "trade_volume", "gross_exposure"), 5)
 
 
@@ -146,7 +146,7 @@ register("run_from_store", run_from_store, sql(
 def saved(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], dict[str, object]]:
     """A run's tables and figures, saved and read again."""
     strategy = Strategy(Alpha(REVERSAL), decay=5, truncation=0.05, neutralization=Neutralization.SECTOR)
-    run = run_backtest(strategy, weekly(spark, sf_dir), BOOK, universe_size=UNIVERSE, noise=NOISE)
+    run = run_backtest(strategy, weekly(spark, sf_dir), book_size=BOOK, universe_size=UNIVERSE, noise=NOISE, display=False)
     path = save_backtest(run, shared_path(spark, "run"))
     _, tables, figures = load_backtest(spark, path)
     return tables, figures
@@ -275,7 +275,7 @@ register("attr_panel_snapshot", lambda spark, d: rounded(at.panel_snapshot(backt
 def headline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The figures that a strategy has of its last run."""
     strategy = Strategy(Alpha(REVERSAL), decay=5, truncation=0.05, neutralization=Neutralization.SECTOR)
-    run_backtest(strategy, weekly(spark, sf_dir), BOOK, universe_size=UNIVERSE, noise=NOISE)
+    run_backtest(strategy, weekly(spark, sf_dir), book_size=BOOK, universe_size=UNIVERSE, noise=NOISE, display=False)
     return rounded(spark.createDataFrame([(k, float(v)) for k, v in strategy.aggregate_metrics.items()], "figure string, value double"), 4)
 
 

@@ -153,7 +153,7 @@ def test_a_bad_table_of_weights_is_found(spark):
 def test_look_ahead_and_shift(walk):
     """A signal that knows tomorrow's return pays at delay 0 only, and delay 1 is delay 0 a row later."""
     panel = with_derived(walk, ["returns"]).withColumn("tomorrow", F.expr("lead(returns) over (partition by ticker order by date)"))
-    run = {d: run_backtest(Strategy(Alpha(fields.tomorrow), delay=d, neutralization="market"), panel, 1e6) for d in Delay}
+    run = {d: run_backtest(Strategy(Alpha(fields.tomorrow), delay=d, neutralization="market"), panel, book_size=1e6, display=False) for d in Delay}
     t = {d: r.portfolio.agg(F.avg("pnl") / F.stddev_samp("pnl") * F.sqrt(F.count("*"))).first()[0] for d, r in run.items()}
     assert t[Delay.ZERO] > 20 and abs(t[Delay.ONE]) < 3.5
     weights = {d: column(r.panel.where("ticker = 'T03'"), "weights", "date") for d, r in run.items()}
@@ -162,14 +162,14 @@ def test_look_ahead_and_shift(walk):
 
 def test_identities(walk):
     book = 1e6
-    run = run_backtest(Strategy(Alpha(parse("-returns")), decay=3, truncation=0.1, neutralization="sector"), with_derived(walk, ["returns"]), book)
+    run = run_backtest(Strategy(Alpha(parse("-returns")), decay=3, truncation=0.1, neutralization="sector"), with_derived(walk, ["returns"]), book_size=book, display=False)
     p = run.portfolio
     assert p.where(F.abs(F.col("ret") - F.col("pnl") / book) > 1e-12).isEmpty() and p.where(F.abs(F.col("turnover") - F.col("trade_volume") / book) > 1e-12).isEmpty()
     year, total = aggregate_returns(p, "full", book_size=book).first(), p.agg(F.sum("pnl")).first()[0]
     assert year["pnl"] == pytest.approx(total) and run.figures()["Total PnL"] == round(total, 2)
     assert all(map(bool, run.validate().values())) and run.display()
     with pytest.raises(ValueError):
-        run_backtest(Alpha(fields.returns), walk, 0)
+        run_backtest(Alpha(fields.returns), walk, book_size=0)
 
 
 def test_corporate_actions(spark):

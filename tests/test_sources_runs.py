@@ -186,7 +186,7 @@ def test_wide_tables_are_read_once(spark, tmp_path):
 
 @pytest.fixture(scope="module")
 def run(walk):
-    return run_backtest(Strategy(Alpha(parse("-rank(ts_zscore(returns, 20))"), fields.volume > 0), decay=5, truncation=0.1, neutralization="sector"), with_derived(walk, ["returns"]), 1e6, cache=True)
+    return run_backtest(Strategy(Alpha(parse("-rank(ts_zscore(returns, 20))"), fields.volume > 0), decay=5, truncation=0.1, neutralization="sector"), with_derived(walk, ["returns"]), book_size=1e6, cache=True, display=False)
 
 
 def test_saved_run(spark, run, walk, tmp_path):
@@ -291,7 +291,7 @@ def test_run_from_a_store(spark, walk, tmp_path):
     names = [f"T{i:02d}" for i in range(8)]
     strategy = Strategy(Alpha(parse("-rank(ts_zscore(returns, 5))")), universe=names, neutralization="sector", decay=3)
     period = TradingPeriod(first + timedelta(days=20), last)
-    run = run_backtest(strategy, store=store, trading_period=period, book_size=1e6, weight_col="held")
+    run = run_backtest(strategy, store=store, trading_period=period, book_size=1e6, weight_col="held", display=False)
     assert {r["ticker"] for r in run.panel.select("ticker").distinct().collect()} == set(names) and "held" in run.panel.columns and "weights" not in run.panel.columns
     assert run.portfolio.agg(F.min("date")).first()[0] >= period.start and run.display() in (True, False)
     # what the strategy lacks, its alpha or its last run has
@@ -302,7 +302,7 @@ def test_run_from_a_store(spark, walk, tmp_path):
         run_backtest(strategy, store=store)
     signals = build_signals_from_data(store, names, ["adv20"], str(first), last)
     assert signals.columns == ["date", "ticker", "sector", "adv20"] and signals.select("ticker").distinct().count() == 8
-    given = run_backtest(strategy, run.source, 1e6, trading_period=TradingPeriod(period.start, period.start + timedelta(days=40)), signal_col="signal")
+    given = run_backtest(strategy, run.source, "signal", trading_period=TradingPeriod(period.start, period.start + timedelta(days=40)), book_size=1e6, display=False)
     assert given.portfolio.agg(F.max("date")).first()[0] <= period.start + timedelta(days=40)
 
 
