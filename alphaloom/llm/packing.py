@@ -6,10 +6,13 @@ open sequence has f tokens free, so the tightest fit for a piece of n tokens is
 set bit at or above n. When one bin too many is open, the fullest is closed first: the
 bin that has least room is the one that later pieces could use least.
 
-No shuffle takes place and memory does not grow with the input: a task holds the open bins
-(three integers each) and one record batch. A lost task packs its own documents again and
-gives the same sequence numbers, since these are made of the partition's number and a
-count within it.
+Memory does not grow with the input: a task holds the open bins (three integers each) and one
+record batch. A lost task packs its own documents again and gives the same sequence numbers,
+since these are made of the partition's number and a count within it.
+
+What tasks leave unfinished is packed again: the first pass is written, and a second, smaller best-fit takes the pieces of
+sequences that have room, longest first, a hundred thousand to a task. So the number of sequences hardly depends on the
+number of tasks that the documents came in.
 """
 
 from __future__ import annotations
@@ -25,6 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, written
+
+#: Pieces that one task of the second pass takes, on average, and how many sequences it may have open.
+AGAIN_A_TASK = 100_000
+OPEN_AGAIN = 1 << 17
+#: A sequence with less than one part in so many free is finished.
+SLACK = 128
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -173,4 +183,28 @@ def pack(
                 yield pa.RecordBatch.from_arrays(columns, schema=out_schema)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, SCHEMA + (", ids array<int>" if with_ids else ""))
+    return packed_again(written(rows.mapInArrow(run, SCHEMA + (", ids array<int>" if with_ids else "")), "pieces", compression="zstd"), capacity)
+
+
+def packed_again(pieces: DataFrame, capacity: int) -> DataFrame:
+    """The pieces with those of unfinished sequences in other sequences; ``pieces`` is a written table, in which sequence and offset tell each piece."""
+    fills = pieces.groupBy("sequence_id").agg(F.sum("length").alias("fill"))
+    room = written(fills.where(F.col("fill") <= capacity - capacity // SLACK).select("sequence_id"), "unfinished")
+    items = written(pieces.select("sequence_id", "offset", "length").join(room, "sequence_id"), "again")
+    parts = max(1, -(-items.count() // AGAIN_A_TASK))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # numbers that no first pass has
+        bins = BestFit(capacity, OPEN_AGAIN, (1 << 62) + (TaskContext.get().partitionId() << 32))
+        for batch in batches:
+            placed = [bins.place(n) for n in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in zip(*placed, strict=True))], ["s", "o", "target", "at"])
+
+    # dealt at random, so that every task has pieces of all lengths
+    dealt = items.repartition(parts, F.xxhash64("sequence_id", "offset")).sortWithinPartitions(F.desc("length"), "sequence_id", "offset")
+    # as a table its size is known before the join is planned
+    moves = written(dealt.mapInArrow(run, "s long, o long, target long, at long"), "moves")
+    discard(room, items)
+    joined = pieces.join(moves, (F.col("sequence_id") == F.col("s")) & (F.col("offset") == F.col("o")), "left")
+    new = {"sequence_id": F.coalesce("target", "sequence_id"), "offset": F.coalesce("at", "offset")}
+    return joined.select(*[new[c].alias(c) if c in new else c for c in pieces.columns])

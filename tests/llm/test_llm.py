@@ -674,6 +674,16 @@ def test_packing(spark, sf_dir):
     assert packing.pack(empty(spark)).count() == 0
 
 
+def test_packing_in_many_tasks(spark, sf_dir):
+    """The number of sequences hardly depends on the number of tasks."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for tasks in (1, 8, 40):
+        rows = packing.pack(docs.repartition(tasks), with_ids=False).collect()
+        n = check_packing(rows, texts)
+        assert n <= 1.02 * sum(r["length"] for r in rows) / 2048 + 1, (tasks, n)
+
+
 def test_packing_of_long_runs(spark):
     """Runs that the rank form has no stack for, special tokens and long words, against the tokenizer file."""
     runs = [" " * 2_000_000, "\n" * 2_000_000, "a" + " " * 1_200_000 + "b<|endoftext|>", "x" * 300_000, "\u00a0\u3000" * 3000, " \n" * 70_000 + "end", "a  b\tc \x1c d\r\n" * 500, "it's ½ \u0301 9\u0663 l'ete"]
