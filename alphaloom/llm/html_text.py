@@ -9,10 +9,11 @@ fused into one score a path, less the share of links.
 
 Paths at or above a threshold (the page's weighted mean less a part of the deviation) are content; the
 smallest element that holds nearly all of their text, or the article or main element around it, is the page's
-content element. The text is that of all nodes whose path's score, times a prior, reaches the threshold. The prior is
-one, but so high inside the content element and for headings and paragraphs that any score above zero will do (a path
-with more links than text has none), and zero where the markup says what is never content: navigation, header, footer, asides, forms, adverts, notices, comments. Class names of
-boilerplate are such markup too, but not of an element that holds most of the content.
+content element; with a title beside it, the element around both is. The text is that of all nodes whose path's score, times a
+prior, reaches the threshold. The prior is one outside the content element, whatever the tag, so that a paragraph of a
+block beside the article needs an article's score; it is ``LIKELY`` inside, and for headings and paragraphs that
+are in no block with a class or id but those around it; and it is zero where the markup says what is never content: navigation, header, footer, asides, forms,
+adverts, notices, comments. Class names of boilerplate are such markup too, but not of an element that holds most of the content.
 
 Pages are independent: one pass, no shuffle.
 """
@@ -46,8 +47,9 @@ BOILERPLATE = FIRM | set("sponsor sponsored promo promos promotion promotions ba
 BESIDE = set("site main page post posts article articles story stories content top bottom left right primary secondary global mobile box block list area section container wrapper wrap inner bar link links item items button buttons icon icons form text widgets".split())
 #: Elements whose text is prose by its markup.
 PROSE = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote", "pre", "figcaption"}
-#: The prior of paths that need no score but one above zero: of more than links.
-SURE = 1e12
+#: The prior of paths in the content element. A score grows with the square of a node's length, so a title needs that
+#: much beside a text of one long node; a path of links has no score, and fails with any prior.
+LIKELY = 1e6
 #: Comments, declarations and tags; a quotation mark quotes only after an equals sign.
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=)*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|aria-hidden|style)(?![^\s=/])\s*(?:=\s*(\"[^\"]*\"?|'[^']*'?|[^\s>]+))?", re.I)
@@ -76,6 +78,8 @@ class Page:
     never: list[bool]
     #: Boilerplate by a class name or id alone.
     named: list[bool]
+    #: With a class or an id.
+    labelled: list[bool]
     path_parent: list[int]
     path_depth: list[int]
 
@@ -118,7 +122,7 @@ def never_name(value: str) -> tuple[bool, bool]:
 
 def parse(page: str) -> Page:
     """The text nodes of a page in order, as browsers nest them in the cases that matter here."""
-    out = Page([], [0], [""], [False], [False], [0], [0])
+    out = Page([], [0], [""], [False], [False], [False], [0], [0])
     paths: dict[tuple[int, str], int] = {}
     # An open element: tag, number, path of block tags, links around it and itself (headings' links are text).
     stack: list[tuple[str, int, int, bool]] = []
@@ -176,11 +180,12 @@ def parse(page: str) -> Page:
             block += 1
         if tag in VOID:
             continue
-        never, named, label = tag in NEVER, False, tag
+        never, named, labelled, label = tag in NEVER, False, False, tag
         if m[3]:
             for name, value in ATTRIBUTE.findall(m[3]):
                 name, value = name.lower(), value.strip("\"'")
                 if name in ("class", "id"):
+                    labelled = True
                     if tag not in ("html", "body", "article", "main"):
                         found, firm = never_name(value)
                         never, named = never or firm, named or found
@@ -194,6 +199,7 @@ def parse(page: str) -> Page:
         out.tag.append(tag)
         out.never.append(never)
         out.named.append(named)
+        out.labelled.append(labelled)
         if tag not in INLINE:
             if (path, label) not in paths:
                 paths[path, label] = len(out.path_parent)
@@ -255,7 +261,11 @@ def content_element(page: Page, content: list[Node], share: float) -> int:
     around = e
     while around and page.tag[around] not in ("article", "main"):
         around = page.parent[around]
-    return around or e
+    if around:
+        return around
+    over = page.parent[e]
+    titled = any(t == "h1" and page.parent[i] == over for i, t in enumerate(page.tag))
+    return over if e and titled and page.tag[over] not in ("", "html", "body") else e
 
 
 def main_text(html_page: str | None, share: float = 0.9) -> str:
@@ -280,10 +290,22 @@ def main_text(html_page: str | None, share: float = 0.9) -> str:
         return ""
     root = content_element(page, content, share)
     inside = page.down([e == root for e in range(len(page.parent))])
-    prose = page.down([t in PROSE for t in page.tag])
+    above = set()
+    e = root
+    while e:
+        e = page.parent[e]
+        above.add(e)
+
+    def near(e: int) -> bool:
+        while e not in above and not page.labelled[e]:
+            e = page.parent[e]
+        return e in above
+
+    # prose that is in no labelled block but those around the content element
+    beside = page.down([t in PROSE and (not root or near(page.parent[i])) for i, t in enumerate(page.tag)])
     passed = set()
     for n, s in zip(seen, score, strict=True):
-        prior = 0.0 if never[n.element] else SURE if inside[n.element] or prose[n.element] else 1.0
+        prior = 0.0 if never[n.element] else LIKELY if inside[n.element] or beside[n.element] else 1.0
         if s * prior >= least and prior:
             passed.add((n.path, n.block))
     kept = {b for _, b in passed}

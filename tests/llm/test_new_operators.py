@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from alphaloom.llm import mixture, repair, resampling
+from alphaloom.llm import html_text, mixture, repair, resampling
 from alphaloom.llm import queries as q
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -336,3 +336,39 @@ def test_repair_of_awkward_conversations(spark, tmp_path):
         assert hashlib.sha256("\n".join(f"{r}:{t}" for _, e, r, t in own if e != "D").encode()).hexdigest() == digest
     empty = turns.limit(0)
     assert repair.repaired_turns(empty).count() == 0 and repair.repaired_conversations(empty).count() == 0
+
+
+# ---- 5 page text: blocks beside an article, in several templates
+
+PARAGRAPHS = [f"Paragraph {i} tells of the river, the town and its people at some length. It has three sentences, as most have; this is the second. The third one ends it." for i in range(6)]
+BESIDE = {
+    "advert": "<div class='x7'><p>Buy our great new shoes today, only this week.</p></div>",
+    "comments": "<section class='responses'><p>Bob wrote: I disagree with that.</p><p>Ann wrote: So do I.</p></section>",
+    "sidebar": "<div class='col-right'><h3>Popular</h3><p>Ten best pubs.</p></div>",
+    "notice": "<div class='legal'><p>We use small text files to keep you signed in.</p></div>",
+    "links": "<div class='more'><ul><li><a href=a>One story</a></li><li><a href=b>Another story</a></li></ul></div>",
+}
+BODY = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+TEMPLATES = {
+    "article": "<html><body><div class=page><article><h1>Title of it</h1>{body}</article>{block}</div></body></html>",
+    "before": "<html><body><div class=page>{block}<article><h1>Title of it</h1>{body}</article></div></body></html>",
+    "main": "<html><body><main><div class=post><h1>Title of it</h1>{body}</div></main>{block}</body></html>",
+    "plain": "<html><body><div class=wrap><div class=post><h1>Title of it</h1>{body}</div>{block}</div></body></html>",
+    "titled": "<html><body><div class=wrap><div class=b><h1>Title of it</h1><div class=text>{body}</div></div>{block}</div></body></html>",
+}
+
+
+@pytest.mark.parametrize("template", TEMPLATES)
+@pytest.mark.parametrize("beside", BESIDE)
+def test_blocks_beside_an_article(template, beside):
+    page = TEMPLATES[template].format(body=BODY, block=BESIDE[beside])
+    assert html_text.main_text(page) == "\n".join(["Title of it", *PARAGRAPHS])
+
+
+def test_parts_of_an_article_stay():
+    text = lambda page: html_text.main_text(page).split("\n")
+    short = "<div class=note-box>Short, true.</div>"
+    assert text(f"<html><body><div class=b><h1>Title</h1><div>{BODY}</div>{short}</div></body></html>") == ["Title", *PARAGRAPHS, "Short, true."]
+    assert text(f"<html><body><article><h1>Title</h1><p>Lead.</p><div>{BODY}</div><blockquote>Yes.</blockquote></article></body></html>") == ["Title", "Lead.", *PARAGRAPHS, "Yes."]
+    halves = "".join(f"<p>{p}</p>" for p in PARAGRAPHS[:1])
+    assert text(f"<html><body><div><section>{BODY}</section><section>{halves}</section></div></body></html>") == [*PARAGRAPHS, PARAGRAPHS[0]]
