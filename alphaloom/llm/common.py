@@ -25,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     global _own_shared_dir
     if where := spark.conf.get("spark.checkpoint.dir", None):
         return where.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.split("[")[0] == "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _own_shared_dir is None:
         _own_shared_dir = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
