@@ -17,7 +17,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alphaloom.llm.common import table, written
+from alphaloom.llm.common import discard, table, written
 from alphaloom.llm.decontaminate import without_leaks
 from alphaloom.llm.near_duplicates import one_of_each
 from alphaloom.llm.packing import pack
@@ -64,7 +64,11 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to all documents; one row a piece of what is kept."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            # nothing reads it again
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
