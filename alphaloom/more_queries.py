@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.arrays import cs_mean
 from .operators.user import rolling_function, row_function
 from .plans import attribution as at
 from .plans import simulate as sim
@@ -109,3 +110,19 @@ STREAM_SQL = {
 }
 register("stream_replayed", lambda spark, d: rounded(replayed(spark, weekly(spark, d)), {"growth": 2, "cov": 3} | {c: 5 for c in STREAMED if c not in ("growth", "cov")}), sql(
     "SELECT date, ticker, " + ", ".join(f"{rnd(f'CAST({STREAM_SQL[c]} AS DOUBLE)', {'growth': 2, 'cov': 3}.get(c, 5))} AS {c}" for c in STREAMED) + " FROM f"))
+
+# ---- means of arrays
+
+
+def array_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each date's bars as an array of rows (open, high, low, close) by ticker."""
+    bars = trade_panel(spark, sf_dir).groupBy("date").agg(F.transform(F.array_sort(F.collect_list(F.struct("ticker", F.array("open", "high", "low", "close").alias("bar")))), lambda r: r["bar"]).alias("bars"))
+    columns, some = cs_mean(F.col("bars"), axis="column"), cs_mean(F.col("bars"), start=1, end=-1)
+    return rounded(bars.select("date", cs_mean(F.col("bars"), row=0).alias("first"), columns[0].alias("open"), columns[3].alias("close"), F.size(some).cast("long").alias("n"), F.try_element_at(some, F.lit(1)).alias("second")))
+
+
+register("op_cs_mean_array", array_means, sql(
+    f"SELECT date, {rnd('max(CASE WHEN k = 1 THEN m END)')} AS first, {rnd('avg(open)')} AS open, {rnd('avg(close)')} AS close, greatest(count(*) - 2, 0)::BIGINT AS n, {rnd('max(CASE WHEN k = 2 AND c > 2 THEN m END)')} AS second FROM k GROUP BY date",
+    "k AS (SELECT date, open, close, (open + high + low + close) / 4 AS m, row_number() OVER (PARTITION BY date ORDER BY ticker) AS k, count(*) OVER (PARTITION BY date) AS c FROM panel)"))
+register("attr_ordered", lambda spark, d: rounded(at.attribution(backtest(spark, d).panel, horizon="yearly", groups=("sector",), book_size=BOOK, ordered=True).select("date", "sector", "contribution_pnl"), 5), sql(
+    f"SELECT date, sector, {rnd('contribution_pnl', 5)} AS contribution_pnl FROM att ORDER BY date, contribution_pnl DESC", *simulated_sql(), *attr_sql("make_date(year(date), 12, 31)", "sector")))

@@ -30,8 +30,8 @@ def asset_attribution(df: DataFrame, *, book_size: float, weight: str = "weights
     return df.withColumn("contribution_return", F.col("contribution_pnl") / float(book_size))
 
 
-def attribution(df: DataFrame, *, horizon: str = "daily", groups: tuple[str, ...] = ("ticker",), book_size: float, weight: str = "weights", flat: float = 0.0) -> DataFrame:
-    """Contribution of each group in each period, missing groups among them, and its share of the period's PnL.
+def attribution(df: DataFrame, *, horizon: str = "daily", groups: tuple[str, ...] = ("ticker",), book_size: float, weight: str = "weights", flat: float = 0.0, ordered: bool = False) -> DataFrame:
+    """Contribution of each group in each period, missing groups among them, and its share of the period's PnL; if ``ordered``, by date and falling PnL.
 
     ``full`` keeps single dates; sum over them for the sample. Mean weights of a size up to ``flat`` (what rounding leaves) are on no side.
     """
@@ -48,7 +48,8 @@ def attribution(df: DataFrame, *, horizon: str = "daily", groups: tuple[str, ...
     out = asset.withColumn("_period", when).groupBy(F.col("_period").alias("date"), *groups).agg(*sums)
     out = out.withColumn("period_pnl", F.sum("contribution_pnl").over(Window.partitionBy("date")))
     out = out.withColumn("contribution_pct", F.when(F.col("period_pnl") != 0, F.col("contribution_pnl") / F.col("period_pnl")))
-    return out.withColumn("side", side_of("avg_weight", flat)) if weighted else out
+    out = out.withColumn("side", side_of("avg_weight", flat)) if weighted else out
+    return out.orderBy("date", F.desc("contribution_pnl")) if ordered else out
 
 
 def side_of(weight: str, flat: float = 0.0) -> Column:

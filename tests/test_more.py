@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from alphaloom import more_queries as mq
 from alphaloom.functions import rolling
+from alphaloom.functions.arrays import cs_mean
 from alphaloom.operators.library import REGISTRY
 from alphaloom.operators.user import rolling_function, row_function
 from alphaloom.plans import attribution as at
@@ -156,3 +157,17 @@ def test_streams_say_what_they_cannot(spark):
     for text in ("rank(close)", "ts_mean(close + 1, 5)", "ts_mean(close, 5) + 1", "hump(close, 5)"):
         with pytest.raises(ValueError, match="over a stream"):
             stream_windows(bars, {"v": parse(text)})
+
+
+def test_means_of_arrays(spark):
+    table = [[1.0, 2.0, 6.0], [3.0, 5.0, 7.0], [0.0, 0.0, 3.0]]
+    df = spark.createDataFrame([(table, [1.0, 4.0]), ([[1.0, None]], []), ([], [None, 1.0])], "x array<array<double>>, v array<double>")
+    x = np.array(table)
+    for options in ({}, {"row": 1}, {"row": -1}, {"start": 1}, {"start": -2, "end": -1}, {"end": 9}, {"axis": "column"}, {"axis": "column", "row": 2}, {"start": 2, "end": 1}):
+        a = x.T if options.get("axis") == "column" else x
+        want = a[options["row"]].mean() if "row" in options else a[options.get("start") : options.get("end")].mean(axis=1).tolist()
+        assert df.select(cs_mean(F.col("x"), **options).alias("m")).first()["m"] == pytest.approx(want), options
+    got = df.select(cs_mean(F.col("v"), dimensions=1).alias("v"), cs_mean(F.col("x")).alias("rows"), cs_mean(F.col("x"), axis="column").alias("columns"), cs_mean(F.col("x"), row=0).alias("row")).collect()
+    assert [tuple(r)[0] for r in got] == [2.5, None, None] and got[1]["rows"] == [None] and got[1]["columns"] == [1.0, None] and got[2]["columns"] == [] and got[2]["row"] is None
+    with pytest.raises(ValueError, match="axis"):
+        cs_mean(F.col("x"), axis="z")
