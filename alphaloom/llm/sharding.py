@@ -2,7 +2,7 @@
 
 Pass one scatters the records with seeded hashes: the shard comes from the key alone, and
 within its shard a record goes to one of so many buckets that a bucket's bytes fit in a
-task's memory. How many that is follows from the bytes that each shard is measured to have, so
+task's memory, of which the session's settings tell how large it is. How many that is follows from the bytes that each shard is measured to have, so
 a shard that repeated keys make large has more buckets, not larger ones. The scattered records
 are written to the shared folder, so that both readers of pass two see one scatter. Pass two
 reads a bucket whole, in the order of the records' places, Fisher-Yates shuffles it (``shuffle``
@@ -17,15 +17,30 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, written
 
-#: Bytes of records that one bucket should hold; a task needs a few times this.
-BUCKET_BYTES = 2 << 20
-#: Buckets that one task of pass two reads, on average.
-BUCKETS_A_TASK = 4
+#: Bytes of a bucket's records; unset, they follow from the executors' memory.
+BUCKET_BYTES: int | None = None
+#: A bucket's records may take this part of the memory that an executor has for each of its tasks.
+BUCKET_PART = 32
+#: Bounds of a bucket's bytes, whatever the memory.
+LEAST_BUCKET, LARGEST_BUCKET = 4 << 20, 256 << 20
+
+
+def bucket_size(spark: SparkSession) -> int:
+    """Bytes of records that one bucket should hold, from the session's settings; on one machine the driver is the executor."""
+    conf = spark.sparkContext.getConf()
+    local = spark.sparkContext.master.split("[")[0] == "local"
+    memory = _bytes(spark, conf.get("spark.driver.memory" if local else "spark.executor.memory", "1g"))
+    cores = spark.sparkContext.defaultParallelism if local else int(conf.get("spark.executor.cores", "1"))
+    return min(max(memory // max(cores, 1) // BUCKET_PART, LEAST_BUCKET), LARGEST_BUCKET)
+
+
+def _bytes(spark: SparkSession, text: str) -> int:
+    return int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(text))
 
 
 def shard_of(key: Column, n_shards: int, seed: int) -> Column:
@@ -41,7 +56,7 @@ def shuffled_shards(
     size: Column,
     n_shards: int = 16,
     seed: int = 42,
-    bucket_bytes: int = BUCKET_BYTES,
+    bucket_bytes: int | None = None,
 ) -> DataFrame:
     """``shard`` int, ``slot`` long (the row's place in its shard, gapless from 0), ``grown_shard`` int
     (its shard if there were one more) and ``row``, the row of df as a struct: a written table.
@@ -49,9 +64,10 @@ def shuffled_shards(
     ``key`` and the number of shards decide the shard. Rows with a null key share one shard; equal
     rows stay apart; an empty table gives no rows; df may have columns of any name and type, since they
     stay inside ``row``. ``size`` is a row's bytes; one row of more than a bucket's bytes is a bucket
-    of its own size. The order depends on the rows, their places in the input, the seed and
+    of its own size. ``bucket_bytes`` follows from the executors' memory unless it is given. The order depends on the rows, their places in the input, the seed and
     the numbers of buckets.
     """
+    bucket_bytes = bucket_bytes or BUCKET_BYTES or bucket_size(df.sparkSession)
     own = F.col(f"`{key}`")
     shard = shard_of(own, n_shards, seed)
     # one number a shard
@@ -73,8 +89,8 @@ def shuffled_shards(
         .agg(F.count("*").alias("n"))
         .select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     )
-    # a task reads a few buckets, however many there are
-    parts = math.ceil(sum(buckets_of) / BUCKETS_A_TASK)
+    # a task reads about one bucket
+    parts = sum(buckets_of)
     buckets = (
         scattered.repartition(parts, "shard", "bucket")
         .groupBy("shard", "bucket")
