@@ -10,14 +10,16 @@ Memory does not grow with the input: a task holds the open bins (three integers
 record batch. A lost task packs its own documents again and gives the same sequence numbers,
 since these are made of the partition's number and a count within it.
 
-What tasks leave unfinished is packed again: the first pass is written, and a second, smaller best-fit takes the pieces of
-sequences that have room, longest first, a hundred thousand to a task. So the number of sequences hardly depends on the
+What tasks leave unfinished is packed again: a task gives out a sequence's pieces when it is closed, and at its end those of
+the open ones, marked. The first pass is written, and a second, smaller best-fit takes the marked pieces,
+longest first, a hundred thousand to a task; only they are moved. So the number of sequences hardly depends on the
 number of tasks that the documents came in.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -28,13 +30,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import written
 
 #: Pieces that one task of the second pass takes, on average, and how many sequences it may have open.
 AGAIN_A_TASK = 100_000
 OPEN_AGAIN = 1 << 17
-#: A sequence with less than one part in so many free is finished.
-SLACK = 128
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -51,6 +51,8 @@ class BestFit:
         self.bits = 0
         self.at: dict[int, list[int]] = {}
         self.count = 0
+        #: Bins closed since somebody last emptied this list.
+        self.closed: list[int] = []
 
     def _take(self, free: int) -> int:
         bins = self.at[free]
@@ -75,7 +77,9 @@ class BestFit:
             self.bits |= 1 << rest
             self.count += 1
             if self.count > self.open_bins:
-                self._take((self.bits & -self.bits).bit_length() - 1)
+                self.closed.append(self._take((self.bits & -self.bits).bit_length() - 1))
+        else:
+            self.closed.append(target)
         return target, self.capacity - free
 
 
@@ -126,6 +130,12 @@ class Encoder:
         return self.full.encode_batch([text], add_special_tokens=False)[0].ids
 
 
+@functools.lru_cache(maxsize=1)
+def _encoder(json_path: str, ranks_path: str, pattern: str) -> Encoder:
+    """One for all tasks of a worker process: its tables take some hundred megabytes."""
+    return Encoder(json_path, ranks_path, pattern)
+
+
 def pieces(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: full ones, and before them the rest, if any."""
     if n <= capacity:
@@ -161,50 +171,59 @@ def pack(
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
     out_schema = pa.schema(fields + ([("ids", pa.list_(pa.int32()))] if with_ids else []))
 
+    def record(rows: list[tuple], unfinished: bool) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True))
+        arrays = [pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=False)]
+        if with_ids:
+            ends = np.cumsum([0] + [len(x) for x in columns[-1]]).astype(np.int32)
+            arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(columns[-1]))))
+        return pa.RecordBatch.from_arrays([*arrays, pa.array([unfinished] * len(rows))], schema=out_schema.append(pa.field("unfinished", pa.bool_())))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(json_path, ranks_path, pattern)
+        encode = _encoder(json_path, ranks_path, pattern)
         bins = BestFit(capacity, open_bins, TaskContext.get().partitionId() << 32)
+        # pieces of open sequences, at most as many tokens as these can hold
+        held: dict[int, list[tuple]] = {}
+        rows: list[tuple] = []
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                rows: list[tuple] = []
-                held: list[np.ndarray] = []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    data = np.append(encode(text or ""), np.uint32(end_id)).tobytes()
-                    for k, (start, length) in enumerate(pieces(len(data) // 4, capacity)):
-                        own = data[4 * start : 4 * (start + length)]
-                        rows.append((doc_id, k, start, length, zlib.crc32(own), *bins.place(length)))
-                        if with_ids:
-                            held.append(np.frombuffer(own, "<i4"))
-                columns = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)]
-                if with_ids:
-                    ends = np.cumsum([0] + [len(x) for x in held]).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held))))
-                yield pa.RecordBatch.from_arrays(columns, schema=out_schema)
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data = np.append(encode(text or ""), np.uint32(end_id)).tobytes()
+                for k, (start, length) in enumerate(pieces(len(data) // 4, capacity)):
+                    own = data[4 * start : 4 * (start + length)]
+                    target, offset = bins.place(length)
+                    row = (doc_id, k, start, length, zlib.crc32(own), target, offset)
+                    held.setdefault(target, []).append((*row, np.frombuffer(own, "<i4")) if with_ids else row)
+                    for b in bins.closed:
+                        rows += held.pop(b)
+                    bins.closed.clear()
+                if len(rows) >= 1024:
+                    yield record(rows, False)
+                    rows = []
+        if rows:
+            yield record(rows, False)
+        rest = [r for own in held.values() for r in own]
+        for i in range(0, len(rest), 4096):
+            yield record(rest[i : i + 4096], True)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return packed_again(written(rows.mapInArrow(run, SCHEMA + (", ids array<int>" if with_ids else "")), "pieces", compression="zstd"), capacity)
+    schema = SCHEMA + (", ids array<int>" if with_ids else "")
+    first = written(rows.mapInArrow(run, f"{schema}, unfinished boolean"), "pieces", compression="zstd" if with_ids else "snappy")
+    return first.where("not unfinished").drop("unfinished").unionByName(packed_again(first.where("unfinished").drop("unfinished"), capacity))
 
 
 def packed_again(pieces: DataFrame, capacity: int) -> DataFrame:
-    """The pieces with those of unfinished sequences in other sequences; ``pieces`` is a written table, in which sequence and offset tell each piece."""
-    fills = pieces.groupBy("sequence_id").agg(F.sum("length").alias("fill"))
-    room = written(fills.where(F.col("fill") <= capacity - capacity // SLACK).select("sequence_id"), "unfinished")
-    items = written(pieces.select("sequence_id", "offset", "length").join(room, "sequence_id"), "again")
-    parts = max(1, -(-items.count() // AGAIN_A_TASK))
+    """The pieces, longest first, in new sequences."""
+    parts = max(1, -(-pieces.count() // AGAIN_A_TASK))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # numbers that no first pass has
         bins = BestFit(capacity, OPEN_AGAIN, (1 << 62) + (TaskContext.get().partitionId() << 32))
         for batch in batches:
-            placed = [bins.place(n) for n in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in zip(*placed, strict=True))], ["s", "o", "target", "at"])
+            placed = [bins.place(n) for n in batch.column(3).to_pylist()]
+            bins.closed.clear()
+            new = [pa.array(c, pa.int64()) for c in zip(*placed, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *new, *batch.columns[7:]], batch.schema.names)
 
     # dealt at random, so that every task has pieces of all lengths
-    dealt = items.repartition(parts, F.xxhash64("sequence_id", "offset")).sortWithinPartitions(F.desc("length"), "sequence_id", "offset")
-    # as a table its size is known before the join is planned
-    moves = written(dealt.mapInArrow(run, "s long, o long, target long, at long"), "moves")
-    discard(room, items)
-    joined = pieces.join(moves, (F.col("sequence_id") == F.col("s")) & (F.col("offset") == F.col("o")), "left")
-    new = {"sequence_id": F.coalesce("target", "sequence_id"), "offset": F.coalesce("at", "offset")}
-    return joined.select(*[new[c].alias(c) if c in new else c for c in pieces.columns])
+    dealt = pieces.repartition(parts, F.xxhash64("sequence_id", "offset")).sortWithinPartitions(F.desc("length"), "sequence_id", "offset")
+    return dealt.mapInArrow(run, pieces.schema)
