@@ -320,7 +320,9 @@ def test_plans_read_their_panel_once(run, spark, sf_dir):
 
 def test_dashboard(run):
     first, last = run.portfolio.agg(F.min("date"), F.max("date")).first()
-    periods = db.split_periods(first, last)
+    shared = db.split_periods(first, last)
+    assert [a.end == b.start for a, b in zip(shared, shared[1:], strict=False)] == [True, True] and shared[0].start == first and shared[2].end == last
+    periods = db.split_periods(first, last, apart=True)
     assert [p.name for p in periods] == ["TRAIN", "VALIDATION", "OOS"] and sum(p.days + 1 for p in periods) == (last - first).days + 1
     figures = {r["period"]: r for r in db.period_figures(run.portfolio, periods, book_size=1e6).collect()}
     assert figures["IS"]["total_pnl"] == pytest.approx(figures["TRAIN"]["total_pnl"] + figures["VALIDATION"]["total_pnl"])
