@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
+from alphaloom.plans import weights as w
 from alphaloom.queries import ORACLES, QUERIES
 
 TABLES = ("lineitem", "supplier", "nation", "region")
@@ -31,3 +34,13 @@ def test_finite_ratios_are_not_clipped(spark, tmp_path):
     items = [(0, "1995-12-26", 50, 1000.0), (0, "1996-01-02", 1, 100000.0), (0, "1996-01-09", 1, 90000.0), (0, "1996-01-16", 1, 95000.0), (1, "1995-12-26", 1, 1000.0), (1, "1996-01-02", 1, 900.0)]
     got, want = beside_sql(spark, tmp_path, "expr_divide", items, 2)
     assert got == want and {r[2] for r in got} == {None, 4999.5, -1000.0, 1000.0, 0.4}
+
+
+@pytest.mark.parametrize(("cap", "total"), [(lambda df: w.truncate_gross(df, 0.05), 1.0), (lambda df: w.truncate_neutral(df, 0.05, ["date"]), 2.0)], ids=["gross", "neutral"])
+def test_a_cap_sums_a_group_once(spark, cap, total):
+    """No frame from a row to the group's end, which is summed anew for each row: n * n / 2 additions."""
+    names = spark.range(20_000).select(F.lit(date(2024, 1, 1)).alias("date"), F.col("id").alias("ticker"), (F.when(F.col("id") < 40, 1.0 + F.col("id") ** 3) * F.when(F.col("id") % 2 == 0, 1).otherwise(-1)).alias("weights"))
+    held = cap(names.fillna(0.0))
+    assert "currentrow$(), unboundedfollowing$()" not in held._jdf.queryExecution().executedPlan().toString()
+    sides = held.agg(*(F.sum(F.when(test, F.abs("weights"))) for test in (F.col("weights") > 0, F.col("weights") < 0)), F.max(F.abs("weights")), F.count_if(F.col("weights") != 0)).first()
+    assert sides[2] == pytest.approx(0.05) and sides[3] == 40 and sides[0] + sides[1] == pytest.approx(total)
