@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from alphaloom.plans import weights as w
-from alphaloom.queries import ORACLES, QUERIES
+from alphaloom.sources.panels import cells_to_long
+from alphaloom.store_queries import ORACLES, QUERIES
 
 TABLES = ("lineitem", "supplier", "nation", "region")
 
@@ -44,3 +45,26 @@ def test_a_cap_sums_a_group_once(spark, cap, total):
     assert "currentrow$(), unboundedfollowing$()" not in held._jdf.queryExecution().executedPlan().toString()
     sides = held.agg(*(F.sum(F.when(test, F.abs("weights"))) for test in (F.col("weights") > 0, F.col("weights") < 0)), F.max(F.abs("weights")), F.count_if(F.col("weights") != 0)).first()
     assert sides[2] == pytest.approx(0.05) and sides[3] == 40 and sides[0] + sides[1] == pytest.approx(total)
+
+
+def test_wide_rows_need_no_column_a_ticker(spark, tmp_path):
+    items = [(i, f"1995-12-{25 + i % 3 * 2}", 1 + i % 9, 1000.0 + i) for i in range(2500)]
+    got, want = beside_sql(spark, tmp_path, "wide_to_long", items, 2500)
+    assert got == want and len(got) == 2500
+    spark.conf.set("spark.sql.debug.maxToStringFields", "100000")
+    try:
+        plan = QUERIES["wide_to_long"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert len(plan) < 20_000
+
+
+def test_cells_become_bars(spark):
+    rows = [("2024-01-02 00:00:00", {"A_Close": 1.0, "A_B_Open": 7.0, "C_Close": float("nan"), "A_Adj": 3.0}), ("2024-01-02 00:00:00", {"A_Open": 2.0, "A_B_Close": 4.0}), ("2024-01-03 00:00:00", {"A_Close": None, "A_Open": 1.0}), ("2024-01-04 00:00:00", None)]
+    wide = spark.createDataFrame(rows, "date string, cells map<string, double>")
+    long = cells_to_long(wide, {"Close": "close", "Open": "open"})
+    assert sorted(map(tuple, long.select("date", "ticker", "close", "open").collect())) == [(date(2024, 1, 2), "A", 1.0, 2.0), (date(2024, 1, 2), "A_B", 4.0, 7.0)]
+    for wrong, message in (("A_Close", "more than one value for A on 2024-01-02"), ("Close", "a column without a ticker: Close")):
+        more = wide.union(spark.createDataFrame([("2024-01-02", {wrong: 5.0})], wide.schema))
+        with pytest.raises(Exception, match=message):
+            cells_to_long(more, {"Close": "close"}).collect()
