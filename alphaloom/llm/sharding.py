@@ -5,8 +5,8 @@ within its shard a record goes to one of so many buckets that a bucket's bytes f
 task's memory, of which the session's settings tell how large it is. How many that is follows from the bytes that each shard is measured to have, so
 a shard that repeated keys make large has more buckets, not larger ones. The scattered records
 are written to the shared folder, so that both readers of pass two see one scatter. Pass two
-reads a bucket whole, in the order of the records' places, Fisher-Yates shuffles it (``shuffle``
-with a seed), numbers its records after those of the shard's buckets before it and writes
+reads a bucket whole, shuffles it by sorting its records by seeded random numbers (made of their places; more
+than memory holds is spilled), numbers its records after those of the shard's buckets before it and writes
 it. Buckets are dealt by key and place, so no source, text or group of copies can fill one.
 
 The shard is the one whose hash with the key is highest (rendezvous hashing): with one more
@@ -35,7 +35,8 @@ def bucket_size(spark: SparkSession) -> int:
     conf = spark.sparkContext.getConf()
     local = spark.sparkContext.master.split("[")[0] == "local"
     memory = _bytes(spark, conf.get("spark.driver.memory" if local else "spark.executor.memory", "1g"))
-    cores = spark.sparkContext.defaultParallelism if local else int(conf.get("spark.executor.cores", "1"))
+    # an executor without a setting of its own may have as many cores as there are
+    cores = int((not local and conf.get("spark.executor.cores")) or spark.sparkContext.defaultParallelism)
     return min(max(memory // max(cores, 1) // BUCKET_PART, LEAST_BUCKET), LARGEST_BUCKET)
 
 
@@ -79,36 +80,37 @@ def shuffled_shards(
             shard.alias("shard"),
             shard_of(own, n_shards + 1, seed).alias("grown_shard"),
             F.monotonically_increasing_id().alias("place"),
-        ).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), f"row.`{key}`", "place"), F.element_at(F.array(*[F.lit(n) for n in buckets_of]), F.col("shard") + 1))),
+        ).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), f"row.`{key}`", "place"), F.element_at(F.array(*[F.lit(n) for n in buckets_of]), F.col("shard") + 1)))
+        # the buckets of all shards, numbered through
+        .withColumn("task", (F.element_at(F.array(*[F.lit(sum(buckets_of[:i])) for i in range(n_shards)]), F.col("shard") + 1) + F.col("bucket")).cast("int")),
         "scatter",
         compression="zstd",
     )
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        scattered.groupBy("shard", "bucket")
+        scattered.groupBy("shard", "bucket", "task")
         .agg(F.count("*").alias("n"))
-        .select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    )
-    # a task reads about one bucket
-    parts = sum(buckets_of)
-    buckets = (
-        scattered.repartition(parts, "shard", "bucket")
-        .groupBy("shard", "bucket")
-        .agg(F.collect_list(F.struct("place", "row", "grown_shard")).alias("rows"))
-        # shuffle() is seeded by partition: the buckets of one come to it in a fixed order
-        .sortWithinPartitions("shard", "bucket")
-        .select("shard", "bucket", F.shuffle(F.array_sort("rows", lambda a, b: F.when(a["place"] < b["place"], -1).otherwise(1)), seed).alias("rows"))
+        .select("task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     )
+    # sorted by random numbers, which spills what memory does not hold; arrays of whole records do not
+    shuffled = Window.partitionBy("task").orderBy(F.xxhash64(F.lit(seed), "place", F.lit("slot")), "place")
     numbered = (
-        buckets.join(offsets, ["shard", "bucket"])
-        .select("shard", "offset", F.posexplode("rows").alias("nth", "one"))
-        .select("shard", (F.col("offset") + F.col("nth")).alias("slot"), F.col("one.grown_shard").alias("grown_shard"), F.col("one.row").alias("row"))
+        _one_a_task(scattered, sum(buckets_of))
+        .withColumn("nth", F.row_number().over(shuffled) - 1)
+        # one row a bucket
+        .join(F.broadcast(offsets), "task")
+        .select("shard", (F.col("offset") + F.col("nth")).alias("slot"), "grown_shard", "row")
     )
     out = written(numbered, "shards", compression="zstd")
     discard(scattered)
     return out
 
 
+def _one_a_task(scattered: DataFrame, buckets: int) -> DataFrame:
+    """The records, a task for each bucket: dealt by a hash of the bucket, some tasks would hold several at once and others none."""
+    return scattered.repartitionById(buckets, "task")
+
+
 def write_shards(shards: DataFrame, path: str) -> None:
     """The shuffled records as Parquet, one folder a shard, without another shuffle: a file holds whole buckets, and ``slot`` orders them."""
     out = shards.select("shard", "slot", "row.*") if not {"shard", "slot"} & {c.lower() for c in shards.schema["row"].dataType.names} else shards

@@ -815,6 +815,21 @@ def test_awkward_shards(spark, tmp_path):
     assert sharding.shuffled_shards(mapped, key="doc_id", size=F.lit(1)).count() == 10
 
 
+def test_a_task_holds_one_bucket(spark):
+    """Buckets dealt by a hash come several to a task, which holds them all at once."""
+    dealt = sharding._one_a_task(spark.range(3200).select("id", (F.col("id") % 32).cast("int").alias("task")), 32)
+    assert {(r["task"], r["count"]) for r in dealt.groupBy(F.spark_partition_id().alias("task")).count().collect()} == {(i, 100) for i in range(32)}
+    docs = table(spark, [f"text {i} " * 20 for i in range(900)])
+    seen: list[str] = []
+    real, sharding.written = sharding.written, lambda df, name, **options: (seen.append(df._jdf.queryExecution().executedPlan().toString()), real(df, name, **options))[1]
+    try:
+        sharding.shuffled_shards(docs, key="doc_id", size=F.length("text"), bucket_bytes=8192)
+    finally:
+        sharding.written = real
+    # the rows are dealt once, and not by a hash
+    assert [len(re.findall("Exchange shufflepartitionidpassthrough", plan)) for plan in seen] == [0, 1] and "SortMergeJoin" not in seen[1]
+
+
 def test_shards_of_hot_keys(spark):
     """A shard that one key fills has as many buckets as its bytes need, and the order is that of the seed, not of a setting."""
     docs = table(spark, [f"text {i} " * 20 for i in range(900)]).withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("doc_id")))
