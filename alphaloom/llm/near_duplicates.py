@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import WORD, discard, map_batches, written
+from .common import WORD, discard, map_batches, sliced, written
 
 #: Shingle length, registers as bands x rows, and nodes in one block of an unresolved bucket.
 WORDS, BANDS, ROWS, BLOCK = 5, 21, 6, 256
@@ -317,7 +317,7 @@ def unresolved_links(members: DataFrame, roots: DataFrame, sets: DataFrame, simi
             a, b = zip(*found, strict=True) if found else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             for line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and held[0][0] != line[0]:
                     finish()

@@ -12,7 +12,7 @@ since these are made of the partition's number and a count within it.
 
 What tasks leave unfinished is packed again: a task gives out a sequence's pieces when it is closed, and at its end those of
 the open ones, marked. The first pass is written, and a second, smaller best-fit takes the marked pieces,
-longest first, a hundred thousand to a task; only they are moved. So the number of sequences hardly depends on the
+longest first, a hundred thousand to a task; only they are moved, and their ids only to be joined to their new places. So the number of sequences hardly depends on the
 number of tasks that the documents came in.
 """
 
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import sliced, written
 
 #: Pieces that one task of the second pass takes, on average, and how many sequences it may have open.
 AGAIN_A_TASK = 100_000
@@ -185,7 +185,7 @@ def pack(
         # pieces of open sequences, at most as many tokens as these can hold
         held: dict[int, list[tuple]] = {}
         rows: list[tuple] = []
-        for batch in batches:
+        for batch in sliced(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = np.append(encode(text or ""), np.uint32(end_id)).tobytes()
                 for k, (start, length) in enumerate(pieces(len(data) // 4, capacity)):
@@ -212,18 +212,20 @@ def pack(
 
 
 def packed_again(pieces: DataFrame, capacity: int) -> DataFrame:
-    """The pieces, longest first, in new sequences."""
+    """The pieces, longest first, in new sequences. Only their places and lengths are dealt to tasks and go through Python, never their ids."""
     parts = max(1, -(-pieces.count() // AGAIN_A_TASK))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # numbers that no first pass has
         bins = BestFit(capacity, OPEN_AGAIN, (1 << 62) + (TaskContext.get().partitionId() << 32))
         for batch in batches:
-            placed = [bins.place(n) for n in batch.column(3).to_pylist()]
+            placed = [bins.place(n) for n in batch.column(0).to_pylist()]
             bins.closed.clear()
             new = [pa.array(c, pa.int64()) for c in zip(*placed, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *new, *batch.columns[7:]], batch.schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *new], names=["_sequence", "_offset", "sequence_id", "offset"])
 
     # dealt at random, so that every task has pieces of all lengths
-    dealt = pieces.repartition(parts, F.xxhash64("sequence_id", "offset")).sortWithinPartitions(F.desc("length"), "sequence_id", "offset")
-    return dealt.mapInArrow(run, pieces.schema)
+    places = pieces.select("length", "sequence_id", "offset").repartition(parts, F.xxhash64("sequence_id", "offset")).sortWithinPartitions(F.desc("length"), "sequence_id", "offset")
+    new = places.mapInArrow(run, "_sequence long, _offset long, sequence_id long, offset long")
+    old = pieces.withColumnsRenamed({"sequence_id": "_sequence", "offset": "_offset"})
+    return old.join(new, ["_sequence", "_offset"]).select(pieces.columns)

@@ -8,10 +8,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from alphaloom.llm import decontaminate, html_text, licences, near_duplicates, packing, secrets, sharding, topk, toxicity, url_filter
+from alphaloom.llm import common, decontaminate, html_text, licences, near_duplicates, packing, secrets, sharding, topk, toxicity, url_filter
 from alphaloom.llm import queries as q
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -782,6 +783,42 @@ def test_redaction(spark, net):
     assert [r["text"] for r in rows] == ['x [SECRET]" y', "clean", None] and [r["n_chars"] for r in rows] == [13, 5, None]
 
 
+def test_ids_are_not_packed_again(spark):
+    """The second pass sends places and lengths to Python, of a piece of 2048 ids three numbers; the ids are joined to them."""
+    texts = [f"text {i} " * (40 + i % 300) for i in range(300)]
+    packed = packing.pack(table(spark, texts).repartition(7))
+    rows = packed.collect()
+    plan = packed._jdf.queryExecution().executedPlan().toString()
+    sent = [line for line in plan.splitlines() if "MapInArrow" in line]
+    assert sent and all("ids#" not in line for line in sent)
+    encode = packing._encoder(*packing_files())
+    by_doc = collections.defaultdict(list)
+    for r in rows:
+        assert zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] and len(r["ids"]) == r["length"]
+        by_doc[r["doc_id"]].append(r)
+    assert all([i for r in sorted(own, key=lambda r: r["piece"]) for i in r["ids"]] == [*encode.ids(texts[d]), 0] for d, own in by_doc.items()) and len(by_doc) == 300
+    places = collections.defaultdict(list)
+    for r in rows:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    for own in places.values():
+        ends = [0] + [o + n for o, n in sorted(own)]
+        assert [o for o, _ in sorted(own)] == ends[:-1] and ends[-1] <= 2048
+    assert len(places) <= 1.02 * sum(r["length"] for r in rows) / 2048 + 2
+
+
+def packing_files() -> tuple[str, str, str]:
+    import public_tokenizers as files
+
+    return files.path("byte_bpe_50k.json"), files.path("byte_bpe_50k.tiktoken"), files.PATTERN
+
+
+def test_batches_of_long_rows_are_sliced():
+    """Ten thousand long rows are not held as Python objects at once."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(["x" * 100_000] * 98 + [None, ""])], names=["doc_id", "text"])
+    cut = list(common.sliced(iter([batch, batch.slice(0, 0), batch.slice(98)])))
+    assert max(b.num_rows for b in cut) < 30 and pa.Table.from_batches(cut).to_pydict() == pa.Table.from_batches([batch, batch.slice(98)]).to_pydict()
+
+
 # ---- 9 shards
 
 
