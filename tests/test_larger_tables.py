@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import duckdb
 import pytest
@@ -68,3 +68,12 @@ def test_cells_become_bars(spark):
         more = wide.union(spark.createDataFrame([("2024-01-02", {wrong: 5.0})], wide.schema))
         with pytest.raises(Exception, match=message):
             cells_to_long(more, {"Close": "close"}).collect()
+
+
+@pytest.mark.parametrize("name", ["saved_figures", "run_headline"])
+def test_figures_of_a_run_without_pnl_are_null(spark, tmp_path, name):
+    """A universe of copies of one name has no neutral weights, so there is no Sharpe."""
+    items = [(s, str(date(1995, 1, 2) + timedelta(days=7 * i)), 1 + i % 3, 1000.0 + 10 * i) for i in range(30) for s in (0, 2)]
+    got, want = beside_sql(spark, tmp_path, name, items, 4)
+    figures = {k.lower(): v for k, v in got}
+    assert got == want and figures["sharpe"] is None and figures["total pnl" if name == "saved_figures" else "pnl"] == 0
