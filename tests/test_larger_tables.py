@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from alphaloom.plans import weights as w
+from alphaloom.plans.expr import parse
+from alphaloom.plans.lower import evaluate
 from alphaloom.sources.panels import cells_to_long
 from alphaloom.store_queries import ORACLES, QUERIES
 
@@ -47,6 +49,19 @@ def test_a_cap_sums_a_group_once(spark, cap, total):
     assert sides[2] == pytest.approx(0.05) and sides[3] == 40 and sides[0] + sides[1] == pytest.approx(total)
 
 
+def test_a_group_is_sorted_once_for_all_that_one_order_gives(spark):
+    names = spark.createDataFrame([(date(2024, 1, 1) + timedelta(days=i), t, "ab"[t % 2], [None, 3.0, 1.0, 3.0, 0.0, -0.0, float("nan")][(t + i) % 7]) for i in range(3) for t in range(9)], "date date, ticker long, sector string, signal double")
+    sorts = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Sort [")
+    ranked = evaluate(names, {"r": parse("rank(signal)")})
+    assert sorts(ranked) == 1 and [r.r for r in ranked.where("date = '2024-01-01'").orderBy("ticker").collect()] == [None, 0.8, 0.4, 0.8, 0.1, 0.1, None, None, 0.8]
+    assert sorts(w.truncate_gross(names.withColumnRenamed("signal", "weights"), 0.05)) == 2
+    decayed = lambda df: w.compute_weights(df, neutralization="sector", decay=2)
+    assert decayed(names).count() == 27 and sorts(decayed(names)) == 4
+    for twice in (names.union(names.limit(1)), names.union(names.limit(1).withColumn("signal", F.lit(7.0))), names.unionByName(names.limit(2).withColumns({"date": F.lit(None).cast("date"), "ticker": F.lit(1).cast("long")}))):
+        with pytest.raises(Exception, match="more than one row for|USER_RAISED_EXCEPTION"):
+            decayed(twice).collect()
+
+
 def test_wide_rows_need_no_column_a_ticker(spark, tmp_path):
     items = [(i, f"1995-12-{25 + i % 3 * 2}", 1 + i % 9, 1000.0 + i) for i in range(2500)]
     got, want = beside_sql(spark, tmp_path, "wide_to_long", items, 2500)
