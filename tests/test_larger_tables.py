@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import pathlib
+import uuid
 from datetime import date, datetime, timedelta
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from alphaloom.plans import weights as w
 from alphaloom.plans.expr import parse
 from alphaloom.plans.lower import evaluate
+from alphaloom.sources import provider
+from alphaloom.sources.bars import BarStore
 from alphaloom.sources.panels import cells_to_long
-from alphaloom.store_queries import ORACLES, QUERIES
+from alphaloom.store_queries import ORACLES, QUERIES, provided
 
 TABLES = ("lineitem", "supplier", "nation", "region")
 
@@ -92,3 +98,45 @@ def test_figures_of_a_run_without_pnl_are_null(spark, tmp_path, name):
     got, want = beside_sql(spark, tmp_path, name, items, 4)
     figures = {k.lower(): v for k, v in got}
     assert got == want and figures["sharpe"] is None and figures["total pnl" if name == "saved_figures" else "pnl"] == 0
+
+
+def test_a_download_runs_once(spark, tmp_path):
+    """Ranges are found by a look at the rows: the calls were made for that look and again for the rows."""
+
+    class Counted:
+        """A bar a ticker; each call leaves a file with what it was asked for."""
+
+        def __init__(self, path):
+            self.path = path
+
+        def fetch(self, tickers, start, end):
+            (pathlib.Path(self.path) / uuid.uuid4().hex).write_text(",".join(tickers))
+            return pa.table({"date": [start] * len(tickers), "ticker": tickers, "close": [float(t[1:]) for t in tickers]})
+
+    (tmp_path / "calls").mkdir()
+    store = BarStore(spark, str(tmp_path / "bars"), provider.from_provider(Counted(str(tmp_path / "calls"))), buckets=2)
+    names = spark.range(2500).select(F.format_string("N%04d", "id").alias("ticker"))
+    got = store.load_bars(names, date(2024, 1, 1), date(2024, 1, 5))
+    assert got.count() == 2500 and got.agg(F.sum("close")).first()[0] == 2500 * 2499 / 2
+    asked = [f.read_text().split(",") for f in (tmp_path / "calls").iterdir()]
+    assert max(map(len, asked)) <= 100 and sorted(t for a in asked for t in a) == [f"N{i:04d}" for i in range(2500)]
+
+
+def test_a_provider_reads_where_its_tickers_are(spark, tmp_path):
+    """Files in the order of tickers, so a call does not read the whole folder."""
+    items = [(i * 7 % 500, f"{1993 + i % 3 * 2}-03-11", 1 + i % 9, 1000.0 + i) for i in range(1500)]
+    got, want = beside_sql(spark, tmp_path, "store_download", items, 500)
+    assert got == want and len(got) == 1500
+    path, names = provided(spark, str(tmp_path))
+    files = [pq.read_table(f, columns=["ticker"])["ticker"].to_pylist() for f in sorted(pathlib.Path(path.removeprefix("file:")).glob("*.parquet"))]
+    assert sum(files, []) == sorted(f"{t:06d}" for t in range(500) for _ in range(3)) and names.count() == 500
+
+
+def test_a_provider_sees_new_files(spark, tmp_path):
+    rows = lambda t: pa.table({"date": [date(2024, 1, 2)] * 2, "ticker": [t, None], "close": [1.0, 2.0]})
+    one = provider.ParquetProvider(f"file:{tmp_path}")
+    fetch = lambda tickers: one.fetch(tickers, date(2024, 1, 1), date(2024, 1, 3)).num_rows
+    pq.write_table(rows("A"), tmp_path / "a.parquet")
+    assert fetch(["A", "B"]) == 1 and fetch([]) == 0 and fetch(["A", None]) == 2
+    pq.write_table(rows("B"), tmp_path / "b.parquet")
+    assert fetch(["A", "B"]) == 2 and provider.ParquetProvider(f"{tmp_path}/b.parquet").fetch(["B"], date(2024, 1, 1), date(2024, 1, 3)).num_rows == 1
