@@ -765,6 +765,22 @@ def test_candidates_of_secrets():
     assert "".join(w[secrets.BEFORE : secrets.BEFORE + secrets.STEP] for w in seen[:3]) == "x" * 60
 
 
+def test_the_network_is_fitted_on_all_findings_of_the_table(spark, monkeypatch):
+    """More of them than the 2000 of an earlier bound, in several tasks; how the documents are dealt changes nothing."""
+    rng = random.Random(5)
+    texts = [f"see file{rng.randrange(10**9)}.txt and {'token = ' if i % 3 == 0 else 'entry '}{rng.getrandbits(80):020x} there" for i in range(2500)] + [None, ""]
+    seen = set()
+    for t in texts:
+        rules = plain_spans(t or "")
+        for a, b in secrets.candidates(t or ""):
+            label = any(a < e and s < b for s, e, _ in rules)
+            seen |= {(secrets.encode([w]).tobytes(), secrets.shape(t[a:b]), label) for w in secrets.windows(t, a, b)}
+    monkeypatch.setattr(secrets, "DEAL", 1500)
+    one, two = (secrets.fit_net(docs, epochs=2) for docs in (table(spark, texts).coalesce(1), table(spark, texts).repartition(5)))
+    assert one.fitted == two.fitted == len(seen) > 4000 and one.recall >= 0.9 and one.false_alarms <= 0.15
+    assert all((a == b).all() for a, b in zip(one.weights(), two.weights(), strict=True)) and one.thresholds == two.thresholds
+
+
 def test_net_spans_by_a_second_way(spark, sf_dir, net):
     """The added spans of the given documents are those of one candidate scored at a time, unless a rule's finding touches it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(60).collect()
